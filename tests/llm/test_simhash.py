@@ -1,0 +1,86 @@
+import random
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+import xxhash
+
+from glyphmill.llm import queries, simhash
+
+
+def brute_fingerprint(text):
+    words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\v", " ").replace("\f", " ").split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(items):
+    """(id, fp) to component by comparing all pairs."""
+    parent = list(range(len(items)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    fps = np.array([f for _, f in items], dtype=np.uint64)
+    for i in range(len(items)):
+        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 2):
+            a, b = find(i), find(int(j))
+            if a != b:
+                parent[b] = a
+    groups = {}
+    for i, (doc, _) in enumerate(items):
+        groups.setdefault(find(i), []).append(doc)
+    return {d: min((x for x in g if x is not None), default=None) for g in groups.values() for d in g}
+
+
+def test_fingerprint():
+    rng = random.Random(1)
+    for t in [None, "", " \t\n", "One", "Ab cD", "é É x", *(" ".join(rng.choices(["a", "B", "cc", "É", "\u00a0x"], k=rng.randint(1, 30))) for _ in range(50))]:
+        assert simhash.fingerprint(t) == brute_fingerprint(t)
+
+
+def test_whole_table(spark, sf_dir):
+    rows = pq.read_table(f"{sf_dir}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    fps = [(r["doc_id"], brute_fingerprint(r["text"])) for r in rows]
+    comps = brute_components(fps)
+    got = {r.doc_id: r for r in queries.op8_simhash(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for doc, fp in fps:
+        assert got[doc].fingerprint == f"{fp:016x}" and got[doc].component_id == comps[doc]
+
+
+@pytest.mark.parametrize("bucket", [2, 16])
+def test_crowds_lose_no_link(spark, bucket):
+    """Fingerprints crowded around a few centres, far over a bucket's size."""
+    rng = random.Random(7)
+    fps = set()
+    for _ in range(3):
+        centre = rng.getrandbits(64)
+        for _ in range(150):
+            x = centre
+            for b in rng.sample(range(64), rng.randint(0, 4)):
+                x ^= 1 << b
+            fps.add(x)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    frame = spark.createDataFrame([(x,) for x in signed], "fp long")
+    edges = [(r.u, r.v) for r in simhash.links(frame, bucket).collect()]
+    assert all(((u ^ v) & (2**64 - 1)).bit_count() <= 2 for u, v in edges)
+    comp = {r.node: r.component for r in simhash.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    expected = brute_components([(x, x & (2**64 - 1)) for x in signed])
+    assert {x: comp.get(x, x) for x in signed} == expected
+
+
+def test_odd_tables(docs_of, spark):
+    out = simhash.near_duplicates(docs_of([(5, None), (3, ""), (None, " "), (7, "a b c d"), (7, "a b c d")])).collect()
+    assert sorted((r.doc_id or -1, r.component_id) for r in out) == [(-1, 3), (3, 3), (5, 3), (7, 7), (7, 7)]
+    assert simhash.near_duplicates(docs_of([])).count() == 0
+    kept = simhash.keep_one(docs_of([(9, "x y z w"), (4, "x y z w"), (1, "other words here now"), (None, "x y z w")]))
+    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 4]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7), (None, 3)], "u long, v long")
+    got = {r.node: r.component for r in simhash.connected_components(chain).collect()}
+    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
