@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import decontaminate, exact_dedup, language_id, quality, sentencepiece_bpe, simhash, url_filter
+from glyphmill.llm import decontaminate, exact_dedup, language_id, language_model, quality, sentencepiece_bpe, simhash, substring_dedup, url_filter
 
 #: Where the public tokenizer files lie; GLYPHMILL_TOKENIZERS overrides the installed package's place.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -81,6 +81,17 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -89,6 +100,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(_hashed("doc_id", 5) == 1, F.lit(False))
+    return language_model.score_texts(table(spark, sf_dir, "documents"), ~held_out)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(_hashed("doc_id", 5) == 0, F.lit(False))
@@ -103,8 +119,10 @@ def queries() -> dict:
         "op2_language_id": op2_language_id,
         "op4_decontamination": op4_decontamination,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_url_filter": op7_url_filter,
         "op8_simhash": op8_simhash,
+        "op9_language_model": op9_language_model,
         "op10_quality": op10_quality,
     }
 
