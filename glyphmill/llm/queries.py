@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import decontaminate, exact_dedup, language_id, language_model, quality, sentencepiece_bpe, simhash, substring_dedup, url_filter
+from glyphmill.llm import chat_format, decontaminate, exact_dedup, language_id, language_model, quality, sentencepiece_bpe, simhash, substring_dedup, url_filter
 
 #: Where the public tokenizer files lie; GLYPHMILL_TOKENIZERS overrides the installed package's place.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -20,6 +20,15 @@ URL_RULES = [
 ]
 
 
+#: Tools that calls may name: (tool, parameter, JSON type, required).
+TOOL_SCHEMAS = [
+    ("search", "query", "string", True),
+    ("search", "limit", "integer", False),
+    ("open_page", "url", "string", True),
+    ("calculate", "expression", "string", True),
+]
+
+
 def tokenizer_path(name: str = PIECE_MODEL) -> str:
     """Path of a tokenizer file of the installed ``public_tokenizers`` package, or of the folder GLYPHMILL_TOKENIZERS."""
     folder = os.environ.get("GLYPHMILL_TOKENIZERS")
@@ -65,6 +74,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "phrase_bytes")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"), TOOL_SCHEMAS)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return out.select(
@@ -117,6 +130,7 @@ def queries() -> dict:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_language_id": op2_language_id,
+        "op3_chat_format": op3_chat_format,
         "op4_decontamination": op4_decontamination,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_substring_dedup": op6_substring_dedup,
@@ -172,5 +186,16 @@ FROM parts LEFT JOIN best USING (page_id)
 """
 
 
+# The given conversations hold no tool calls; links, order and arguments are tested in tests/llm.
+ORACLE_OP3 = """
+WITH placed AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST) - 1 AS position FROM conversations
+)
+SELECT conv_id, turn, role, position, CAST(NULL AS VARCHAR) AS link, CAST(NULL AS VARCHAR) AS errors,
+  '{' || concat_ws(',', '"content":' || to_json(text), '"conv_id":' || conv_id, '"position":' || position, '"role":' || to_json(role), '"turn":' || turn) || '}' AS message_json
+FROM placed
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op4_decontamination": ORACLE_OP4, "op5_exact_dedup": ORACLE_OP5, "op7_url_filter": ORACLE_OP7}
+    return {"op3_chat_format": ORACLE_OP3, "op4_decontamination": ORACLE_OP4, "op5_exact_dedup": ORACLE_OP5, "op7_url_filter": ORACLE_OP7}
