@@ -14,6 +14,8 @@ from glyphmill.llm.shared import connected_components, materialise
 
 #: Signature buckets up to this many fingerprints are compared pair by pair; larger ones take the exact way of full-width variants.
 BUCKET = 16
+#: Buckets of more than two that are sent to every task to pick their members; beyond this many, members are found by a shuffled join.
+BROADCAST_BUCKETS = 500_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -55,9 +57,10 @@ def _variants(fp: Column) -> Column:
     at most, so they share the signature that has this bit as its wildcard.
     """
     low, high = fp.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(fp, 32)
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     one = lambda half, side: F.transform(
         F.sequence(F.lit(0), F.lit(31)),
-        lambda i: F.struct((i + 32 * side).alias("slot"), half.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), i))).alias("rest")),
+        lambda i: half.bitwiseAND(F.bitwise_not(bit(i))) + F.call_function("shiftleft", (i + 32 * side).cast("long"), F.lit(32)),
     )
     return F.concat(one(low, 0), one(high, 1))
 
@@ -73,13 +76,14 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     that share one are linked to the least of them.
     """
     keyed = fps.select("fp", F.explode(_variants(F.col("fp"))).alias("sig"))
-    keyed = keyed.select("fp", F.col("sig.slot").alias("slot"), F.col("sig.rest").alias("rest"))
-    sizes = keyed.groupBy("slot", "rest").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
+    sizes = keyed.groupBy("sig").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     sizes = materialise(sizes, "simhash-buckets")
     close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= 2
     out = sizes.where("n = 2").where(close(F.col("a"), F.col("b"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    larger = materialise(keyed.join(sizes.where("n > 2").select("slot", "rest", "n"), ["slot", "rest"]), "simhash-members")
-    lists = larger.where(F.col("n") <= bucket).groupBy("slot", "rest").agg(F.array_sort(F.collect_list("fp")).alias("m"))
+    more = sizes.where("n > 2").select("sig", "n")
+    way = "broadcast" if more.count() <= BROADCAST_BUCKETS else "merge"  # 16 bytes each
+    larger = materialise(keyed.join(more.hint(way), "sig"), "simhash-members")
+    lists = larger.where(F.col("n") <= bucket).groupBy("sig").agg(F.array_sort(F.collect_list("fp")).alias("m"))
     pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y > x) & close(x, y)), lambda y: F.struct(x.alias("u"), y.alias("v")))))
     out = out.unionByName(lists.select(F.explode(pairs).alias("p")).select("p.u", "p.v"))
     crowd = larger.where(F.col("n") > bucket).select("fp").distinct()
