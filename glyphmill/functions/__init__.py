@@ -1 +1 @@
-"""Functions."""
+"""Column expressions: text, chunking, selection, formatting."""

@@ -1 +1 @@
-"""Operators."""
+"""Operators over DataFrames: retrieval, evaluation, ingestion, limits, pages, grounding and models."""

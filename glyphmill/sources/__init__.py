@@ -1 +1 @@
-"""Sources."""
+"""Readers and writers: EPUB archives, corpus folders, golden sets, reports."""

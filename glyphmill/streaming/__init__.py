@@ -1 +1 @@
-"""Streaming."""
+"""Structured Streaming forms of the stateful operators."""
