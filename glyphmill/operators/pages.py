@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,13 +62,25 @@ def latest(names: DataFrame, keep: int, name: str = "name") -> DataFrame:
     return names.join(F.broadcast(last), name, "left_anti")
 
 
+def entities(text: Column) -> Column:
+    """Named HTML entities as their characters; unknown and numeric ones stay."""
+    known = F.from_json(F.lit(json.dumps({k: chr(v) for k, v in name2codepoint.items()} | {"apos": "'"})), "map<string,string>")
+    parts = F.split(text, "&")
+
+    def one(p: Column) -> Column:
+        name = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+        char = F.try_element_at(known, name)
+        return F.when(char.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(char, F.substr(p, F.length(name) + F.lit(2))))
+
+    return F.when(F.contains(text, F.lit("&")), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))).otherwise(text)
+
+
 def html_lines(html: Column) -> Column:
     """Non-empty lines of flattened HTML: breaks and block tags end lines, white space collapses."""
     blocks = "p|div|li|tr|td|th|table|blockquote|section|article|figure|figcaption|pre|h1|h2|h3|h4|h5|h6"  # fixed values: tags that stand on lines of their own
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
     body = F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), rf"(?i)</?(?:{blocks}|br|hr)\b[^>]*>", "\n")
     text = F.regexp_replace(body, r"(?s)<[^>]*>", "")
-    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    text = entities(text)
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
     return F.filter(lines, lambda x: x != "")
