@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import struct
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,12 @@ SPACE = "▁"
 SPACE_UTF8 = SPACE.encode()
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words whose pieces a task remembers at once.
-CACHE_WORDS = 400_000
+#: Words whose pieces a worker remembers, twice.
+CACHE_WORDS = 110_000
+#: Characters of text whose results are sent back at once.
+SLICE = 1_000_000
+#: Characters of a word that is merged side by side with others.
+MERGE_WIDTH = 32
 
 
 def _fields(data: bytes):
@@ -83,6 +87,7 @@ class Model:
             self._read(f.read())
 
     def _read(self, data: bytes) -> None:
+        self.digest = hashlib.sha256(data).hexdigest()
         self.pieces: list[bytes] = []
         self.kinds: list[int] = []
         self.scores: list[float] = []
@@ -120,6 +125,11 @@ class Model:
             for p, k in zip(self.pieces, self.kinds)
         ]
 
+        #: Whether a line break is part of no piece and no map entry, so that it always stands alone.
+        self.by_line = self.by_word and self.byte_fallback and not self.char_map.units and not self.squeeze and not any("\n" in p for p in inner)
+        self.table = np.array(self.surface, dtype=object)
+        self._index_pairs()
+
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """The normalised text, and for each of its bytes and its end the byte of ``text`` it comes from.
 
@@ -214,8 +224,77 @@ class Model:
             offer(left[i], i)
             offer(i, right[i])
 
+        return self._emit([x for x in symbols if x], origin)
+
+    def merge_many(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """:meth:`merge` of many words: the words (in another order), how many ids each has, all ids, and the lengths they cover.
+
+        Short words are merged side by side, a merge in each at a time.
+        """
+        known = self.letters
+        short = sorted((w for w in words if len(w) <= MERGE_WIDTH and known.issuperset(w)), key=len) if self.pairs is not None else []
+        parts = [self._merge_grid(short[at : at + 8192]) for at in range(0, len(short), 8192)]
+        spelled = set(short)
+        rest = [w for w in words if w not in spelled]
+        found = [self.merge(w) for w in rest]
+        parts.append((np.array([len(f[0]) for f in found], np.int64), np.array([i for f in found for i in f[0]], np.int32), np.array([n for f in found for n in f[1]], np.int32)))
+        return short + rest, *(np.concatenate(c) for c in zip(*parts))
+
+    def _merge_grid(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        width = max(map(len, words))
+        grid = np.full((len(words), width + 1), -1, np.int32)
+        sizes = np.array([len(w) for w in words])
+        grid[np.arange(width + 1) < sizes[:, None]] = [self.symbol[c] for c in "".join(words)]
+        rows, columns = np.arange(len(words)), np.arange(width + 1)
+        gain, into = self._gains(grid[:, :-1], grid[:, 1:])
+        while True:
+            place = gain[rows].argmax(axis=1)
+            live = gain[rows, place] > -np.inf
+            rows, place = rows[live], place[live]
+            if not len(rows):
+                break
+            merged = into[rows, place]
+            from_next = np.minimum(columns + (columns > place[:, None]), width)
+            at = rows[:, None]
+            grid[rows] = grid[at, from_next]
+            grid[rows, width] = -1
+            pairs = from_next[:, :-1].clip(max=width - 1)
+            gain[rows], into[rows] = gain[at, pairs], into[at, pairs]
+            gain[rows, width - 1] = -np.inf
+            grid[rows, place] = merged
+            gain[rows, place], into[rows, place] = self._gains(merged, grid[rows, place + 1])
+            before = place > 0
+            r, c = rows[before], place[before] - 1
+            gain[r, c], into[r, c] = self._gains(grid[r, c], grid[r, c + 1])
+        ids = grid[grid >= 0]
+        return (grid >= 0).sum(axis=1), ids, self.width[ids]
+
+    def _gains(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score and id of what two neighbours become, minus infinity where nothing."""
+        key = np.where((left < 0) | (right < 0), -1, left.astype(np.int64) << 20 | right)
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        same = self.pairs[at] == key
+        return np.where(same, self.pair_gain[at], np.float32(-np.inf)), np.where(same, self.pair_into[at], np.int32(-1))
+
+    def _index_pairs(self) -> None:
+        """All pairs of pieces or characters that a piece is made of, sorted, with its score and id."""
+        known = {p.decode("utf-8", "surrogatepass"): i for p, i in self.ids.items()}
+        self.letters = frozenset(c for c in "".join(known) if c in known)  # others take the long way
+        rows = [(known[w[:i]] << 20 | known[w[i:]], k) for w, k in known.items() for i in range(1, len(w)) if w[:i] in known and w[i:] in known]
+        self.symbol = known
+        self.width = np.array([len(p) for p in self.pieces], np.int32)
+        self.marks = np.array([2 * p.count(SPACE_UTF8) for p in self.pieces], np.int32)
+        self.pairs = None
+        if rows and not self.unused and len(self.pieces) < 1 << 20:
+            rows.sort()
+            keys, into = zip(*rows)
+            self.pairs, self.pair_into = np.array(keys, np.int64), np.array(into, np.int32)
+            self.pair_gain = np.array(self.scores, np.float32)[self.pair_into]
+
+    def _emit(self, symbols: list[bytes], origin: dict[bytes, tuple[bytes, bytes]]) -> tuple[tuple[int, ...], tuple[int, ...]]:
         out: list[int] = []
         sizes: list[int] = []
+        ids = self.ids
 
         def emit(piece: bytes) -> None:
             if piece in origin:
@@ -234,45 +313,119 @@ class Model:
                 sizes.append(len(piece))
 
         for s in symbols:
-            if s:
-                emit(s)
+            emit(s)
         return tuple(out), tuple(sizes)
 
     def decode(self, ids) -> str:
         """The text of ``ids``: pieces joined, byte pieces read as UTF-8, the put-before space taken off."""
-        surface = self.surface
-        data = b"".join([surface[i] for i in ids])
-        if self.dummy_prefix and data[:1] == b" " and self.kinds[next(i for i in ids if surface[i])] == NORMAL:
+        ids = np.asarray(ids, np.int64)
+        data = b"".join(self.table[ids].tolist())
+        if self.dummy_prefix and data[:1] == b" " and self.kinds[next(i for i in ids.tolist() if self.surface[i])] == NORMAL:
             data = data[1:]
         return data.decode("utf-8", "replace")
 
 
 class Encoder:
-    """Encodes with a memory of words, as most words come again."""
-
-    def __init__(self, model: Model):
-        self.model, self.known = model, {}
-        self.split = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if model.by_word else re.compile(r"(?s).+")
+    """Encodes with a memory of words, as most words come again.
 
-    def _learn(self, word: str):
-        if len(self.known) >= CACHE_WORDS:
-            self.known.clear()
-        self.known[word] = found = self.model.merge(word)
-        return found
+    A word's entry holds its ids, the UTF-8 length each covers, and the length
+    each has in a text whose spaces are still one byte, all as packed integers.
+    It is kept under the word where one space comes before, else under a line
+    break and the word.  Words that weren't met for ``CACHE_WORDS`` new ones are forgotten.
+    """
 
-    def encode(self, text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """Ids, and where in the UTF-8 of ``text`` each piece begins and ends.
+    def __init__(self, model: Model):
+        self.model = model
+        self.known: dict[str, tuple[bytes, bytes, bytes]] = {}
+        self.earlier: dict[str, tuple[bytes, bytes, bytes]] = {}
+        words = rf"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+" if model.by_line else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
+        self.split = re.compile(words if model.by_word else r"(?s).+")
+
+    def _learn(self, keys: set[str]) -> None:
+        if len(self.known) + len(keys) > CACHE_WORDS:
+            self.earlier, self.known = self.known, {}
+        new = []
+        for k in keys:
+            found = self.earlier.get(k)
+            if found is None:
+                new.append(k)
+            else:
+                self.known[k] = found
+        by_word = {k[1:] if k[:1] == "\n" else SPACE + k: k for k in new if k[:1] == "\n"}
+        plain = [SPACE + k for k in new if k[:1] != "\n"]
+        for words, key in ((plain, lambda w: w[1:]), (list(by_word), by_word.__getitem__)):
+            if not words:
+                continue
+            words, counts, ids, sizes = self.model.merge_many(words)
+            narrow = np.where(sizes > 0, sizes - self.model.marks[ids], 0).astype(np.int32)
+            x, y, z = ids.tobytes(), sizes.tobytes(), narrow.tobytes()
+            ends = (4 * np.cumsum(counts)).tolist()
+            for w, a, b in zip(words, [0, *ends], ends):
+                self.known[key(w)] = x[a:b], y[a:b], z[a:b]
+
+    def _words(self, text: str) -> tuple[list[str], np.ndarray | None]:
+        """The keys of a text's words, and the source of each normalised byte unless nothing but spaces changes its length."""
+        model = self.model
+        if model.by_line and model.dummy_prefix and text and text[0] != " " and "  " not in text and SPACE not in text:
+            # each space begins a word and each line break stands alone, so no normalised string is built
+            if "\n" not in text:
+                return text.split(" "), None
+            keys: list[str] = []
+            for k, line in enumerate(text.split("\n")):
+                if k:
+                    keys.append("\n\n")
+                    first, *line = line.split(" ")
+                    if first:
+                        keys.append("\n" + first)
+                    keys += line
+                else:
+                    keys += line.split(" ")
+            return keys, None
+        data, source = model.normalise(text)
+        words = self.split.findall(data.decode("utf-8", "surrogatepass"))
+        return [w[1:] if w[0] == SPACE and "\n" not in w and SPACE not in w[1:2] else "\n" + w for w in words], source
+
+    def encode_many(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text its ids, and where in its UTF-8 each piece begins and ends.
 
         The pieces tile the text in order.  All bytes of a fallback character
         carry its span's start, and but for the last an empty span.
         """
-        data, source = self.model.normalise(text or "")
-        get, learn = self.known.get, self._learn
-        found = [get(w) or learn(w) for w in self.split.findall(data.decode("utf-8", "surrogatepass"))]
-        ids = list(chain.from_iterable([f[0] for f in found]))
-        sizes = np.fromiter(chain.from_iterable([f[1] for f in found]), np.int64, len(ids))
-        ends = np.cumsum(sizes)
-        return ids, source[ends - sizes], source[ends]
+        cut = [self._words(t or "") for t in texts]
+        wanted = set().union(*[keys for keys, _ in cut])
+        new = wanted - self.known.keys()
+        if new:
+            if len(self.known) + len(new) > CACHE_WORDS:  # begin anew with all words of these texts
+                new = wanted
+            self._learn(new)
+        get, out = self.known.__getitem__, []
+        for keys, source in cut:
+            found = list(map(get, keys))
+            ids = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
+            sizes = np.frombuffer(b"".join([f[2 if source is None else 1] for f in found]), np.int32)
+            if source is None:
+                ends = np.cumsum(sizes, dtype=np.int32) - np.int32(1)  # the put-before space has no byte in the text
+                begins = ends - sizes
+                begins[:1] = 0
+            else:
+                ends = np.cumsum(sizes, dtype=np.int64)
+                begins, ends = source[ends - sizes].astype(np.int32), source[ends].astype(np.int32)
+            out.append((ids, begins, ends))
+        return out
+
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.encode_many([text])[0]
+
+
+#: The encoder of this worker process, kept from task to task as long as the model is the same.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(model: Model) -> Encoder:
+    if model.digest not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[model.digest] = Encoder(model)
+    return _ENCODERS[model.digest]
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", spans: bool = True, decode: bool = False, carry: list[str] | None = None) -> DataFrame:
@@ -293,20 +446,23 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         schema = schema.add(field)
 
     def apply(batches):
-        encoder = Encoder(model.value)
+        encoder = _encoder(model.value)
+        lists = lambda parts: pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32), np.concatenate(parts))
         for batch in batches:
-            columns: dict[str, list] = {"ids": [], "begins": [], "ends": [], "decoded": []}
-            for text in batch.column(batch.schema.get_field_index("__text")):
-                ids, begins, ends = encoder.encode(text.as_py())
-                columns["ids"].append(np.array(ids, np.int32))
-                columns["begins"].append(begins.astype(np.int32))
-                columns["ends"].append(ends.astype(np.int32))
-                if decode:
-                    columns["decoded"].append(model.value.decode(ids))
-            arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
-            for f in schema.fields[len(arrays) :]:
-                arrays.append(pa.array(columns[f.name], pa.string() if f.name == "decoded" else pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
+            texts, held = batch.column(batch.schema.get_field_index("__text")), []
+            first = size = 0
+            for k, text in enumerate(texts):
+                held.append(text.as_py())
+                size += len(held[-1] or "")
+                if size < SLICE and k < len(texts) - 1:
+                    continue
+                found, held = encoder.encode_many(held), []
+                columns = dict(zip(("ids", "begins", "ends"), zip(*found)))
+                arrays = [batch.column(i).slice(first, k + 1 - first) for i in range(batch.num_columns - 1)]
+                for f in schema.fields[len(arrays) :]:
+                    arrays.append(pa.array([encoder.model.decode(x[0]) for x in found], pa.string()) if f.name == "decoded" else lists(columns[f.name]))
+                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
+                first, size = k + 1, 0
 
     return frame.mapInArrow(apply, schema).withColumnsRenamed({k: c for c, k in keep.items()})
 
