@@ -25,7 +25,7 @@ SALTED = 512
 #: Counts up to this are discounted.
 CUT = 5
 #: Tokens that a task holds at a time, and that a partition of the model is planned for.
-FLUSH, PER_PARTITION = 4_000_000, 4_000_000
+FLUSH, PER_PARTITION = 900_000, 1_600_000
 _END = b"\n"
 _TOP = 1 << 63
 
@@ -135,7 +135,7 @@ class _Codes(dict):
         self.hot = hot
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 600_000:
+        if len(self) > 250_000:
             self.clear()
         h = xxhash.xxh64_intdigest(word) | _TOP
         self[word] = code = self.hot.get(h, h)
@@ -351,7 +351,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     def deal(batches):
         def texts():
             for batch in batches:
-                yield from zip(*(batch.column(i).to_pylist() for i in range(3)))
+                for row in zip(*(batch.column(i) for i in range(3))):
+                    yield tuple(x.as_py() for x in row)
 
         task = TaskContext.get().partitionId()
         for p, kind, blob in _deal(texts(), hot.value, *shared.value, parts, task):
@@ -361,7 +362,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     dealt = dealt.map(lambda r: (r.p, (r.kind, bytes(r.blob)))).partitionBy(parts, _at)
     looked = dealt.mapPartitions(lambda rows: _look_up((v for _, v in rows), shared.value[1], parts)).partitionBy(parts, _at)
     here = dealt.union(looked)
-    if here.getNumPartitions() != parts:
+    if here.getNumPartitions() != dealt.getNumPartitions():
         raise RuntimeError("the partitions of both hops must stay together")
 
     def statistics(rows):
