@@ -34,8 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """At least a partition per core, for work heavier than its scan: a small file that is one split is dealt out first."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _chunks(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return _spread(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
 def _questions(spark, d) -> DataFrame:
@@ -168,7 +174,7 @@ _HYBRID = _rrf_sql("1.0", "1.0")
 
 @_query(_HYBRID + "SELECT query_id, chunk_id, rank, source, text FROM final JOIN documents ON doc_id = chunk_id WHERE rank <= 5")
 def hybrid_retrieve(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source")
+    docs = _spread(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source"))
     found = retrieve.retrieve(_hybrid_questions(spark, d), docs, _vectors(spark, d))
     return retrieve.hydrate(found, docs).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "source", "text")
 
@@ -184,7 +190,7 @@ res AS (SELECT item_id AS query_id, item_id NOT IN (SELECT query_id FROM gold) A
 def _expected(spark, d):
     """Golden set: a benchmark item expects the documents that hold its text; each document is a work of one page."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), "text")
+    docs = _spread(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), "text"))
     return docs.join(F.broadcast(b), F.contains("text", "needle")).select("query_id", "source", F.lit(None).cast("int").alias("page"))
 
 
@@ -258,13 +264,13 @@ def selection_balance(spark, d):
 
 def _doc_pages(spark, d):
     """Each document is a work of one page."""
-    return table(spark, d, "documents").select(F.col("doc_id").alias("source"), F.lit(1).alias("page"), "text")
+    return _spread(table(spark, d, "documents").select(F.col("doc_id").alias("source"), F.lit(1).alias("page"), "text"))
 
 
 @_query()
 def line_split(spark, d):
     """Lines longer than a chunk need a look-ahead, which this SQL lacks; tests hold it against a plain loop."""
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = _spread(table(spark, d, "documents")).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     rows = lines.select("doc_id", "line_no", F.posexplode(chunking.split_line(F.col("line"))).alias("piece_no", "piece"))
     return rows.select("doc_id", "line_no", "piece_no", F.length("piece").alias("n_chars"), F.sha2("piece", 256).alias("sha256"))
 
@@ -452,7 +458,7 @@ def refusal_detect(spark, d):
 SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND (lat * 3)::DOUBLE / (lat * 4) >= 0.7 THEN 'ar' WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN NULL WHEN lat > 0 THEN 'fr' END AS detected FROM l WHERE lat > 0""")
 def script_language(spark, d):
     """Texts with Arabic letters added: three for each Latin one, or as many, or none."""
-    docs = table(spark, d, "documents").where(text.script_letters(F.col("text"), "LATIN") > 0)
+    docs = _spread(table(spark, d, "documents")).where(text.script_letters(F.col("text"), "LATIN") > 0)
     n = text.script_letters(F.col("text"), "LATIN")
     k = F.col("doc_id") % 4
     more = F.when(k == 0, F.repeat(F.lit("بـت"), n)).when(k == 1, F.repeat(F.lit("ب"), n)).otherwise("")
