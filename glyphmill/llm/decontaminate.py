@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphmill.llm.shared import small_batches
+
 #: Words of benchmark text that one broadcast may hold; larger benchmarks are taken in blocks, one scan each.
 BLOCK_WORDS = 2_000_000
 _GAPS = bytes(i if 48 <= i <= 57 or 97 <= i <= 122 or i > 127 else i + 32 if 65 <= i <= 90 else 32 for i in range(256))
@@ -106,6 +108,7 @@ def scan(
     """
     carry = [id_col] if carry is None else carry
     spark = docs.sparkSession
+    small_batches(spark)
     keep = [f"__c{i}" for i in range(len(carry))]
     frame = docs.select(*[F.col(c).alias(k) for c, k in zip(carry, keep)], F.col(text_col).alias("__text"))
     span = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))

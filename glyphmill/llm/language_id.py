@@ -11,10 +11,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.llm.shared import small_batches
+
 #: Bounds of the labelled sample: documents and UTF-8 bytes per language, and languages.
 SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGUAGES = 64, 48_000, 400
 #: Texts are parsed in blocks of this many bytes side by side; a phrase ends at a block's end at the latest.
 BLOCK = 512
+#: Bytes of normalised text that a task parses at a time.
+SLICE = 1_000_000
 _LETTER = re.compile(r"[^\W\d_]")
 _TO_LETTERS = bytes(i if 97 <= i <= 122 or i > 127 else i + 32 if 65 <= i <= 90 else 32 for i in range(256))
 
@@ -65,7 +69,7 @@ class CrossParser:
     def __init__(self, texts: dict[str, bytes]):
         self.names = sorted(texts)
         seen = sorted(set().union(*texts.values())) if texts else []
-        self.classes = np.zeros(256, np.int32)
+        self.classes = np.zeros(256, np.uint8)  # one class is left for bytes unseen; UTF-8 never uses all 256
         for k, b in enumerate(seen):
             self.classes[b] = k + 1
         self.width = len(seen) + 1
@@ -148,6 +152,7 @@ def identify(docs: DataFrame, parser: CrossParser, text_col: str = "text", carry
     winner.  ``und`` with score 0 if the text is null or has no letter, or
     nothing was learned.  Input columns of these names are replaced.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
     @F.pandas_udf("lang_pred string, score double, phrase_bytes double")
@@ -155,15 +160,15 @@ def identify(docs: DataFrame, parser: CrossParser, text_col: str = "text", carry
         p = shared.value
         for batch in batches:
             lang, score, mean = [], [], []
-            data = [normalise(t) for t in batch]
-            at = 0
-            while at < len(data):  # by size, as texts differ in length
-                end, size = at + 1, len(data[at])
-                while end < len(data) and size + len(data[end]) <= 4_000_000:
-                    size += len(data[end])
-                    end += 1
-                counts = p.phrases(data[at:end]) if p.names else None
-                for i, d in enumerate(data[at:end]):
+            at, texts = 0, batch.tolist()
+            while at < len(texts):  # by size, as texts differ in length
+                data, size = [], 0
+                while at < len(texts) and size < SLICE:
+                    data.append(normalise(texts[at]))
+                    size += len(data[-1])
+                    at += 1
+                counts = p.phrases(data) if p.names else None
+                for i, d in enumerate(data):
                     if not d or counts is None:
                         lang.append("und"), score.append(0.0), mean.append(math.nan)
                         continue
@@ -171,7 +176,6 @@ def identify(docs: DataFrame, parser: CrossParser, text_col: str = "text", carry
                     lang.append(p.names[k])
                     score.append(float(1 / counts[i, k] / (1 / counts[i]).sum()))
                     mean.append(len(d) / counts[i, k])
-                at = end
             yield pd.DataFrame({"lang_pred": lang, "score": score, "phrase_bytes": mean})
 
     names = ("lang_pred", "score", "phrase_bytes")

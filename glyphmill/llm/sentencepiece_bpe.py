@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import re
 import struct
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm.shared import small_batches
+
 SPACE = "▁"
 SPACE_UTF8 = SPACE.encode()
 #: Kinds of pieces in a model file.
@@ -87,7 +88,6 @@ class Model:
             self._read(f.read())
 
     def _read(self, data: bytes) -> None:
-        self.digest = hashlib.sha256(data).hexdigest()
         self.pieces: list[bytes] = []
         self.kinds: list[int] = []
         self.scores: list[float] = []
@@ -417,17 +417,6 @@ class Encoder:
         return self.encode_many([text])[0]
 
 
-#: The encoder of this worker process, kept from task to task as long as the model is the same.
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(model: Model) -> Encoder:
-    if model.digest not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[model.digest] = Encoder(model)
-    return _ENCODERS[model.digest]
-
-
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", spans: bool = True, decode: bool = False, carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` (the id by default) with ``ids`` and, if asked, ``begins``, ``ends`` and ``decoded``.
 
@@ -436,6 +425,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     The model file is read once in the driver and sent to the tasks.
     """
     carry = [id_col] if carry is None else carry
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(Model(model_path))
     extra = ["begins array<int>", "ends array<int>"] * spans + ["decoded string"] * decode
     keep = {c: f"__c{i}" for i, c in enumerate(carry)}
@@ -446,7 +436,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         schema = schema.add(field)
 
     def apply(batches):
-        encoder = _encoder(model.value)
+        encoder = Encoder(model.value)  # goes with the task: a worker that lives on shouldn't hold its words
         lists = lambda parts: pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32), np.concatenate(parts))
         for batch in batches:
             texts, held = batch.column(batch.schema.get_field_index("__text")), []

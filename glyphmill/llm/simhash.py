@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import connected_components, materialise
+from glyphmill.llm.shared import connected_components, materialise, small_batches
 
 #: Signature buckets up to this many fingerprints are compared pair by pair; larger ones take the exact way of full-width variants.
 BUCKET = 16
@@ -42,6 +42,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``(id, fp)`` for each row; ``fp`` is the fingerprint's bits as a signed long."""
 
+    small_batches(docs.sparkSession)
     @F.pandas_udf("long")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
