@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Suffixes are put in order by at least this many bytes.
-DEPTH = 512
-
 
 class Induced:
     """Induced sorting of a byte string that ends with its only 0.
@@ -101,14 +98,13 @@ def _names(text: np.ndarray, words: np.ndarray, lms: np.ndarray, sorted_lms: np.
     return names
 
 
-def _order(names: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of ``names``, by pairs of names, then pairs of pairs, until ``DEPTH`` bytes or more count."""
+def _order(names: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of ``names``, by pairs of names, then pairs of pairs, until no two are alike."""
     n, span = len(names), 1
     order = np.argsort(names, kind="stable")
     while span < n:
         top = int(names.max()) + 1
-        reach = lms[span:] - lms[:-span]
-        if top == n or reach.min() >= DEPTH:
+        if top == n:
             break
         order = np.concatenate((np.arange(n - span, n), order[order >= span] - span))  # by the second of each pair
         order = order[np.argsort((names[order] & 0xFFFF).astype(np.uint16), kind="stable")]
@@ -125,7 +121,7 @@ def _order(names: np.ndarray, lms: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes of a byte string that ends with its only 0, ordered by at least ``DEPTH`` bytes.
+    """Suffixes of a byte string that ends with its only 0, in order.
 
     Suffixes are classified; leftmost-smaller substrings are sorted by induction
     from any order and named; the string of names is sorted in turn; and the
@@ -136,7 +132,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     is_lms = np.zeros(len(text), bool)
     is_lms[induced.lms] = True
     names = _names(text, _words(text), induced.lms, first[is_lms[first]])
-    return induced.sort(induced.lms[_order(names, induced.lms)])
+    return induced.sort(induced.lms[_order(names)])
 
 
 def _words(text: np.ndarray) -> np.ndarray:

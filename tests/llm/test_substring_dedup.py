@@ -53,6 +53,22 @@ def test_repeated_windows():
         assert [x.tolist() for x in repeated_windows(texts, length)] == [[count[t[i : i + length]] > 1 for i in range(len(t) - length + 1)] for t in texts]
 
 
+@pytest.mark.parametrize("kind", ["cyrillic", "periodic"])
+def test_overlaps_beyond_a_window(kind):
+    """Segments that share far more bytes than a window holds."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("абвгдежзик", k=rng.randint(2, 7))) + " "
+    for _ in range(8):
+        texts = []
+        for _ in range(12):
+            shared = "".join(word() for _ in range(90)).encode()[:730] if kind == "cyrillic" else (word() * 200).encode()[: rng.randint(700, 1500)]
+            for _ in range(rng.randint(2, 4)):
+                texts.append("".join(word() for _ in range(rng.randint(0, 8))).encode() + shared + "".join(word() for _ in range(rng.randint(0, 8))).encode())
+        rng.shuffle(texts)
+        count = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+        assert [x.tolist() for x in repeated_windows(texts, 400)] == [[count[t[i : i + 400]] > 1 for i in range(len(t) - 399)] for t in texts]
+
+
 def test_whole_table(spark, small_dir):
     rows = [tuple(r.values()) for r in pq.read_table(f"{small_dir}/documents.parquet", columns=["doc_id", "text"]).to_pylist()]
     got = sorted(tuple(r) for r in queries.op6_substring_dedup(spark, small_dir).collect())
