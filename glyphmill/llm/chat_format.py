@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import materialise
+from glyphmill.llm.shared import connected_components, materialise
 
-#: Steps in which messages out of order must settle; each moves them behind one more that they wait for.
+#: Steps in which most messages out of order settle; what still moves then is placed by counting what each waits for.
 MAX_DEPTH = 64
 
 
@@ -63,14 +63,15 @@ def _errors(calls: DataFrame, schemas: Sequence[tuple[str, str, str, bool]]) ->
 def _order(messages: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """``(mid, at, level)`` of messages that others must precede: not before any of these, and one level below.
 
-    Messages that still move in the last half of ``depth`` steps wait for
-    themselves, on a cycle or behind one; null ``at`` marks them.
+    Null ``at`` marks messages on a cycle or behind one.  Tables that settle
+    within ``depth`` steps hold no cycle; :func:`_peel` places the components
+    that don't.
     """
     start = messages.select("mid", F.coalesce("turn", F.lit(-1)).alias("at"), F.lit(0).alias("level"))
     nodes = edges.select(F.col("before").alias("mid")).unionByName(edges.select(F.col("after").alias("mid"))).distinct()
     own = materialise(start.join(nodes, "mid"), "chat-order")
-    now, moving = own, None
-    for step in range(depth):
+    now, changed = own, own.select("mid")
+    for _ in range(depth):
         pushed = edges.join(now.select(F.col("mid").alias("before"), "at", "level"), "before")
         pushed = pushed.groupBy(F.col("after").alias("mid")).agg(F.max(F.struct("at", (F.col("level") + 1).alias("level"))).alias("least"))
         new = own.join(pushed, "mid", "left").withColumn("best", F.greatest(F.struct("at", "level"), F.coalesce("least", F.struct("at", "level"))))
@@ -79,9 +80,31 @@ def _order(messages: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
         now = new
         if changed.isEmpty():
             return now
-        if step >= depth // 2:
-            moving = changed if moving is None else moving.unionByName(changed)
-    return now.join(moving.distinct().withColumn("cyclic", F.lit(True)), "mid", "left").select("mid", F.when(F.col("cyclic").isNull(), F.col("at")).alias("at"), F.when(F.col("cyclic").isNull(), F.col("level")).alias("level"))
+    of = materialise(connected_components(edges.select(F.col("before").alias("u"), F.col("after").alias("v"))).withColumnRenamed("node", "mid"), "chat-components")
+    rest = of.join(of.join(changed, "mid", "left_semi").select("component").distinct(), "component", "left_semi").select("mid")
+    rest = materialise(rest, "chat-unsettled")
+    placed = _peel(own.join(rest, "mid"), edges.join(rest.withColumnRenamed("mid", "after"), "after"))
+    return now.join(rest, "mid", "left_anti").unionByName(placed)
+
+
+def _peel(own: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(mid, at, level)`` as :func:`_order` has them, a step for each link of the longest chain.
+
+    Each step places the messages of which all that must precede are placed,
+    until there are none; those left are on a cycle or behind one.
+    """
+    edges = materialise(edges.select("before", "after"), "chat-unsettled-edges")
+    waits = edges.groupBy(F.col("after").alias("mid")).agg(F.count("*").alias("open"))
+    now = own.join(waits, "mid", "left").select("mid", F.coalesce("open", F.lit(0)).alias("open"), F.struct("at", "level").alias("best"))
+    now = materialise(now.withColumn("fresh", F.col("open") == 0), "chat-peeled")
+    while not (fresh := now.where("fresh")).isEmpty():
+        pushed = edges.join(fresh.select(F.col("mid").alias("before"), "best"), "before").groupBy(F.col("after").alias("mid"))
+        pushed = pushed.agg(F.count("*").alias("n"), F.max(F.struct(F.col("best.at").alias("at"), (F.col("best.level") + 1).alias("level"))).alias("least"))
+        new = now.drop("fresh").join(pushed, "mid", "left").withColumn("left", F.col("open") - F.coalesce("n", F.lit(0)))
+        new = new.select("mid", F.col("left").alias("open"), F.greatest("best", F.coalesce("least", "best")).alias("best"), ((F.col("left") == 0) & (F.col("open") > 0)).alias("fresh"))
+        now = materialise(new, "chat-peeled")
+    place = lambda part: F.when(F.col("open") == 0, F.col(f"best.{part}")).alias(part)
+    return now.select("mid", place("at"), place("level"))
 
 
 def format_chats(
@@ -105,7 +128,7 @@ def format_chats(
 
     ``link`` is null for plain messages, ``linked`` or ``orphan`` for results,
     ``answered`` or ``open`` for calls (all answered or not), ``cyclic`` for
-    messages that wait for themselves (they keep their turn).  ``errors`` tells
+    messages that wait for themselves or for such (they keep their turn).  ``errors`` tells
     which arguments miss their tool's schema ``(name, param, JSON type,
     required)``, as ``call:kind:param``; null for messages without calls.
 

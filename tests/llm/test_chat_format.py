@@ -55,6 +55,19 @@ def test_cycles_chains_and_odd_rows(spark):
     assert chat_format.format_chats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_long_chains_beside_a_cycle(spark):
+    """A chain longer than the steps allowed is placed as a whole; only what is on or behind a cycle is cyclic."""
+    rows = [(1, 0, "assistant", call(("a", "t", {}, ["a"]))), (1, 1, "tool", result("a")), (1, 2, "assistant", call(("b", "t", {}, ["a"]))), (1, 3, "user", "x")]
+    rows += [(2, 20 - i, "assistant", call((f"c{i}", "t", {}, [f"c{i - 1}"] if i else []))) for i in range(6)] + [(2, None, "tool", result(f"c{i}")) for i in range(6)]
+    out = chat_format.format_chats(spark.createDataFrame(rows, SCHEMA), depth=4).collect()
+    assert [r.link for r in sorted((r for r in out if r.conv_id == 1), key=lambda r: r.turn)] == ["cyclic"] * 3 + [None]
+    chain = sorted((r for r in out if r.conv_id == 2), key=lambda r: r.position)
+    data = [json.loads(r.message_json)["data"] for r in chain]
+    assert [d.get("tool_call_id") or d["tool_calls"][0]["id"] for d in data] == [f"c{i}" for i in range(6) for _ in range(2)]
+    assert [r.link for r in chain] == ["answered", "linked"] * 6
+    assert [r.position for r in chain] == list(range(12))
+
+
 def test_whole_table(spark, sf_dir, duck):
     got = sorted(tuple(r) for r in queries.op3_chat_format(spark, sf_dir).select("conv_id", "turn", "position", "message_json").collect())
     assert got == sorted(duck(sf_dir).sql(f"select conv_id, turn, position, message_json from ({queries.ORACLE_OP3})").fetchall())
