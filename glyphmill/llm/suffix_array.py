@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
@@ -79,60 +81,125 @@ class Induced:
         return array
 
 
-def _names(text: np.ndarray, words: np.ndarray, lms: np.ndarray, sorted_lms: np.ndarray) -> np.ndarray:
+class Numbered:
+    """The same for a string of numbers that ends with its only 0, whose buckets are many and small.
+
+    Neighbouring buckets are handled together.  The few positions that one of
+    them induces in the same group come first, one by one in the order of what
+    induces them; then the group induces all others at once.
+    """
+
+    #: Groups of buckets, of about as many positions each.
+    GROUPS = 64
+
+    def __init__(self, text: np.ndarray):
+        self.text, n = text, len(text)
+        edge = np.flatnonzero(text[1:] != text[:-1])
+        lengths = np.diff(np.concatenate(([-1], edge, [n - 1])))
+        self.smaller = np.repeat(np.append(text[edge] < text[edge + 1], True), lengths)
+        self.lms = np.flatnonzero(self.smaller[1:] & ~self.smaller[:-1]).astype(np.int32) + 1
+        size = np.bincount(text)
+        self.ends = np.cumsum(size)
+        self.starts = self.ends - size
+        step = max(1, n // self.GROUPS)
+        cuts = np.unique(np.append(np.searchsorted(self.ends, np.arange(step, n, step)) + 1, len(size)))
+        self.groups = list(zip([0, *cuts[:-1].tolist()], cuts.tolist()))
+
+    def _before(self, array: np.ndarray, group: tuple[int, int], smaller: bool):
+        """Where a group's buckets hold a position whose predecessor is of the wanted type, that predecessor, and its number."""
+        lo, hi = self.starts[group[0]], self.ends[group[1] - 1]
+        at = lo + np.flatnonzero(array[lo:hi] > 0)
+        j = array[at] - 1
+        wanted = self.smaller[j] == smaller
+        return at[wanted], j[wanted], self.text[j[wanted]]
+
+    def _induce(self, array: np.ndarray, edge: np.ndarray, smaller: bool) -> None:
+        text, is_smaller, sign = self.text, self.smaller, -1 if smaller else 1
+        for group in reversed(self.groups) if smaller else self.groups:
+            at, j, c = self._before(array, group, smaller)
+            inside = (c >= group[0]) & (c < group[1])
+            if inside.any():
+                waiting, more = list(zip((at[inside] * sign).tolist(), j[inside].tolist())), []
+                heapq.heapify(waiting)
+                while waiting:
+                    _, p = heapq.heappop(waiting)
+                    k = text[p]
+                    to = int(edge[k]) - smaller
+                    array[to] = p
+                    edge[k] += sign
+                    if p and is_smaller[p - 1] == smaller:
+                        if group[0] <= text[p - 1] < group[1]:
+                            heapq.heappush(waiting, (to * sign, p - 1))
+                        else:
+                            more.append((to, p - 1))
+                at, j = at[~inside], j[~inside]
+                if more:
+                    at, j = (np.concatenate(x) for x in zip((at, j), np.array(more).T))
+                    order = np.argsort(at)
+                    j = j[order]
+                c = text[j]
+            if smaller:
+                j, c = j[::-1], c[::-1]
+            if len(c):
+                order = np.argsort(c, kind="stable")
+                c = c[order]
+                new = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+                size = np.diff(np.append(new, len(c)))
+                rank = np.arange(len(c)) - np.repeat(new, size)
+                array[edge[c] - 1 - rank if smaller else edge[c] + rank] = j[order]
+                edge[c[new]] += sign * size
+
+    def sort(self, lms: np.ndarray) -> np.ndarray:
+        array = np.full(len(self.text), -1, np.int32)
+        c = self.text[lms]
+        order = np.argsort(c, kind="stable")
+        size = np.bincount(c, minlength=len(self.ends))
+        array[(self.ends - size)[c[order]] + np.arange(len(c)) - (np.cumsum(size) - size)[c[order]]] = lms[order]
+        self._induce(array, self.starts.copy(), False)
+        array[self.smaller[array] & (array >= 0)] = -1  # to be induced in their turn
+        self._induce(array, self.ends.copy(), True)
+        array[0] = len(array) - 1
+        return array
+
+
+def _names(text: np.ndarray, lms: np.ndarray, sorted_lms: np.ndarray) -> np.ndarray:
     """A number per leftmost-smaller substring (in text order), equal ones alike and in the substrings' order."""
+    words, step = (_words(text), 8) if text.dtype == np.uint8 else (text, 1)
     place = np.zeros(len(text), np.int32)
     place[lms] = np.arange(len(lms))
-    size = np.append(np.diff(lms) + 1, 1)[place[sorted_lms]]  # the next one's first byte included
+    size = np.append(np.diff(lms) + 1, 1)[place[sorted_lms]]  # the next one's first letter included
     same = np.append(False, size[1:] == size[:-1])
     at, live = 0, np.flatnonzero(same)
     while len(live):
         left = size[live] - at
-        mask = np.where(left >= 8, np.uint64(2**64 - 1), (np.uint64(1) << (8 * np.minimum(left, 7)).astype(np.uint64)) - np.uint64(1))
-        differ = ((words[sorted_lms[live] + at] ^ words[sorted_lms[live - 1] + at]) & mask) != 0
+        differ = words[sorted_lms[live] + at] ^ words[sorted_lms[live - 1] + at]
+        if step == 8:
+            differ &= np.where(left >= 8, np.uint64(2**64 - 1), (np.uint64(1) << (8 * np.minimum(left, 7)).astype(np.uint64)) - np.uint64(1))
+        differ = differ != 0
         same[live[differ]] = False
-        at += 8
-        live = live[~differ & (left > 8)]
+        at += step
+        live = live[~differ & (left > step)]
     names = np.zeros(len(lms), np.int64)
     names[place[sorted_lms]] = np.cumsum(~same) - 1
     return names
 
 
-def _order(names: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of ``names``, by pairs of names, then pairs of pairs, until no two are alike."""
-    n, span = len(names), 1
-    order = np.argsort(names, kind="stable")
-    while span < n:
-        top = int(names.max()) + 1
-        if top == n:
-            break
-        order = np.concatenate((np.arange(n - span, n), order[order >= span] - span))  # by the second of each pair
-        order = order[np.argsort((names[order] & 0xFFFF).astype(np.uint16), kind="stable")]
-        if top > 0x10000:
-            order = order[np.argsort((names[order] >> 16).astype(np.uint16 if top <= 1 << 32 else np.int64), kind="stable")]
-        second = np.append(names[span:], np.full(span, -1))[order]
-        one = names[order]
-        new = np.append(False, (one[1:] != one[:-1]) | (second[1:] != second[:-1]))
-        names = np.empty(n, np.int64)
-        names[order] = np.cumsum(new)
-        order = order if span * 2 < n else order
-        span *= 2
-    return order
-
-
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes of a byte string that ends with its only 0, in order.
+    """Suffixes of a string of bytes or numbers that ends with its only 0, in order.
 
     Suffixes are classified; leftmost-smaller substrings are sorted by induction
-    from any order and named; the string of names is sorted in turn; and the
-    order of the leftmost-smaller suffixes induces that of all.
+    from any order and named; where names repeat, the string of names, at most
+    half as long, is sorted in the same way; and the order of the
+    leftmost-smaller suffixes induces that of all.
     """
-    induced = Induced(text)
-    first = induced.sort(induced.lms)
+    induced = Induced(text) if text.dtype == np.uint8 else Numbered(text)
+    lms = induced.lms
+    first = induced.sort(lms)
     is_lms = np.zeros(len(text), bool)
-    is_lms[induced.lms] = True
-    names = _names(text, _words(text), induced.lms, first[is_lms[first]])
-    return induced.sort(induced.lms[_order(names)])
+    is_lms[lms] = True
+    first = first[is_lms[first]]
+    names = _names(text, lms, first)
+    return induced.sort(first if names.max() == len(lms) - 1 else lms[suffix_array(names)])
 
 
 def _words(text: np.ndarray) -> np.ndarray:

@@ -37,6 +37,17 @@ def test_suffix_arrays():
         assert suffix_array(text).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
 
 
+def test_suffix_arrays_of_numbers():
+    """The recursion's strings, whose buckets are handled in groups."""
+    rng = random.Random(2)
+    for k in range(120):
+        n, most = rng.randint(1, 400), rng.choice([2, 5, 300, 10**5])
+        text = [rng.randint(1, most) for _ in range(n)] + [0]
+        if k % 4 == 0:
+            text[: n // 2] = (text[:3] * n)[: n // 2]
+        assert suffix_array(np.array(text, np.int64)).tolist() == sorted(range(n + 1), key=lambda i: text[i:])
+
+
 def test_repeated_windows():
     rng = random.Random(4)
     for k in range(120):
