@@ -15,7 +15,7 @@ from glyphmill.llm.shared import small_batches
 
 #: Bounds of the labelled sample: documents and UTF-8 bytes per language, and languages.
 SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGUAGES = 64, 48_000, 400
-#: Texts are parsed in blocks of this many bytes side by side; a phrase ends at a block's end at the latest.
+#: Texts are parsed in blocks of this many bytes side by side, whose joins are then put right.
 BLOCK = 512
 #: Bytes of normalised text that a task parses at a time.
 SLICE = 1_000_000
@@ -87,46 +87,95 @@ class CrossParser:
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrases per text and language, whole texts: row by text, column by language."""
+        sizes = np.array([len(t) for t in texts], np.int64)
         out = np.zeros((len(texts), len(self.names)), np.int64)
-        pieces = [(i, t[a : a + BLOCK]) for i, t in enumerate(texts) for a in range(0, len(t), BLOCK)]
-        pieces.sort(key=lambda p: -len(p[1]))
-        if not pieces:
+        if not sizes.any():
             return out
-        owner = np.array([i for i, _ in pieces])
-        lengths = np.array([len(p) for _, p in pieces])
-        grid = np.zeros((len(pieces), int(lengths[0])), np.uint8)
-        grid[np.arange(grid.shape[1]) < lengths[:, None]] = np.frombuffer(b"".join(p for _, p in pieces), np.uint8)
-        columns = np.ascontiguousarray(self.classes[grid].T)
-        live = np.searchsorted(-lengths, -np.arange(grid.shape[1]), side="left")  # pieces longer than each column's number
+        data = self.classes[np.frombuffer(b"".join(texts), np.uint8)]
+        n_blocks = -(-sizes // BLOCK)
+        owner = np.repeat(np.arange(len(texts)), n_blocks)
+        inner = np.arange(len(owner)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
+        first = (np.cumsum(sizes) - sizes)[owner] + inner * BLOCK
+        last = np.minimum(first + BLOCK, np.cumsum(sizes)[owner])
+        filled = np.flatnonzero(sizes)
         for k, table in enumerate(self.tables):
-            state = np.zeros(len(pieces), np.int32)
-            count = np.zeros(len(pieces), np.int32)
-            for c, n in zip(columns, live.tolist()):
-                step = table[state[:n] * self.width + c[:n]]
-                ended = step >> 31  # -1 where a phrase ended
-                count[:n] -= ended
-                state[:n] = step ^ ended  # -1 - s becomes s
-            np.add.at(out[:, k], owner, count)
+            begins = self._begins(table, data, first, last, inner > 0)
+            out[filled, k] = np.add.reduceat(begins, (np.cumsum(sizes) - sizes)[filled], dtype=np.int64)
         return out
 
+    def _begins(self, table: np.ndarray, data: np.ndarray, first: np.ndarray, last: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Where phrases begin.
+
+        Each block is parsed as if a phrase began with it, then again from the
+        state in which the block before it ends, until a phrase begins where
+        one began before: from there on both agree.  Blocks in which this does
+        not happen hand on another state; those after them are parsed once more.
+        """
+        held = bytearray(len(data))
+        begins = np.frombuffer(held, np.uint8)
+        entry, leave = np.zeros(len(first), np.int32), np.zeros(len(first), np.int32)
+
+        def parse(lane: np.ndarray, state: np.ndarray) -> None:
+            at, stop = first[lane], last[lane]
+            while len(lane):
+                step = table[state * self.width + data[at]]
+                begun = step < 0
+                met = begun & (begins[at] != 0)
+                begins[at] = begun
+                state = np.where(begun, -1 - step, step)
+                at = at + 1
+                over = at == stop
+                if (done := met | over).any():
+                    ended = over & ~met
+                    leave[lane[ended]] = state[ended]
+                    going = ~done
+                    lane, at, stop, state = lane[going], at[going], stop[going], state[going]
+
+        parse(np.arange(len(first)), entry)
+        again = np.flatnonzero(follows)
+        entry[again] = leave[again - 1]
+        parse(again, entry[again])
+        rows, letters = memoryview(table), memoryview(data)
+        for k in np.flatnonzero(follows & (entry != np.append(0, leave[:-1]))).tolist():
+            while k < len(first) and follows[k] and entry[k] != leave[k - 1]:
+                entry[k] = state = int(leave[k - 1])
+                for at in range(int(first[k]), int(last[k])):
+                    step = rows[state * self.width + letters[at]]
+                    if step >= 0:
+                        held[at], state = 0, step
+                    elif held[at]:
+                        break
+                    else:
+                        held[at], state = 1, -1 - step
+                else:
+                    leave[k] = state
+                k += 1
+        return begins
+
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> CrossParser:
     """Automata from a bounded sample of labelled rows.
 
-    Per language the ``sample_docs`` rows of smallest hashed id are taken; of
-    their normalised texts, whole ones in that order as long as they fit in
-    ``sample_bytes`` (at least the shortest one, cut to the bound, where none fits).  Rows
-    without label or text don't count; ``docs`` must hold training rows only.
+    Per language the ``sample_docs`` rows of smallest hashed id are taken, of
+    those up to ``4 * sample_bytes`` characters if there are any, else the
+    shortest.  Of their normalised texts, whole ones count in that order as long
+    as they fit in ``sample_bytes``; where none fits, the shortest, cut to the
+    bound.  Of rows that repeat an id, one counts.  Rows without label or text
+    don't count; ``docs`` must hold training rows only.  More than
+    ``MAX_LANGUAGES`` labels are an error.
     """
+    lang, h, size = F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.length(text_col)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = F.xxhash64(F.col(id_col).cast("string"))
-    picked = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), order.alias("h")).withColumn(
-        "k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    )
-    picked = picked.where(F.col("k") <= sample_docs).select("lang", "h").distinct().limit(sample_docs * MAX_LANGUAGES)
-    texts = rows.select(F.col(lang_col).alias("lang"), order.alias("h"), F.col(text_col).alias("text"))
-    texts = texts.where(F.length("text") <= 4 * sample_bytes).join(F.broadcast(picked), ["lang", "h"])
+    long = F.greatest(size - 4 * sample_bytes, F.lit(0)).alias("long")
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "id"))
+    picked = rows.select(lang, h, long, F.col(id_col).alias("id")).withColumn("k", order)
+    picked = picked.where(F.col("k") <= sample_docs).select("lang", "h", "long").distinct()
+    some = picked.select("lang").distinct().limit(MAX_LANGUAGES + 1)
+    if some.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
+    texts = rows.select(lang, h, long, F.substring(text_col, 1, 4 * sample_bytes).alias("text"))
+    texts = texts.join(F.broadcast(picked), ["lang", "h", "long"]).groupBy("lang", "h").agg(F.min("text"))  # MAX_LANGUAGES * sample_docs rows at most
     by: dict[str, list[tuple[int, bytes]]] = {}
     for lang, h, text in texts.toLocalIterator():
         if data := normalise(text):
@@ -167,7 +216,8 @@ def identify(docs: DataFrame, parser: CrossParser, text_col: str = "text", carry
                     data.append(normalise(texts[at]))
                     size += len(data[-1])
                     at += 1
-                counts = p.phrases(data) if p.names else None
+                own = {d: i for i, d in enumerate(dict.fromkeys(data))}  # copies are parsed once
+                counts = p.phrases(list(own))[[own[d] for d in data]] if p.names else None
                 for i, d in enumerate(data):
                     if not d or counts is None:
                         lang.append("und"), score.append(0.0), mean.append(math.nan)

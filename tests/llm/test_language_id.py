@@ -1,34 +1,46 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.llm import language_id, queries
 
 
 def brute_phrases(text, learned):
-    """Greedy longest matches, block by block."""
-    n = 0
-    for a in range(0, len(text), language_id.BLOCK):
-        block, at = text[a : a + language_id.BLOCK], 0
-        while at < len(block):
-            size = 1
-            while at + size < len(block) and block[at : at + size + 1] in learned:
-                size += 1
-            at += size
-            n += 1
+    """Greedy longest matches of the whole text."""
+    n = at = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in learned:
+            size += 1
+        at += size
+        n += 1
     return n
 
 
 def test_phrases_are_longest_matches():
     rng = random.Random(2)
-    learned = {k: bytes(rng.choices(b"abc d", k=300)) for k in ("x", "y")}
+    learned = {k: bytes(rng.choices(b"abc d", k=300)) for k in ("x", "y")} | {"z": bytes(rng.choices(b"ab", k=3000))}
     parser = language_id.CrossParser(learned)
-    texts = [bytes(rng.choices(b"abcd e\xc3", k=rng.choice([1, 5, 700, 1300]))) for _ in range(60)] + [b"a", b""]
+    texts = [bytes(rng.choices(b"abcd e\xc3", k=rng.choice([1, 5, 511, 512, 513, 700, 1300, 4000]))) for _ in range(60)] + [b"a", b""]
+    texts += [learned["z"][a:b] for a, b in ((0, 3000), (7, 2900), (1, 1025))]  # single phrases over many blocks
+    texts += [learned["z"][:1700] + b"e" + learned["z"][100:2500] + learned["x"], b"", learned["y"] * 9, b"a" * 5000]
     got = parser.phrases(texts)
     for row, text in zip(got.tolist(), texts):
         assert row == [brute_phrases(text, learned[k]) for k in parser.names]
 
 
+def test_ties_long_samples_and_too_many_languages(docs_of, monkeypatch):
+    rows = [(1, "same words here", "b"), (2, "same words here", "a"), (3, "long only " * 40, "c"), (4, "long only " * 60, "c"), (1, "same words here", "b")]
+    parser = language_id.learn(docs_of(rows), sample_bytes=50)
+    assert parser.names == ["a", "b", "c"]
+    out = language_id.identify(docs_of([(1, "same words"), (2, "long only long")]), parser).collect()
+    assert [(r.lang_pred, r.score < 0.5) for r in out] == [("a", True), ("c", False)]
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        language_id.learn(docs_of(rows))
+
+
 def test_held_out_accuracy(spark, sf_dir):
     truth = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     out = queries.op2_language_id(spark, sf_dir).join(truth, "doc_id")
