@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import connected_components, materialise
+from glyphmill.llm.shared import materialise
 
-#: Steps in which most messages out of order settle; what still moves then is placed by counting what each waits for.
-MAX_DEPTH = 64
+#: What a tool's schema may say; other words are refused rather than ignored.
+SCHEMA_WORDS = {"type", "properties", "required", "additionalProperties", "enum", "items", "description"}
 
 
 def _json_type(kind: Column) -> Column:
@@ -28,7 +29,7 @@ def _calls(messages: DataFrame) -> DataFrame:
     get = lambda path, kind: F.try_variant_get("call", path, kind)
     return rows.select(
         "mid", "conv", "pos", get("$.id", "string").alias("call_id"), get("$.name", "string").alias("name"),
-        get("$.arguments", "map<string,variant>").alias("args"), get("$.depends_on", "array<string>").alias("depends_on"),
+        get("$.arguments", "variant").alias("args"), get("$.depends_on", "array<string>").alias("depends_on"),
     )
 
 
@@ -38,83 +39,119 @@ def _results(messages: DataFrame) -> DataFrame:
     return told.select("mid", "conv", F.try_variant_get(F.try_parse_json("text"), "$.tool_call_id", "string").alias("call_id"))
 
 
-def _errors(calls: DataFrame, schemas: Sequence[tuple[str, str, str, bool]]) -> DataFrame:
-    """``(mid, errors)``: arguments that are missing, unknown or of another type than the tool's schema says."""
-    spark = calls.sparkSession
-    rules = F.broadcast(spark.createDataFrame([*schemas], "name string, param string, type string, required boolean"))  # as long as the given list
-    key = ["mid", "pos", "param"]
-    given = calls.select("mid", "pos", "name", F.explode("args").alias("param", "value"))
-    given = given.select(*key, _json_type(F.schema_of_variant("value")).alias("is")).alias("g")
-    due = calls.select("mid", "pos", "name").join(rules, "name").select(*key, "type", "required")
-    known = calls.join(rules.select("name").distinct(), "name", "left_semi").select("mid", "pos")
-    fits = (F.col("is") == F.col("type")) | ((F.col("is") == "integer") & (F.col("type") == "number"))
-    found = due.join(given, key, "full").select(
-        "mid", "pos",
-        F.when(F.col("type").isNull(), F.concat(F.lit("unknown:"), "param"))
-        .when(F.col("is").isNull(), F.when(F.col("required"), F.concat(F.lit("missing:"), "param")))
-        .when(~fits, F.concat(F.lit("type:"), "param")).alias("error"),
-    )
-    found = found.where("error is not null").join(known, ["mid", "pos"], "left_semi")
-    tools = calls.join(known, ["mid", "pos"], "left_anti").select("mid", "pos", F.concat(F.lit("tool:"), F.coalesce("name", F.lit(""))).alias("error"))
-    found = found.unionByName(tools).groupBy("mid").agg(F.array_sort(F.collect_list(F.concat(F.col("pos").cast("string"), F.lit(":"), "error"))).alias("errors"))
-    return found
-
-
-def _order(messages: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """``(mid, at, level)`` of messages that others must precede: not before any of these, and one level below.
-
-    Null ``at`` marks messages on a cycle or behind one.  Tables that settle
-    within ``depth`` steps hold no cycle; :func:`_peel` places the components
-    that don't.
+def _misfits(value: Column, schema: Mapping, path: Column | None = None) -> Column:
+    """``kind:path`` for each part of a variant that its schema doesn't allow."""
+    if unknown := set(schema) - SCHEMA_WORDS:
+        raise ValueError(f"not understood in a tool's schema: {sorted(unknown)}")
+    here = F.lit("") if path is None else path
+    below = lambda name: name if path is None else F.concat(path, F.lit("."), name)
+    none = F.array().cast("array<string>")
+    kind, found = _json_type(F.schema_of_variant(value)), [none]
+    if "enum" in schema:
+        known = [json.dumps(x, separators=(",", ":"), ensure_ascii=False) for x in schema["enum"]]
+        found.append(F.when(~F.to_json(value).isin(*known), F.array(F.concat(F.lit("enum:"), here))).otherwise(none))
+    for name, inner in schema.get("properties", {}).items():
+        part, at = F.try_variant_get(value, f"$[{json.dumps(name)}]", "variant"), below(F.lit(name))
+        absent = F.array(F.concat(F.lit("missing:"), at)) if name in schema.get("required", ()) else none
+        found.append(F.when(kind != "object", none).when(part.isNull(), absent).otherwise(_misfits(part, inner, at)))
+    if schema.get("additionalProperties", True) is False:
+        keys = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+        more = F.filter(keys, lambda k: ~k.isin(*schema.get("properties", {"": None})))
+        found.append(F.when(kind == "object", F.transform(more, lambda k: F.concat(F.lit("unknown:"), below(k)))).otherwise(none))
+    if "items" in schema:
+        items = F.try_variant_get(value, "$", "array<variant>")
+        each = F.transform(items, lambda x, i: _misfits(x, schema["items"], below(i.cast("string"))))
+        found.append(F.when(kind == "array", F.flatten(each)).otherwise(none))
+    inner = F.concat(*found)
+    if "type" not in schema:
+        return inner
+    kinds = [schema["type"]] if isinstance(schema["type"], str) else list(schema["type"])
+    fits = kind.isin(*kinds, *(["integer"] if "number" in kinds else []))
+    return F.when(fits, inner).otherwise(F.array(F.concat(F.lit("type:"), here)))
+
+
+def _errors(calls: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
+    """``(mid, errors)``: what each call's arguments, absent ones being an empty object, miss of its tool's schema."""
+    args = F.coalesce("args", F.parse_json(F.lit("{}")))
+    found = F.array(F.concat(F.lit("tool:"), F.coalesce("name", F.lit(""))))
+    for tool, schema in schemas.items():
+        found = F.when(F.col("name") == tool, _misfits(args, schema)).otherwise(found)
+    tagged = calls.select("mid", "pos", found.alias("found"))
+    tagged = tagged.select("mid", F.transform("found", lambda x: F.concat(F.col("pos").cast("string"), F.lit(":"), x)).alias("found"))
+    return tagged.groupBy("mid").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("errors"))
+
+
+def _later(place: Column, steps: Column | int) -> Column:
+    """A place some links further down."""
+    return F.struct(place["at"].alias("at"), (place["level"] + steps).alias("level"))
+
+
+def _order(messages: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(mid, at, level)`` of messages on the edges ``(before, after)``, in topological order.
+
+    A message is placed not before any that must precede it, and one level
+    below the latest of these; null marks messages on a cycle or behind one.
+
+    Messages with one predecessor form chains.  Each round doubles how far such
+    a message looks back, so chains of any length take few rounds; those that
+    a round brings no nearer to a chain's head go round in a cycle.  Messages
+    with several predecessors then are placed once all of these are, a round
+    for each that waits for another.
     """
-    start = messages.select("mid", F.coalesce("turn", F.lit(-1)).alias("at"), F.lit(0).alias("level"))
     nodes = edges.select(F.col("before").alias("mid")).unionByName(edges.select(F.col("after").alias("mid"))).distinct()
-    own = materialise(start.join(nodes, "mid"), "chat-order")
-    now, changed = own, own.select("mid")
-    for _ in range(depth):
-        pushed = edges.join(now.select(F.col("mid").alias("before"), "at", "level"), "before")
-        pushed = pushed.groupBy(F.col("after").alias("mid")).agg(F.max(F.struct("at", (F.col("level") + 1).alias("level"))).alias("least"))
-        new = own.join(pushed, "mid", "left").withColumn("best", F.greatest(F.struct("at", "level"), F.coalesce("least", F.struct("at", "level"))))
-        new = materialise(new.select("mid", "best.at", "best.level"), "chat-order")
-        changed = new.join(now.withColumnsRenamed({"at": "a", "level": "l"}), "mid").where("at <> a or level <> l").select("mid")
-        now = new
-        if changed.isEmpty():
-            return now
-    of = materialise(connected_components(edges.select(F.col("before").alias("u"), F.col("after").alias("v"))).withColumnRenamed("node", "mid"), "chat-components")
-    rest = of.join(of.join(changed, "mid", "left_semi").select("component").distinct(), "component", "left_semi").select("mid")
-    rest = materialise(rest, "chat-unsettled")
-    placed = _peel(own.join(rest, "mid"), edges.join(rest.withColumnRenamed("mid", "after"), "after"))
-    return now.join(rest, "mid", "left_anti").unionByName(placed)
-
-
-def _peel(own: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(mid, at, level)`` as :func:`_order` has them, a step for each link of the longest chain.
-
-    Each step places the messages of which all that must precede are placed,
-    until there are none; those left are on a cycle or behind one.
-    """
-    edges = materialise(edges.select("before", "after"), "chat-unsettled-edges")
-    waits = edges.groupBy(F.col("after").alias("mid")).agg(F.count("*").alias("open"))
-    now = own.join(waits, "mid", "left").select("mid", F.coalesce("open", F.lit(0)).alias("open"), F.struct("at", "level").alias("best"))
-    now = materialise(now.withColumn("fresh", F.col("open") == 0), "chat-peeled")
-    while not (fresh := now.where("fresh")).isEmpty():
-        pushed = edges.join(fresh.select(F.col("mid").alias("before"), "best"), "before").groupBy(F.col("after").alias("mid"))
-        pushed = pushed.agg(F.count("*").alias("n"), F.max(F.struct(F.col("best.at").alias("at"), (F.col("best.level") + 1).alias("level"))).alias("least"))
-        new = now.drop("fresh").join(pushed, "mid", "left").withColumn("left", F.col("open") - F.coalesce("n", F.lit(0)))
-        new = new.select("mid", F.col("left").alias("open"), F.greatest("best", F.coalesce("least", "best")).alias("best"), ((F.col("left") == 0) & (F.col("open") > 0)).alias("fresh"))
-        now = materialise(new, "chat-peeled")
-    place = lambda part: F.when(F.col("open") == 0, F.col(f"best.{part}")).alias(part)
-    return now.select("mid", place("at"), place("level"))
+    waits = edges.groupBy(F.col("after").alias("mid")).agg(F.count("*").alias("open"), F.min("before").alias("to"))
+    place = F.struct(F.coalesce("turn", F.lit(-1)).cast("long").alias("at"), F.lit(0).alias("level")).alias("place")
+    own = messages.select("mid", place).join(nodes, "mid").join(waits, "mid", "left").select("mid", "place", F.coalesce("open", F.lit(0)).alias("open"), "to")
+    own = materialise(own, "chat-nodes")
+    chained = own.where("open = 1").select("mid", "place", "to", F.lit(1).alias("steps"))
+    heads = own.where("open = 1").select(F.col("mid").alias("to")).withColumn("open", F.lit(True))
+    now = materialise(chained.join(heads, "to", "left").select("mid", "place", "to", "steps", F.coalesce("open", F.lit(False)).alias("open")), "chat-chains")
+    left, before = now.where("open").count(), -1
+    while left and left != before:
+        back = now.select(F.col("mid").alias("to"), F.col("place").alias("p"), F.col("to").alias("t"), F.col("steps").alias("s"), F.col("open").alias("o"))
+        jumped = now.where("open").join(back, "to").select(
+            "mid", F.greatest("place", _later(F.col("p"), F.col("steps"))).alias("place"), F.col("t").alias("to"), (F.col("steps") + F.col("s")).alias("steps"), F.col("o").alias("open")
+        )
+        now = materialise(now.where("not open").unionByName(jumped), "chat-chains")
+        left, before = now.where("open").count(), left
+    settled = now.where("not open").drop("open")
+    ends = own.where("open <> 1").select("mid", F.when(F.col("open") == 0, F.col("place")).alias("done"))
+    joins = own.where("open > 1").select("mid", "place", "open")
+    if not joins.isEmpty():
+        ends = ends.where("done is not null").unionByName(_joined(own, joins, settled, edges))
+    reached = settled.join(ends.withColumnsRenamed({"mid": "to"}), "to", "left")
+    reached = reached.select("mid", F.when(F.col("done").isNotNull(), F.greatest("place", _later(F.col("done"), F.col("steps")))).alias("done"))
+    stuck = now.where("open").select("mid", F.lit(None).cast("struct<at:long,level:int>").alias("done"))
+    return ends.unionByName(reached).unionByName(stuck).select("mid", "done.at", "done.level")
+
+
+def _joined(own: DataFrame, joins: DataFrame, settled: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(mid, done)`` of messages with several predecessors, null where these are never all placed."""
+    into = edges.join(joins.select(F.col("mid").alias("after")), "after", "left_semi")
+    direct = own.where("open <> 1").select(F.col("mid").alias("before"), F.col("mid").alias("source"), F.lit(None).cast("struct<at:long,level:int>").alias("least"), F.lit(1).alias("steps"))
+    chained = settled.select(F.col("mid").alias("before"), F.col("to").alias("source"), _later(F.col("place"), 1).alias("least"), (F.col("steps") + 1).alias("steps"))
+    links = materialise(into.join(direct.unionByName(chained), "before").select("source", "after", "least", "steps"), "chat-joins")
+    fresh = own.where("open = 0").select("mid", F.col("place").alias("done"))
+    now = materialise(joins.withColumn("done", F.lit(None).cast("struct<at:long,level:int>")).withColumn("fresh", F.lit(False)), "chat-placed")
+    while True:
+        pushed = links.join(fresh.select(F.col("mid").alias("source"), "done"), "source").groupBy(F.col("after").alias("mid"))
+        pushed = pushed.agg(F.count("*").alias("n"), F.max(F.greatest("least", _later(F.col("done"), F.col("steps")))).alias("least"))
+        new = now.join(pushed, "mid", "left").withColumns({"left": F.col("open") - F.coalesce("n", F.lit(0)), "best": F.greatest("place", "least")})
+        ready = (F.col("left") == 0) & (F.col("open") > 0)
+        new = new.select("mid", F.col("best").alias("place"), F.col("left").alias("open"), F.when(ready, F.col("best")).otherwise(F.col("done")).alias("done"), ready.alias("fresh"))
+        now = materialise(new, "chat-placed")
+        fresh = now.where("fresh").select("mid", "done")
+        if fresh.isEmpty():
+            return now.select("mid", "done")
 
 
 def format_chats(
     conversations: DataFrame,
-    schemas: Sequence[tuple[str, str, str, bool]] = (),
+    schemas: Mapping[str, Mapping] | None = None,
     conv_col: str = "conv_id",
     turn_col: str = "turn",
     role_col: str = "role",
     text_col: str = "text",
-    depth: int = MAX_DEPTH,
 ) -> DataFrame:
     """A row per message: its place in the conversation, its links, and canonical JSON.
 
@@ -129,8 +166,10 @@ def format_chats(
     ``link`` is null for plain messages, ``linked`` or ``orphan`` for results,
     ``answered`` or ``open`` for calls (all answered or not), ``cyclic`` for
     messages that wait for themselves or for such (they keep their turn).  ``errors`` tells
-    which arguments miss their tool's schema ``(name, param, JSON type,
-    required)``, as ``call:kind:param``; null for messages without calls.
+    where arguments miss their tool's JSON schema (``type``, ``properties``,
+    ``required``, ``additionalProperties: false``, ``enum`` and ``items``, to any
+    depth), as ``call:kind:path`` joined by semicolons, and which tools have
+    none; null for messages without calls.
 
     ``message_json`` has sorted keys, no spaces and no null fields; a JSON text
     is given as a value with its keys sorted too, other text as ``content``.
@@ -149,12 +188,12 @@ def format_chats(
     extra = None
     if not (calls.isEmpty() and results.isEmpty()):
         first = calls.where("call_id is not null").groupBy("conv", "call_id").agg(F.min("mid").alias("call_mid"))
-        pair = results.join(first, (results["conv"].eqNullSafe(first["conv"])) & (results["call_id"] == first["call_id"]), "left").select("mid", results["conv"], results["call_id"], "call_mid")
+        pair = results.join(first.hint("shuffle_hash"), (results["conv"].eqNullSafe(first["conv"])) & (results["call_id"] == first["call_id"]), "left").select("mid", results["conv"], results["call_id"], "call_mid")
         pair = materialise(pair, "chat-pairs")
         needs = calls.select(F.col("mid").alias("after"), F.col("conv").alias("c"), F.explode("depends_on").alias("need"))
-        waits = needs.join(pair, F.col("c").eqNullSafe(F.col("conv")) & (F.col("need") == F.col("call_id"))).select(F.col("mid").alias("before"), "after")
+        waits = needs.join(pair.hint("shuffle_hash"), F.col("c").eqNullSafe(F.col("conv")) & (F.col("need") == F.col("call_id"))).select(F.col("mid").alias("before"), "after")
         edges = pair.where("call_mid is not null").select(F.col("call_mid").alias("before"), F.col("mid").alias("after")).unionByName(waits).where("before <> after").distinct()
-        order = _order(messages, materialise(edges, "chat-edges"), depth)
+        order = _order(messages, materialise(edges, "chat-edges"))
         answered = calls.select("mid", "conv", "call_id").join(
             pair.where("call_mid is not null").select(F.col("conv").alias("pc"), F.col("call_id").alias("pi")).distinct(),
             F.col("conv").eqNullSafe(F.col("pc")) & (F.col("call_id") == F.col("pi")), "left",
@@ -162,7 +201,7 @@ def format_chats(
         link = answered.select("mid", F.when(F.col("all"), "answered").otherwise("open").alias("link")).unionByName(
             pair.select("mid", F.when(F.col("call_mid").isNotNull(), "linked").otherwise("orphan").alias("link"))
         )
-        errors = calls.select("mid").distinct().join(_errors(calls, schemas), "mid", "left").select("mid", F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
+        errors = calls.select("mid").distinct().join(_errors(calls, schemas or {}), "mid", "left").select("mid", F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
         extra = materialise(link.join(order.withColumn("ordered", F.lit(True)), "mid", "left").join(errors, "mid", "left"), "chat-links")
     none = {"link": "string", "at": "long", "level": "int", "ordered": "boolean", "errors": "array<string>"}
     rows = messages.join(extra, "mid", "left") if extra is not None else messages.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})

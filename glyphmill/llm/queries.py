@@ -20,13 +20,12 @@ URL_RULES = [
 ]
 
 
-#: Tools that calls may name: (tool, parameter, JSON type, required).
-TOOL_SCHEMAS = [
-    ("search", "query", "string", True),
-    ("search", "limit", "integer", False),
-    ("open_page", "url", "string", True),
-    ("calculate", "expression", "string", True),
-]
+#: Tools that calls may name, with the JSON schemas of their arguments.
+TOOL_SCHEMAS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query"], "additionalProperties": False},
+    "open_page": {"type": "object", "properties": {"url": {"type": "string"}}, "required": ["url"], "additionalProperties": False},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"], "additionalProperties": False},
+}
 
 
 def tokenizer_path(name: str = PIECE_MODEL) -> str:
