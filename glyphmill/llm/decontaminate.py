@@ -8,6 +8,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -169,7 +170,12 @@ def cut_spans(text: str | None, spans) -> str | None:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``(id, text)`` of every row, benchmark passages cut out of the texts (:func:`cut_spans`)."""
-    cut = F.udf(cut_spans, "string")
+
+    @F.pandas_udf("string")
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, spans in batches:
+            yield pd.Series([cut_spans(t, s) for t, s in zip(texts, spans)], dtype=object)
+
     found = scan(docs, benchmark, id_col=id_col, text_col=text_col, carry=[id_col, text_col], **options)
     text = F.when(F.col("n_hit") > 0, cut(text_col, "spans")).otherwise(F.col(text_col))
     return found.select(id_col, text.alias(text_col))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm.shared import small_batches
+
 #: Labelled rows that a fit may gather, chosen by hashed id.
 SAMPLE_ROWS = 20_000
 _LINE = re.compile(r"[^\n]+")
@@ -124,16 +126,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits on at most ``sample_rows`` labelled rows, those of smallest hashed id.
 
     ``labels`` must hold training rows only.  Rows with a null id or label don't
-    count, nor ids whose labels disagree; statistics are computed in the
-    cluster, and only they come to the driver (240 bytes a row).
+    count, nor ids whose labels disagree; of texts that repeat an id, the one that
+    sorts first counts.  Statistics are computed in the cluster, and only they
+    come to the driver (240 bytes a row).
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
     known = known.agg(F.min(label_col).alias("y"), F.max(label_col).alias("z")).where("y = z").drop("z")
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     stats = F.pandas_udf(lambda texts: pd.Series(list(_matrix(texts))), "array<double>")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
-    found = rows.select("id", F.col("y").cast("double").alias("y"), F.col("text")).select("id", "y", stats("text").alias("x"))
-    found = found.limit(2 * sample_rows).toPandas().sort_values("id", kind="stable")
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.first("y").cast("double").alias("y"))
+    small_batches(docs.sparkSession)
+    found = rows.select("id", "y", stats("text").alias("x")).toPandas().sort_values("id", kind="stable")
     x = np.array(found["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return fit_trees(x, (found["y"].to_numpy(dtype=np.float64) > 0).astype(np.float64), **tree_options)
 
@@ -144,6 +148,7 @@ def score_quality(docs: DataFrame, trees: Trees, text_col: str = "text", carry:
     Whole texts count; null counts as empty, and an empty text has a score too.
     Input columns of these names are replaced.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf("double")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -460,5 +462,11 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 def decode(tokens: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``tokens`` with the text of each row's ids; null ids give null, no ids an empty text."""
     model = tokens.sparkSession.sparkContext.broadcast(Model(model_path))
-    read = F.udf(lambda ids: None if ids is None else model.value.decode(ids), "string")
+
+    @F.pandas_udf("string")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda ids: None if ids is None else model.value.decode(ids))
+
+    small_batches(tokens.sparkSession)
     return tokens.withColumn(out_col, read(ids_col))

@@ -26,11 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Sends at most ``rows`` rows to Python at a time, as texts are long: a batch is held on both sides, for every task."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows or int(spark.conf.get(key, "10000")) <= 0:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 8_000_000) -> None:
+    """Sends at most ``rows`` rows, and no more once there are ``size`` bytes, to Python at a time.
+
+    Texts are long, and a batch is held on both sides, for every task.  The
+    session keeps the bounds, as Spark reads them when a frame is run, which is
+    after the operator that made it has returned; lower ones stay as they are.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
+def spread(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """``df`` of ``rows`` rows over so many partitions that none has more than ``most``, and every core has one."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // most)))
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

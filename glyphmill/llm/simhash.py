@@ -10,10 +10,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import connected_components, materialise, small_batches
+from glyphmill.llm.shared import connected_components, materialise, small_batches, spread
 
 #: Signature buckets up to this many fingerprints are compared pair by pair; larger ones take the exact way of full-width variants.
 BUCKET = 16
+#: Fingerprints of a task that writes out their signatures.
+SIGNED = 50_000
 #: Buckets of more than two that are sent to every task to pick their members; beyond this many, members are found by a shuffled join.
 BROADCAST_BUCKETS = 500_000
 
@@ -43,6 +45,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id, fp)`` for each row; ``fp`` is the fingerprint's bits as a signed long."""
 
     small_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
@@ -76,7 +79,7 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     share such a value if and only if they differ in two bits or fewer, and all
     that share one are linked to the least of them.
     """
-    keyed = fps.select("fp", F.explode(_variants(F.col("fp"))).alias("sig"))
+    keyed = spread(fps, fps.count(), SIGNED).select("fp", F.explode(_variants(F.col("fp"))).alias("sig"))
     sizes = keyed.groupBy("sig").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     sizes = materialise(sizes, "simhash-buckets")
     close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= 2

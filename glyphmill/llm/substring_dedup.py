@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.llm.anchors import segment_hash, segments
-from glyphmill.llm.shared import materialise
+from glyphmill.llm.shared import materialise, small_batches
 from glyphmill.llm.suffix_array import repeated_windows
 
 #: Bytes of a shard, and of one key's segments beyond which its windows are counted by their hash instead.
@@ -207,6 +207,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     come again.  A key whose segments outgrow a shard is counted by the hashes
     of its windows, over many tasks.
     """
+    small_batches(docs.sparkSession)
     texts = materialise(_scan(docs, id_col, text_col, length), "repeat-texts")
     zipped = F.arrays_zip(F.col("keys").alias("key"), F.col("segs").alias("seg"), F.col("starts").alias("start"), F.col("windows").alias("w"), F.col("inners").alias("inner"))
     segs = texts.select("rid", F.size("ids").alias("copies"), F.explode(zipped).alias("s"))

@@ -73,19 +73,43 @@ def match_rules(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFr
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Edges ``(url, target)`` from ``<link rel=canonical>`` and ``<meta http-equiv=refresh>`` of whole pages.
 
-    Absolute targets, ``//host/...`` and ``/path`` are understood; others are left out.
+    ``canonical`` may be one of several words of ``rel``.  Targets are resolved
+    against the page's url (``&amp;`` is read as ``&``): absolute ones, those
+    without scheme or host, those relative to the page's folder with ``.`` and
+    ``..``, and mere queries.  Fragments and other schemes (``mailto:``) make no edge.
     """
-    tags = F.regexp_extract_all(html_col, F.lit(r"(?i)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>|<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), 1)
-    href = F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1)
-    raw = F.when(F.startswith(F.lower("tag"), F.lit("<link")), href).otherwise(refresh)
-    target = (
-        F.when(F.instr("raw", "://") > 0, F.col("raw"))
-        .when(F.startswith("raw", F.lit("//")), F.concat(F.lit("http:"), "raw"))
-        .when(F.startswith("raw", F.lit("/")), F.concat(F.lit("http://"), host_of(F.col("url")), "raw"))
+    tags = F.regexp_extract_all(html_col, F.lit(r"(?i)(<link\b[^>]*>|<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), 1)
+    rows = pages.select(F.col(url_col).alias("url"), F.explode(tags).alias("tag")).where("url is not null")
+    canonical = F.array_contains(F.split(F.lower(_attribute("rel")), r"\s+"), "canonical")
+    refresh = F.regexp_extract(_attribute("content"), r"(?i)\burl\s*=\s*[\"']?([^\"'\s]+)", 1)
+    raw = F.when(F.startswith(F.lower("tag"), F.lit("<meta")), refresh).when(canonical, _attribute("href"))
+    rows = rows.select("url", F.trim(F.replace(raw, F.lit("&amp;"), F.lit("&"))).alias("raw")).where("raw <> '' and not startswith(raw, '#')")
+    return rows.select("url", _resolved(F.col("url"), F.col("raw")).alias("target")).where("target is not null")
+
+
+def _attribute(name: str) -> Column:
+    """The value of a ``tag``'s attribute, quoted or bare; empty if it has none."""
+    pattern = rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    return F.concat(*[F.regexp_extract("tag", pattern, i) for i in (1, 2, 3)])
+
+
+def _resolved(url: Column, raw: Column) -> Column:
+    """A link's target as an absolute url; null for schemes without a host."""
+    root = F.concat(F.lit("http://"), host_of(url))
+    folder = F.concat(F.regexp_extract(path_of(url), r"^(.*/)", 1))
+    path, rest = F.regexp_extract(raw, r"^[^?#]*", 0), F.regexp_extract(raw, r"^[^?#]*(.*)$", 1)
+    parts = F.split(F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path)), "/")
+    climbed = F.aggregate(
+        F.slice(parts, F.lit(2), F.size(parts)),
+        F.array().cast("array<string>"),
+        lambda done, p: F.when(p == ".", done).when(p == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, p)),
     )
-    out = pages.select(F.col(url_col).alias("url"), F.explode(tags).alias("tag")).withColumn("raw", raw)
-    return out.select("url", target.alias("target")).where("url is not null and target is not null")
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    return (
+        F.when(F.instr(raw, "://") > 0, raw).when(F.startswith(raw, F.lit("//")), F.concat(F.lit("http:"), raw))
+        .when(raw.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), None).when(path == "", F.concat(root, path_of(url), rest))
+        .otherwise(F.concat(root, F.lit("/"), F.array_join(climbed, "/"), F.when(F.size(climbed) > 0, end).otherwise(""), rest))
+    )
 
 
 def judge_urls(

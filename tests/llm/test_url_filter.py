@@ -1,3 +1,5 @@
+from urllib.parse import urljoin
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ def test_decisions_spread_over_aliases(spark):
         (4, "http://ok.com/4", link.format("//a.org/1")),  # explicit allow joins the component
         (5, "http://c.org/5", link.format("/6")),
         (6, "http://c.org/6", link.format("http://x.net/fr/9")),  # an end that is no page
-        (7, "http://d.org/7", link.format("relative.html")),
+        (7, "http://d.org/7", link.format("mailto:a@b.org")),
         (8, "http://c.org/5?other", None),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -59,3 +61,21 @@ def test_decisions_spread_over_aliases(spark):
     assert got[7] == "block"
     assert url_filter.judge_urls(pages.limit(0), queries.URL_RULES).count() == 0
     assert {r.verdict for r in url_filter.judge_urls(pages, []).collect()} == {"allow"}
+
+
+def test_targets_are_resolved(spark):
+    links = ["es/index.html", "../x", "../../../y/./z/..", ".", "./", "?p=1&amp;q=2", "a/b?c=../d#e", "/r/../s", "//o.org/t", "HTTPS://u.org/v", "b;c=1", "../"]
+    bases = ["http://h.org/a/b/c.html?old#top", "http://h.org", "http://h.org/a/"]
+    pages = [(base, f'<LINK data-rel="x" REL="alternate Canonical" href=\'{x}\'><link rel="stylesheet" href="no.css">') for base in bases for x in links]
+    pages += [(base, f'<meta content="3; URL={x}" http-equiv=refresh>') for base in bases for x in links]
+    got = sorted(tuple(r) for r in url_filter.alias_edges(spark.createDataFrame(pages, "url string, html string")).collect())
+    want = [(base, urljoin(base, x.replace("&amp;", "&")).replace("https://u", "HTTPS://u")) for base in bases for x in links]
+    assert got == sorted(want * 2)
+    none = [("http://h.org/", f'<link rel=canonical href="{x}">') for x in ("#top", "", "mailto:a@b", "javascript:void(0)")] + [(None, pages[0][1]), ("http://h.org/", None), ("http://h.org/", "<link rel=canonical>")]
+    assert url_filter.alias_edges(spark.createDataFrame(none, "url string, html string")).count() == 0
+
+
+def test_repeated_rows(spark):
+    page = (1, "http://a.org/1", '<link rel=canonical href="http://x.net/es/3">')
+    out = url_filter.judge_urls(spark.createDataFrame([page, page, (2, page[1], None), (None, page[1], None)], "page_id long, url string, html string"), queries.URL_RULES).collect()
+    assert sorted((r.page_id or 0, r.verdict) for r in out) == [(0, "block"), (1, "block"), (1, "block"), (2, "block")]
