@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.shared import materialise
+from glyphmill.llm.shared import materialise, small_batches
 
 #: The most frequent words that every task knows by number and count (two bytes a number).
 HOT_WORDS = 65_000
 #: Numbers below HOT: hot words by falling count; START: the history of a text's first token.  Above: ids of other words.
 HOT, START = 65_536, 65_535
-#: The most frequent histories, whose continuations are dealt out by the word as well.
-SALTED = 512
+#: A word this share of a partition's tokens deals its continuations out by the word as well,
+SHARE = 1 / 8
+#: and bigrams of two such words, of the first so many, are dealt out over all partitions, each of which counts a part.
+SPLIT = 512
 #: Counts up to this are discounted.
 CUT = 5
 #: Tokens that a task holds at a time, and that a partition of the model is planned for.
@@ -92,10 +95,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _home(h: np.ndarray, w: np.ndarray, parts: int) -> np.ndarray:
-    """The partition of a bigram: by history, or by both words for the most frequent histories."""
-    salted = (h < SALTED) | (h == START)
-    return (_mix(np.where(salted, _mix(h) + w, h)) % np.uint64(parts)).astype(np.int64)
+class Heat(NamedTuple):
+    """How many of the hot words, by falling count, are dealt out as histories, and how many in pairs."""
+
+    salted: int
+    split: int
+
+
+def _split(h: np.ndarray, w: np.ndarray, heat: Heat) -> np.ndarray:
+    return ((h < heat.split) | (h == START)) & (w < heat.split)
+
+
+def _home(h: np.ndarray, w: np.ndarray, parts: int, heat: Heat, task: int = 0) -> np.ndarray:
+    """The partition of a bigram: by history; by both words for frequent histories; by the task too for pairs of frequent words."""
+    salted = (h < heat.salted) | (h == START)
+    key = np.where(salted, _mix(h) + w, h)
+    return (_mix(np.where(_split(h, w, heat), key + np.uint64(task), key)) % np.uint64(parts)).astype(np.int64)
+
+
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal keys made one, sorted, with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    runs = _runs(keys) if len(keys) else np.zeros(0, np.int64)
+    return keys[runs], np.add.reduceat(counts, runs) if len(runs) else counts
+
+
+def _histogram(counts: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum(counts, CUT + 2), minlength=CUT + 3)[: CUT + 2].astype(np.float64)
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -142,7 +169,7 @@ class _Codes(dict):
         return code
 
 
-def _deal(texts: Iterator[tuple], hot: dict[int, int], hot_counts: np.ndarray, uni: Unigrams, parts: int, task: int):
+def _deal(texts: Iterator[tuple], hot: dict[int, int], hot_counts: np.ndarray, uni: Unigrams, heat: Heat, parts: int, task: int):
     """``(partition, kind, blob)`` of a task's texts ``(id, text, train)``.
 
     Kinds: ``m`` what is known of its documents, to their home; ``h`` bigrams
@@ -182,7 +209,7 @@ def _deal(texts: Iterator[tuple], hot: dict[int, int], hot_counts: np.ndarray, u
         number += len(rows)
         for kind, some in (("h", common), ("w", ~common)):
             ws, hs, ds = w[some], h[some], doc[some]
-            home = _home(hs, ws, parts) if kind == "h" else (_mix(ws) % np.uint64(parts)).astype(np.int64)
+            home = _home(hs, ws, parts, heat, task) if kind == "h" else (_mix(ws) % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((ws, hs, home) if kind == "h" else (hs, ws, home))
             ws, hs, ds, home = ws[order], hs[order], ds[order], home[order]
             edges = np.searchsorted(home, np.arange(parts + 1))
@@ -196,7 +223,7 @@ def _deal(texts: Iterator[tuple], hot: dict[int, int], hot_counts: np.ndarray, u
                 yield p, kind, pickle.dumps((task, _pack(first[runs], size_of, second, ds[a:b])), 5)
 
 
-def _look_up(rows, uni: Unigrams, parts: int):
+def _look_up(rows, uni: Unigrams, heat: Heat, parts: int):
     """A word partition's bigrams with their words' counts, on to the history's partition; base scores to the documents' homes."""
     w, h, doc, task = _gather((pickle.loads(blob) for kind, blob in rows if kind == "w"), word_first=True)
     if not len(w):
@@ -212,7 +239,7 @@ def _look_up(rows, uni: Unigrams, parts: int):
     known = each > 0
     yield from _sums(task, doc, parts, np.where(known, uni.base(each), uni.base(np.zeros(1))[0]), known)
     number = (HOT + rank * parts + part).astype(np.uint64)
-    home = _home(h, number, parts)
+    home = _home(h, number, parts, heat)
     order = np.lexsort((number, h, task, home))
     h, number, doc, task, home, each = h[order], number[order], doc[order], task[order], home[order], each[order]
     for a, b in _pieces(home, task):
@@ -259,7 +286,8 @@ def _sums(task: np.ndarray, doc: np.ndarray, parts: int, *values: np.ndarray):
 class _Histories:
     """A history partition's bigrams, counted."""
 
-    def __init__(self, rows, hot_counts: np.ndarray, uni: Unigrams):
+    def __init__(self, rows, hot_counts: np.ndarray, uni: Unigrams, heat: Heat):
+        self.heat = heat
         blobs = (pickle.loads(blob) for kind, blob in rows if kind in "hr")
         w, h, doc, task, each = _gather(blobs, word_first=False, counts=hot_counts)
         order = np.lexsort((w, h))
@@ -271,34 +299,45 @@ class _Histories:
         self.count = np.add.reduceat((self.doc & 1 == 0).astype(np.int64), self.pair) if self.n else np.zeros(0, np.int64)
         self.lower = uni.probability(each[self.pair])
         self.own = self.h[self.pair]
+        self.split = _split(self.own, w[self.pair], heat)
+        self.key = (self.own << np.uint64(16)) | w[self.pair]  # tells pairs that are split
         self.start = _runs(self.own) if self.n else np.zeros(0, np.int64)
 
     def by_history(self) -> np.ndarray:
-        """Per history: types with count 1 to CUT, the sum of larger counts, and the lower-order mass of its continuations."""
-        columns = [self.count == r for r in range(1, CUT + 1)] + [np.where(self.count > CUT, self.count, 0), np.where(self.count > 0, self.lower, 0)]
-        return np.stack([np.add.reduceat(c.astype(np.float64), self.start) for c in columns], axis=1) if self.n else np.zeros((0, CUT + 2))
-
-    def statistics(self) -> np.ndarray:
-        """Numbers of types by count (row 0), and what the salted histories' partitions add up to (rows 1 on)."""
-        out = np.zeros((SALTED + 2, CUT + 2))
-        out[0] = np.bincount(np.minimum(self.count, CUT + 2), minlength=CUT + 3)[: CUT + 2]
+        """Per history: types with count 1 to CUT, the sum of larger counts, and the lower-order mass of its continuations; without pairs that are split."""
+        return np.add.reduceat(_terms(self.count, self.lower) * ~self.split[:, None], self.start) if self.n else np.zeros((0, CUT + 2))
+
+    def statistics(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of types by count (row 0) and what frequent histories' partitions add up to (rows 1 on); split pairs and their counts here."""
+        out = np.zeros((self.heat.salted + 2, CUT + 2))
+        out[0] = _histogram(self.count[~self.split])
         heads = self.own[self.start]
-        salted = (heads < SALTED) | (heads == START)
-        rows = np.where(heads == START, SALTED, heads)[salted].astype(np.int64) + 1
-        out[rows] += self.by_history()[salted]
-        return out
+        salted = (heads < self.heat.salted) | (heads == START)
+        out[_row(heads[salted], self.heat) + 1] += self.by_history()[salted]
+        return out, *_added(self.key[self.split], self.count[self.split])
 
-    def scores(self, d: np.ndarray, salted_sums: np.ndarray) -> np.ndarray:
+    def scores(self, d: np.ndarray, salted_sums: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log10 P(w | h) of every token: discounted relative count, or else the history's backoff weight times P(w)."""
         sums, heads = self.by_history(), self.own[self.start]
-        salted = (heads < SALTED) | (heads == START)
-        sums[salted] = salted_sums[np.where(heads == START, SALTED, heads)[salted].astype(np.int64)]
+        salted = (heads < self.heat.salted) | (heads == START)
+        sums[salted] = salted_sums[_row(heads[salted], self.heat)]
+        self.count[self.split] = counts[np.searchsorted(keys, self.key[self.split])] if len(keys) else 0
         total, scale, weight = backoff(sums, d)
         per_pair = np.repeat(np.arange(len(heads)), np.diff(np.append(self.start, len(self.pair))))
         own = np.where(self.count <= CUT, d[np.minimum(self.count, CUT)], 1.0) * self.count / np.maximum(total, 1)[per_pair] * scale[per_pair]
         return np.repeat(np.log10(np.where(self.count > 0, own, weight[per_pair] * self.lower)), self.size)
 
 
+def _terms(count: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """What each pair adds to its history's sums."""
+    columns = [count == r for r in range(1, CUT + 1)] + [np.where(count > CUT, count, 0), np.where(count > 0, lower, 0)]
+    return np.stack([c.astype(np.float64) for c in columns], axis=1)
+
+
+def _row(heads: np.ndarray, heat: Heat) -> np.ndarray:
+    return np.where(heads == START, heat.salted, heads).astype(np.int64)
+
+
 def backoff(sums: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per history: its count, the factor on its discounted probabilities, and its exact backoff weight.
 
@@ -314,6 +353,19 @@ def backoff(sums: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return total, scale, np.where(total > 0, left / np.maximum(1 - sums[:, CUT + 1], 1e-300), 1.0)
 
 
+def _hot(words: DataFrame) -> list[tuple[int, int]]:
+    """``(w, c)`` of the most frequent words by falling count: at most HOT_WORDS, as many whole classes of like counts as fit."""
+    rank = F.floor(F.log2("c") * 16)
+    total, least = 0, None
+    for row in sorted(words.groupBy(rank.alias("r")).count().collect(), reverse=True):  # some hundred classes, whatever the counts
+        total += row[1]
+        if total > HOT_WORDS:
+            break
+        least = row.r
+    found = [] if least is None else words.where(rank >= least).collect()
+    return sorted(((r.w, r.c) for r in found), key=lambda x: (-x[1], x[0]))
+
+
 def _at(key: int) -> int:
     return key
 
@@ -333,20 +385,25 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     One pass counts words.  Then each text's bigrams are sent to the partition
     of their history (rare words pass by the word's partition, which knows its
     count), packed by task; continuations of the commonest histories are dealt
-    out by word.  Partitions are counted once for the discounts and read again
-    for the scores; sums by document go back to the document's home.
+    out by word, and pairs of the commonest words over all partitions, whose
+    parts of their counts are added up.  Partitions are counted once for the
+    discounts and read again for the scores; sums by document go back to the
+    document's home.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sc = spark.sparkContext
     frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     words = materialise(count_words(frame.where("train"), "text"), "unigrams")
     totals = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), *[F.count(F.when(F.col("c") == r, 1)) for r in range(1, CUT + 2)]).first()
     uni = Unigrams(int(totals[1]), int(totals[0]), np.array([0, *totals[2:]], np.int64))
-    top = words.orderBy(F.desc("c"), "w").limit(HOT_WORDS).collect()
-    hot_counts = np.array([r.c for r in top] or [0], np.int64)
-    hot = sc.broadcast({r.w & (2 * _TOP - 1): k for k, r in enumerate(top)})
+    top = _hot(words)
+    hot_counts = np.array([c for _, c in top] or [0], np.int64)
+    hot = sc.broadcast({w & (2 * _TOP - 1): k for k, (w, _) in enumerate(top)})
     parts = max(1, spark.sparkContext.defaultParallelism, -(-uni.tokens // per_partition))
-    shared = sc.broadcast((hot_counts, uni))
+    frequent = int((hot_counts > SHARE * per_partition).sum())
+    heat = Heat(frequent, min(frequent, SPLIT))
+    shared = sc.broadcast((hot_counts, uni, heat))
 
     def deal(batches):
         def texts():
@@ -360,7 +417,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     dealt = frame.mapInArrow(deal, "p int, kind string, blob binary").rdd
     dealt = dealt.map(lambda r: (r.p, (r.kind, bytes(r.blob)))).partitionBy(parts, _at)
-    looked = dealt.mapPartitions(lambda rows: _look_up((v for _, v in rows), shared.value[1], parts)).partitionBy(parts, _at)
+    looked = dealt.mapPartitions(lambda rows: _look_up((v for _, v in rows), *shared.value[1:], parts)).partitionBy(parts, _at)
     here = dealt.union(looked)
     if here.getNumPartitions() != dealt.getNumPartitions():
         raise RuntimeError("the partitions of both hops must stay together")
@@ -368,13 +425,19 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     def statistics(rows):
         yield _Histories((v for _, v in rows), *shared.value).statistics()
 
-    found = here.mapPartitions(statistics).treeReduce(lambda a, b: a + b)
-    d = discounts(found[0])
+    def merged(a, b):
+        return a[0] + b[0], *_added(np.concatenate((a[1], b[1])), np.concatenate((a[2], b[2])))
+
+    found, keys, counts = here.mapPartitions(statistics).treeReduce(merged)
+    found[0] += _histogram(counts)
+    word = (keys & np.uint64(0xFFFF)).astype(np.int64)
+    np.add.at(found, _row(keys >> np.uint64(16), heat) + 1, _terms(counts, uni.probability(hot_counts[word])))
+    known = sc.broadcast((discounts(found[0]), found[1:], keys, counts))
 
     def score(rows):
         part = _Histories((v for _, v in rows), *shared.value)
         if part.n:
-            yield from _sums(part.task, part.doc, parts, part.scores(d, found[1:]))
+            yield from _sums(part.task, part.doc, parts, part.scores(*known.value))
 
     scored = here.mapPartitions(score).partitionBy(parts, _at)
 

@@ -94,9 +94,10 @@ def test_whole_table(spark, small_dir):
     compare(out, rows, lambda d: zlib.crc32(str(d).encode()) % 5 != 1)
 
 
-@pytest.mark.parametrize("hot,salted,flush", [(65_000, 512, 4_000_000), (2, 1, 30), (0, 0, 7)])
-def test_odd_rows(docs_of, monkeypatch, hot, salted, flush):
-    monkeypatch.setattr(lm, "HOT_WORDS", max(1, hot))
+@pytest.mark.parametrize("hot,split,flush", [(65_000, 512, 4_000_000), (65_000, 2, 9), (3, 1, 30), (0, 0, 7)])
+def test_odd_rows(docs_of, monkeypatch, hot, split, flush):
+    monkeypatch.setattr(lm, "HOT_WORDS", hot)
+    monkeypatch.setattr(lm, "SPLIT", split)
     monkeypatch.setattr(lm, "FLUSH", flush)
     rows = [(i, t) for i, t in enumerate([None, "", "a b a b a b", "The the THE", "a c\ta b", "z z z z z z z z", "never seen words", "a b", "x " * 500])] + [(3, "The the THE"), (3, "b a")]
     docs = docs_of(rows).withColumn("score", F.lit("clash"))
