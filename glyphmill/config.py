@@ -5,6 +5,13 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, fields
 
+# Tags that stand on lines of their own.
+BLOCK_TAGS = (
+    "p", "div", "li", "tr", "td", "th", "table", "blockquote", "section", "article",
+    "figure", "figcaption", "pre", "h1", "h2", "h3", "h4", "h5", "h6",
+)
+# Tags that break a line.
+BREAK_TAGS = ("br", "hr")
 _TRUE = {"1", "true", "yes", "on"}
 _CHOICES = {
     "answer_mode": ("texte", "selection", "refus_puis_selection"),

@@ -24,26 +24,26 @@ def _within(value: Column, n: Column) -> Column:
 
 
 def choice_from_json(answer: Column, n: Column) -> Column:
-    """The integer ``passage`` of a JSON object if within 0..n; null where unreadable.
+    """The integer ``passage`` of a JSON object if within 0..n; null where unreadable.  Of equal keys the last counts."""
+    named = F.filter(F.map_entries(F.from_json(F.trim(answer), "map<string,variant>")), lambda e: e["key"] == "passage")
+    value = F.try_element_at(named, F.lit(-1))["value"]
+    return F.when(F.schema_of_variant(value) == "BIGINT", _within(F.try_variant_get(value, "$", "bigint"), n))
 
-    Duplicate keys make the object unreadable.
-    """
-    parsed = F.try_parse_json(F.trim(answer))
-    kind = F.schema_of_variant(F.try_variant_get(parsed, "$.passage", "variant"))
-    value = F.try_variant_get(parsed, "$.passage", "bigint")
-    return F.when(F.schema_of_variant(parsed).startswith("OBJECT") & (kind == "BIGINT"), _within(value, n))
+
+def _unsigned(answer: Column) -> Column:
+    """The answer, digits that come right after a minus (ASCII or U+2212) blanked: a sign hides one digit, not the number."""
+    return F.regexp_replace(F.coalesce(answer, F.lit("")), r"[-\x{2212}]\p{Nd}", " ")
 
 
 def choice_from_digits(answer: Column, n: Column) -> Column:
-    """The last number that no minus sign precedes, if within 0..n."""
-    found = F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(r"(?<![-−])\p{Nd}+"), 0)
-    value = F.try_element_at(found, F.lit(-1))
-    return _within(F.expr("try_cast(__v AS BIGINT)") if False else value.try_cast("bigint"), n)
+    """The last number outside of :func:`_unsigned`'s blanks, if within 0..n."""
+    runs = F.filter(F.split(_unsigned(answer), r"\P{Nd}+"), lambda r: r != "")
+    return _within(F.try_element_at(runs, F.lit(-1)).try_cast("bigint"), n)
 
 
 def choice_from_letters(answer: Column, n: Column) -> Column:
     """The last letter standing alone that labels one of the n passages, or 0 for a lone zero."""
-    found = F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(r"(?<![-−])\p{Nd}+|(?<![A-Za-z])[A-Za-z](?![A-Za-z])"), 0)
+    found = F.regexp_extract_all(_unsigned(answer), F.lit(r"\p{Nd}+|[A-Za-z]+"), 0)  # whole runs: longer ones label nothing
     place = lambda t: F.when(t == "0", 0).otherwise(F.nullif(F.instr(F.lit(LETTERS), F.when(F.length(t) == 1, F.upper(t)).otherwise("?")), F.lit(0)))
     read = F.filter(F.transform(found, place), lambda v: v.isNotNull() & (v <= n))
     return F.try_element_at(read, F.lit(-1)).cast("int")

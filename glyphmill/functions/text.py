@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
-from functools import cache, reduce
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -50,14 +51,19 @@ REFUSALS = {
 }
 
 
-def _class(points) -> str:
-    """A Java character class of code points, as ranges."""
+def _ranges(points) -> list[list[int]]:
     ranges: list[list[int]] = []
     for p in points:
         if ranges and ranges[-1][1] == p - 1:
             ranges[-1][1] = p
         else:
             ranges.append([p, p])
+    return ranges
+
+
+def _class(points) -> str:
+    """A Java character class of code points, as ranges."""
+    ranges = points if isinstance(points, list) else _ranges(points)
     return "[" + "".join(rf"\x{{{a:X}}}" if a == b else rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
@@ -83,9 +89,9 @@ def compatibility_class() -> str:
 
 
 @cache
-def letter_class(script: str) -> str:
+def letter_ranges(script: str) -> list[list[int]]:
     """Letters whose Unicode name begins with the script's: tatweel is one, though its script property says Common."""
-    return _class(_points(lambda c: c.isalpha() and unicodedata.name(c, "").startswith(script)))
+    return _ranges(_points(lambda c: c.isalpha() and unicodedata.name(c, "").startswith(script)))
 
 
 @F.pandas_udf(StringType())
@@ -186,10 +192,11 @@ def is_refusal(answer: Column, language: str = "ar") -> Column:
 
     Languages without formulas of their own use the Arabic ones.
     """
-    form = refusal_form(answer)
-    any_of = lambda words: reduce(Column.__or__, [F.contains(form, F.lit(w)) for w in words])
-    formulas = any_of(_plain(REFUSALS.get(language, REFUSALS["ar"])))
-    return formulas if language != "ar" else formulas | (any_of(UNAVAILABLE) & any_of(SOURCE_WORDS))
+    any_of = lambda words: "|".join(map(re.escape, words))
+    pattern = any_of(_plain(REFUSALS.get(language, REFUSALS["ar"])))
+    if language == "ar":
+        pattern += f"|^(?=.*(?:{any_of(UNAVAILABLE)})).*(?:{any_of(SOURCE_WORDS)})"
+    return refusal_form(answer).rlike(f"(?s)(?:{pattern})")  # one pattern, as the form is dear
 
 
 def _plain(words) -> list[str]:
@@ -201,11 +208,20 @@ def _plain(words) -> list[str]:
 
 def script_letters(text: Column, script: str) -> Column:
     """How many letters of a script (``ARABIC``, ``LATIN``) the text has."""
-    inverse = "[^" + letter_class(script)[1:]
+    ranges = letter_ranges(script)
+    low, high = [[a, min(b, 0xFF)] for a, b in ranges if a <= 0xFF], [[max(a, 0x100), b] for a, b in ranges if b > 0xFF]
+    most = max(high, key=lambda r: r[1] - r[0])  # tested apart, as a class of many ranges is slow
+    others = "[^" + _class([r for r in high if r is not most])[1:]
+    without = lambda c, pattern: F.regexp_replace(c, pattern, "")
+
+    def count(parts: Column) -> Column:
+        rest = without(parts["beyond"], _class([most]) + "+")
+        return F.length(parts["low"]) + F.length(parts["beyond"]) - F.length(rest) + F.length(without(rest, others))
+
     text = F.coalesce(text, F.lit(""))
-    plain = "[^A-Za-z\xaa\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]" if script == "LATIN" else r"[\s\S]"  # all there is without characters beyond
-    beyond = text.rlike(r"[^\x00-\xFF]")
-    return F.length(F.when(beyond, F.regexp_replace(text, inverse, "")).otherwise(F.regexp_replace(text, plain, "")))
+    few = without(text, "[^" + _class(low)[1:]) if low else F.lit("")
+    parts = F.struct(few.alias("low"), without(text, r"[\x00-\xFF]+").alias("beyond"))
+    return F.get(F.transform(F.array(parts), count), F.lit(0))
 
 
 def detect_language(text: Column, threshold: float = DEFAULTS.language_dominance) -> Column:

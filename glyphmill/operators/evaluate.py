@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.config import DEFAULTS, EngineConfig
+
 
 def source_matches(retrieved_source: Column, retrieved_page: Column, source: Column, page: Column) -> Column:
     """Same source, and the expected page null or equal; a null retrieved page doesn't match an expected one."""
@@ -49,6 +51,74 @@ def summary(found: DataFrame, k: int) -> DataFrame:
     )
 
 
+def misses(found: DataFrame) -> DataFrame:
+    """The answerable questions of which no expected source came back at all."""
+    return found.where("not out_of_corpus and rank is null").select("query_id")
+
+
+def mean_latency(found: DataFrame) -> DataFrame:
+    """One row ``latency_ms`` over all questions, out-of-corpus ones too; 0.0 without any."""
+    return found.agg(F.round(F.coalesce(F.avg("latency_ms"), F.lit(0.0)), 1).alias("latency_ms"))
+
+
+def deltas(reference: DataFrame, candidate: DataFrame, k: int) -> DataFrame:
+    """One row: hit rate, MRR and mean latency of both runs, and the candidate's less the reference's."""
+    parts = []
+    for name, run in (("reference", reference), ("candidate", candidate)):
+        one = summary(run, k).select("hit_at_k", "mrr").crossJoin(mean_latency(run))  # a row each
+        parts.append(one.withColumnsRenamed({c: f"{name}_{c}" for c in one.columns}))
+    less = [F.round(F.col(f"candidate_{c}") - F.col(f"reference_{c}"), 4).alias(f"{c}_delta") for c in ("hit_at_k", "mrr", "latency_ms")]
+    return parts[0].crossJoin(parts[1]).select("*", *less)
+
+
+def moves(reference: DataFrame, candidate: DataFrame) -> DataFrame:
+    """``(query_id, before, after, move)`` of answerable questions: progressed, regressed, stable, only_reference or only_candidate."""
+    a = reference.where("not out_of_corpus").select("query_id", F.col("rank").alias("before"), F.lit(1).alias("a"))
+    b = candidate.where("not out_of_corpus").select("query_id", F.col("rank").alias("after"), F.lit(1).alias("b"))
+    last = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(1e18))
+    move = (
+        F.when(F.col("b").isNull(), "only_reference").when(F.col("a").isNull(), "only_candidate")
+        .when(last("after") < last("before"), "progressed").when(last("after") > last("before"), "regressed").otherwise("stable")
+    )
+    return a.join(b, "query_id", "full").select("query_id", "before", "after", move.alias("move"))
+
+
+def warnings_of(reference: dict, candidate: dict, moved: DataFrame) -> list[str]:
+    """Why two runs can't be compared by their totals: another k, another corpus (by ``fingerprint``), or other questions."""
+    found = []
+    if reference.get("k") != candidate.get("k"):
+        found.append(f"k differs: {reference.get('k')} and {candidate.get('k')}")
+    a, b = reference.get("fingerprint"), candidate.get("fingerprint")
+    if a and b and a != b:
+        found.append(f"the corpus differs: {reference.get('chunks', '?')} and {candidate.get('chunks', '?')} chunks")
+    if (n := moved.where("move like 'only_%'").count()):
+        found.append(f"{n} questions are in one run only")
+    return found
+
+
+def answer_counts(answers: DataFrame) -> DataFrame:
+    """One row: answers, refusals, and those that aren't refusals but cite nothing, or what the context lacks.
+
+    ``answers(refused, citations, fabricated)``, the last two being arrays.
+    """
+    unfounded = ~F.col("refused") & ((F.size("fabricated") > 0) | (F.size("citations") == 0))
+    return answers.agg(F.count("*").alias("answers"), F.count_if("refused").alias("refusals"), F.count_if(unfounded).alias("non_verifiable"))
+
+
+def context_snapshot(chunks: DataFrame, questions: DataFrame, k: int, config: EngineConfig = DEFAULTS) -> DataFrame:
+    """One row: how and over what is measured, so that a report can be told from another.
+
+    ``chunks(source)`` are counted, and of ``questions(status, out_of_corpus)``
+    the drafts and those without an answer.
+    """
+    of = {"pipeline": "hybrid" if config.hybrid_enabled else "vector", "embedding_model": config.embedding_model, "chunk_size": config.chunk_size, "n_results": config.n_results, "k": k, "distance_threshold": config.distance_threshold}
+    if config.hybrid_enabled:
+        of |= {"candidates": config.hybrid_candidates, "rrf_k": config.hybrid_rrf_k, "vector_weight": config.hybrid_vector_weight, "lexical_weight": config.hybrid_lexical_weight}
+    held = chunks.agg(F.count("*").alias("chunks"), F.count_distinct("source").alias("sources"))
+    asked = questions.agg(F.count_if(F.col("status") == "draft").alias("drafts"), F.count_if("out_of_corpus").alias("out_of_corpus"))
+    return held.crossJoin(asked).select(*[F.lit(v).alias(c) for c, v in of.items()], "chunks", "sources", "drafts", "out_of_corpus")
+
+
 def distance_stats(found: DataFrame) -> DataFrame:
     """``(out_of_corpus, n, minimum, median, maximum)`` of the nearest distances; the median is the upper one.
 

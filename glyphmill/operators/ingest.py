@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,14 +109,17 @@ def verify_manifest(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Chunk tables partitioned by source, and the registry beside them, in a folder.
+    """Chunks and their registry in a folder, both only ever appended to.
 
-    The registry is written last, so a crash leaves a document unregistered and
-    the next run does it again.  Nothing is deleted unless asked.
+    Each upsert writes its chunks under a version of its own and then registers
+    it; readers see the chunks of the version that the registry names for their
+    source.  The registry comes last, so after a crash a document is as it was,
+    and the next run does it again.  Nothing is deleted: what is forgotten or
+    replaced is no longer seen, and :meth:`compact` leaves it behind.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.chunks_path, self.registry_path = spark, f"{folder}/chunks", f"{folder}/registry"
+        self.spark, self.chunks_path, self.registry_path, self.errors_path = spark, f"{folder}/chunks", f"{folder}/registry", f"{folder}/errors"
 
     def _read(self, path: str, schema: str) -> DataFrame:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -123,43 +128,62 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
-    def registry(self) -> DataFrame:
+    def _newest(self) -> DataFrame:
         """The newest row of each source; a row without fingerprint means it was forgotten."""
-        rows = self._read(self.registry_path, REGISTRY_SCHEMA)
-        newest = rows.groupBy("source").agg(F.max_by(F.struct("fingerprint", "chunk_count", "embedding_model", "updated_at"), "updated_at").alias("r"))
-        return newest.select("source", "r.*").where("fingerprint is not null").orderBy("source")
+        rows = self._read(self.registry_path, f"{REGISTRY_SCHEMA}, version string")
+        newest = rows.groupBy("source").agg(F.max_by(F.struct("fingerprint", "chunk_count", "embedding_model", "updated_at", "version"), "updated_at").alias("r"))
+        return newest.select("source", "r.*").where("fingerprint is not null")
+
+    def registry(self) -> DataFrame:
+        return self._newest().drop("version").orderBy("source")
+
+    def registered(self, source: str):
+        """The registry's row of a source, or None."""
+        return self._newest().drop("version").where(F.col("source") == source).first()
 
     def chunks(self, schema: str) -> DataFrame:
-        return self._read(self.chunks_path, schema)
+        rows = self._read(self.chunks_path, f"{schema}, version string")
+        return rows.join(self._newest().select("source", "version"), ["source", "version"], "left_semi").drop("version")
+
+    def count(self, schema: str, source: str | None = None) -> int:
+        """How many chunks there are, or a source has."""
+        rows = self.chunks(schema)
+        return (rows if source is None else rows.where(F.col("source") == source)).count()
 
     def _note(self, rows: DataFrame) -> None:
-        rows.withColumn("updated_at", F.current_timestamp()).select("source", "fingerprint", "chunk_count", "embedding_model", "updated_at").write.mode("append").parquet(self.registry_path)
+        columns = ("source", "fingerprint", "chunk_count", "embedding_model", "updated_at", "version")
+        rows.withColumn("updated_at", F.current_timestamp()).select(*columns).write.mode("append").parquet(self.registry_path)
 
     def upsert(self, planned: DataFrame, chunks: DataFrame, model: str) -> None:
-        """Replaces the chunks of added and updated documents, then registers them; empty ones lose both."""
-        done = planned.where("status in ('added', 'updated')")
-        blank = planned.where("status = 'empty'")
-        gone = blank.unionByName(planned.where("status = 'updated'")).select("source", F.lit(None).cast("string").alias("fingerprint"), F.lit(0).cast("long").alias("chunk_count"), F.lit(model).alias("embedding_model"))
-        self._note(gone)
-        self.forget_chunks(blank)
-        write = chunks.join(done.select("source"), "source", "left_semi").repartition("source")
-        write.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("source").parquet(self.chunks_path)
-        self._note(done.select("source", "fingerprint", F.col("chunks").cast("long").alias("chunk_count"), F.lit(model).alias("embedding_model")))
-
-    def forget_chunks(self, sources: DataFrame) -> int:
-        """Deletes the partitions of ``sources``; how many there were."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        n = 0
-        for row in sources.select("source").toLocalIterator():
-            escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(row.source)
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.chunks_path}/source={escaped}")
-            n += bool(path.getFileSystem(conf).delete(path, True))
-        return n
+        """Writes the chunks of added and updated documents in place of what they had; empty ones lose theirs."""
+        version = uuid.uuid4().hex
+        done = F.col("status").isin("added", "updated")
+        write = chunks.join(planned.where(done).select("source"), "source", "left_semi")
+        write.withColumn("version", F.lit(version)).write.mode("append").parquet(self.chunks_path)
+        rows = planned.where(done | (F.col("status") == "empty")).select(
+            "source", F.when(done, F.col("fingerprint")).alias("fingerprint"), F.when(done, F.col("chunks")).otherwise(0).cast("long").alias("chunk_count"),
+            F.lit(model).alias("embedding_model"), F.lit(version).alias("version"),
+        )
+        self._note(rows)
+
+    def note_errors(self, errors: DataFrame) -> None:
+        """Appends ``errors(source, error)``; such documents stay unregistered, so that the next run tries them again."""
+        errors.select("source", "error", F.current_timestamp().alias("at")).write.mode("append").parquet(self.errors_path)
+
+    def forget(self, sources: DataFrame) -> None:
+        """Chunks of ``sources(source)`` are no longer seen, nor are these registered."""
+        null = lambda kind: F.lit(None).cast(kind)
+        self._note(sources.select("source", null("string").alias("fingerprint"), F.lit(0).cast("long").alias("chunk_count"), null("string").alias("embedding_model"), null("string").alias("version")))
 
     def purge(self, source: str, schema: str) -> int:
-        """Forgets a document, registered or only partly written; how many chunks it had."""
-        n = self.chunks(schema).where(F.col("source") == source).count()
-        one = self.spark.createDataFrame([(source, None, 0, None)], "source string, fingerprint string, chunk_count long, embedding_model string")
-        self._note(one)
-        self.forget_chunks(one)
+        """Forgets a document; how many chunks it had."""
+        n = self.count(schema, source)
+        self.forget(self.spark.createDataFrame([(source,)], "source string"))
         return n
+
+    def compact(self, schema: str, folder: str) -> Store:
+        """A store in another, empty folder with what is seen of this one."""
+        other = Store(self.spark, folder)
+        self.chunks(schema).withColumn("version", F.lit("compact")).write.parquet(other.chunks_path)
+        self._newest().withColumn("version", F.lit("compact")).write.parquet(other.registry_path)
+        return other

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glyphmill.config import DEFAULTS
 from glyphmill.functions.text import tokens
 
-#: Distinct query words that are sent to every task to thin out the corpus's tokens; more are joined by a shuffle.
+#: Words of all queries that are sent to every task, to thin out and to weigh the corpus's tokens; more are joined by a shuffle.
 BROADCAST_WORDS = 200_000
 
 
@@ -52,9 +52,10 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame, query_id: str = "query_id
     The corpus's tokens are thinned to the queries' words before anything is
     shuffled, so postings of other words never leave their task.
     """
-    terms = query_terms(queries, query_id, text_col).cache()
+    terms = query_terms(queries, query_id, text_col)
     vocabulary = terms.select("token").distinct()
-    vocabulary = F.broadcast(vocabulary) if vocabulary.count() <= BROADCAST_WORDS else vocabulary
+    few = terms.count() <= BROADCAST_WORDS
+    vocabulary = F.broadcast(vocabulary) if few else vocabulary
     sized = chunks.select(F.col(chunk_id).alias("chunk_id"), tokens(F.col(text_col)).alias("w")).select("chunk_id", "w", F.size("w").alias("dl"))
     stats = sized.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
     hits = sized.select("chunk_id", "dl", F.explode("w").alias("token")).join(vocabulary, "token", "left_semi")
@@ -62,6 +63,7 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame, query_id: str = "query_id
     known = postings.groupBy("token").agg(F.count("*").alias("df"))
     weighed = terms.join(known, "token").crossJoin(F.broadcast(stats))
     weighed = weighed.select("query_id", "token", "first_pos", "avgdl", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("weight"))
+    weighed = F.broadcast(weighed) if few else weighed  # else words that many texts have would gather in one task
     k1, b = config.bm25_k1, config.bm25_b
     gain = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return weighed.join(postings, "token").groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("score"), F.min("first_pos").alias("first_pos"))

@@ -1,9 +1,15 @@
-"""Sliding-log rate limiting as a fold over each client's events."""
+"""Sliding-log rate limiting over each client's events in order."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def client_key(forwarded: Column, host: Column) -> Column:
@@ -12,30 +18,43 @@ def client_key(forwarded: Column, host: Column) -> Column:
     return F.when(F.coalesce(F.length(forwarded), F.lit(0)) > 0, first).otherwise(F.coalesce(host, F.lit("inconnu")))
 
 
-def decide(times: Column, most: int, window: float) -> Column:
-    """For sorted seconds, ``(ts, accepted, retry_after)`` each.
+def decide(batches: Iterator[pa.RecordBatch], most: int, window: float) -> Iterator[pa.RecordBatch]:
+    """Verdicts on ``(key, part, ts)`` rows in that order; all that is kept between rows is the part's log.
 
     An accepted call leaves the log once it is exactly ``window`` old; a
-    rejected one never enters it, so this is a fold and not a window count.
+    rejected one never enters it.
     """
-    out_type = "array<struct<ts:double,accepted:boolean,retry_after:int>>"
-    start = F.struct(F.array().cast("array<double>").alias("log"), F.array().cast(out_type).alias("out"))
-
-    def step(a: Column, now: Column) -> Column:
-        log = F.filter(a["log"], lambda t: now - t < window)
-        full = F.size(log) >= most
-        wait = F.greatest(F.lit(1), F.ceil(window - (now - F.get(log, F.lit(0)))).cast("int"))
-        verdict = F.struct(now.alias("ts"), (~full).alias("accepted"), F.when(full, wait).alias("retry_after"))
-        return F.struct(
-            F.when(full, log).otherwise(F.concat(log, F.array(now))).alias("log"), F.concat(a["out"], F.array(verdict)).cast(out_type).alias("out")
-        )
-
-    return F.aggregate(times, start, step, lambda a: a["out"])
+    now_in, log = None, deque()
+    for batch in batches:
+        keys, parts, times = (c.to_pylist() for c in batch.columns)
+        accepted, waits = [], []
+        for key, part, now in zip(keys, parts, times):
+            if now_in != (key, part):
+                now_in = (key, part)
+                log.clear()
+            while log and now - log[0] >= window:
+                log.popleft()
+            full = len(log) >= most
+            accepted.append(not full)
+            waits.append(max(1, math.ceil(window - (now - log[0]))) if full else None)
+            if not full:
+                log.append(now)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(accepted, pa.bool_()), pa.array(waits, pa.int32())], names=["key", "ts", "accepted", "retry_after"])
 
 
 def limit(events: DataFrame, most: int, window: float, key_col: str = "user_id", ts_col: str = "ts") -> DataFrame:
-    """``(key, ts, accepted, retry_after)`` per event; ``ts`` in seconds, events of a client in time order."""
+    """``(key, ts, accepted, retry_after)`` per event; ``ts`` in seconds, events of a client in time order.  Events without a time don't count.
+
+    A client's events are cut where none came for a whole window, as the log is
+    empty there; the parts are dealt out over all tasks and read as sorted
+    streams, so no task holds a client.  Only a part without such a pause, whose
+    verdicts depend on one another from first to last, stays in one task.
+    """
     if most < 1 or window < 1:
         raise ValueError("limit and window must be 1 or more")
-    logs = events.select(F.col(key_col).alias("key"), F.col(ts_col).cast("double").alias("ts")).groupBy("key").agg(F.sort_array(F.collect_list("ts")).alias("times"))
-    return logs.select("key", F.explode(decide(F.col("times"), most, window)).alias("d")).select("key", "d.ts", "d.accepted", "d.retry_after")
+    by = Window.partitionBy("key").orderBy("ts")
+    rows = events.select(F.col(key_col).alias("key"), F.col(ts_col).cast("double").alias("ts")).where("ts is not null")
+    paused = F.coalesce(F.col("ts") - F.lag("ts").over(by) >= window, F.lit(False))
+    rows = rows.withColumn("paused", paused).select("key", F.sum(F.col("paused").cast("long")).over(by).alias("part"), "ts")
+    schema = StructType([rows.schema["key"], *StructType.fromDDL("ts double, accepted boolean, retry_after int").fields])
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "ts").mapInArrow(lambda batches: decide(batches, most, window), schema)

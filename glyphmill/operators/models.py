@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.config import DEFAULTS
+from glyphmill.functions.formatting import format_chosen
+from glyphmill.functions.prompts import REPAIR, choice_prompt
+from glyphmill.functions.selection import numbered
 from glyphmill.functions.text import detect_language, is_refusal
 
 
@@ -84,10 +88,9 @@ def answer_in_language(rows: DataFrame, generator: Generator, language: str = "a
     accepted, and an empty rewrite uses up a retry and changes nothing.
     """
     out = generate(rows, generator)
-    again = {"fr": "Réécris cette réponse en français, sans rien y ajouter :", "ar": "أعد كتابة هذا الجواب بالعربية دون إضافة:"}[language]
     for _ in range(retries):
         wrong = F.coalesce(detect_language(F.col("answer")) != language, F.lit(False))
-        asked = out.withColumn("__again", F.when(wrong, F.concat_ws("\n", F.col("prompt"), F.lit(again), F.col("answer"))))
+        asked = out.withColumn("__again", F.when(wrong, F.concat_ws("\n\n", F.col("prompt"), F.col("answer"), F.lit(REPAIR[language]))))
         asked = generate(asked, _Skipping(generator), "__again", "__new")
         out = asked.withColumn("answer", F.when(F.col("__again").isNotNull() & (F.trim("__new") != ""), F.col("__new")).otherwise(F.col("answer"))).drop("__again", "__new")
     return out
@@ -111,6 +114,46 @@ def refuse_then_select(rows: DataFrame, drafter: Generator, selector: Generator,
     return out.withColumn("choice", F.when(F.col("__ask").isNull(), F.lit(0)).otherwise(read_choice(F.col("__raw"), F.col("n")))).drop("__ask", "__raw")
 
 
+def select_answer(rows: DataFrame, selector: Generator, read_choice, language: str = "ar", letters: bool = False) -> DataFrame:
+    """``rows(question, passages, sources)`` with ``raw``, ``choice`` and ``answer``.
+
+    ``choice`` is 0 where the model says that no passage answers, and null where
+    its words can't be read or there is no passage (which isn't asked about);
+    ``answer`` is the chosen passage with its citation, else empty.
+    """
+    some = F.size("passages") > 0
+    asked = rows.withColumn("__ask", F.when(some, choice_prompt(F.col("question"), numbered(F.col("passages"), letters), language, letters)))
+    out = generate(asked, _Skipping(selector), "__ask", "raw").withColumn("choice", F.when(some, read_choice(F.col("raw"), F.size("passages"))))
+    at = F.col("choice") - 1
+    chosen = format_chosen(F.get("passages", at), F.get("sources", at), language)
+    return out.withColumn("answer", F.when(F.col("choice") > 0, chosen).otherwise("")).drop("__ask")
+
+
+def with_retries(task: Callable, retries: int = 1, permanent: tuple[type[Exception], ...] = (), pause: float = 3.0, sleep: Callable[[float], None] = time.sleep):
+    """What ``task()`` returns, tried again ``retries`` times, after ever longer pauses; ``permanent`` errors aren't tried again."""
+    for attempt in range(retries + 1):
+        try:
+            return task()
+        except permanent:
+            raise
+        except Exception:
+            if attempt == retries:
+                raise
+            sleep(pause * (attempt + 1))
+    raise ValueError("retries must be 0 or more")
+
+
+def timing_sample(chunks: DataFrame, n: int, size: int = DEFAULTS.chunk_size, order: str = "chunk_id") -> list[str]:
+    """``n`` texts to time an embedder on: the first chunks, and where these don't suffice, made-up texts of a chunk's size."""
+    real = [r.text for r in chunks.orderBy(order).select("text").limit(n).collect()]
+    return real + [f"{i} " + "x" * (size - len(str(i)) - 1) for i in range(n - len(real))]
+
+
+def embedding_seconds(ms_per_chunk, chunks):
+    """How long so many chunks take to embed."""
+    return ms_per_chunk * chunks / 1000
+
+
 def repeat(rows: DataFrame, times: int) -> DataFrame:
     """Each row ``times`` times, with its ``repetition`` from 1."""
     return rows.withColumn("repetition", F.explode(F.sequence(F.lit(1), F.lit(times))))

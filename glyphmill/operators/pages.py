@@ -8,6 +8,11 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.config import BLOCK_TAGS, BREAK_TAGS
+
+#: Names to keep that are sent to every task; more are joined by a shuffle.
+BROADCAST_NAMES = 100_000
+
 
 def merge_pages(pages: DataFrame, doc: str = "source", order: str = "ord") -> DataFrame:
     """Joins each labelled page to the kept page before it if the numbers are equal; the result counts as labelled.
@@ -59,7 +64,7 @@ def latest(names: DataFrame, keep: int, name: str = "name") -> DataFrame:
     if keep < 1:
         raise ValueError("retention must keep 1 or more")
     last = names.select(name).distinct().orderBy(F.desc(name)).limit(keep)
-    return names.join(F.broadcast(last), name, "left_anti")
+    return names.join(F.broadcast(last) if keep <= BROADCAST_NAMES else last, name, "left_anti")
 
 
 def entities(text: Column) -> Column:
@@ -77,9 +82,9 @@ def entities(text: Column) -> Column:
 
 def html_lines(html: Column) -> Column:
     """Non-empty lines of flattened HTML: breaks and block tags end lines, white space collapses."""
-    blocks = "p|div|li|tr|td|th|table|blockquote|section|article|figure|figcaption|pre|h1|h2|h3|h4|h5|h6"  # fixed values: tags that stand on lines of their own
+    ends = "|".join((*BLOCK_TAGS, *BREAK_TAGS))
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
-    body = F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), rf"(?i)</?(?:{blocks}|br|hr)\b[^>]*>", "\n")
+    body = F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), rf"(?i)</?(?:{ends})\b[^>]*>", "\n")
     text = F.regexp_replace(body, r"(?s)<[^>]*>", "")
     text = entities(text)
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))

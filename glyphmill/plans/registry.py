@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from html.entities import name2codepoint
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.functions import chunking, formatting, selection, text
-from glyphmill.operators import evaluate, fusion, ingest, lexical, limiter, pages, retrieve, vector
+from glyphmill.config import BLOCK_TAGS, BREAK_TAGS
+from glyphmill.functions import chunking, formatting, prompts, selection, text
+from glyphmill.operators import evaluate, fusion, ingest, lexical, limiter, models, pages, retrieve, vector
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -259,6 +262,46 @@ def selection_balance(spark, d):
     return evaluate.selection_balance(found.select("query_id", (~F.col("out_of_corpus")).alias("in_corpus"), F.col("rank").alias("expected_rank"), choice.alias("choice")))
 
 
+@_query(f"WITH {_RANKS} SELECT query_id FROM res WHERE NOT ooc AND rank IS NULL")
+def missed_questions(spark, d):
+    return evaluate.misses(_results(spark, d))
+
+
+_RUNS = f"""{_RANKS}, run_a AS (SELECT query_id, ooc, rank, len(text)::DOUBLE AS ms FROM res JOIN benchmark ON item_id = query_id),
+run_b AS (SELECT query_id, ooc, CASE WHEN query_id % 3 = 0 THEN rank + 2 ELSE rank END AS rank, ms * 2 AS ms FROM run_a WHERE query_id % 7 <> 0)"""
+
+
+def _two_runs(spark, d):
+    """Two runs whose latency stands for the question's length, the second with some ranks moved and questions left out."""
+    ms = _questions(spark, d).select("query_id", F.length("text").cast("double").alias("latency_ms"))
+    a = _results(spark, d).join(ms, "query_id")
+    moved = F.when(F.col("query_id") % 3 == 0, F.col("rank") + 2).otherwise(F.col("rank"))
+    return a, a.where("query_id % 7 <> 0").withColumns({"rank": moved, "latency_ms": F.col("latency_ms") * 2})
+
+
+@_query(f"""WITH {_RUNS}, t AS (SELECT 'a' AS run, * FROM run_a UNION ALL SELECT 'b', * FROM run_b),
+s AS (SELECT run, round(coalesce(avg(CASE WHEN NOT ooc THEN coalesce(rank <= 10, FALSE)::INT::DOUBLE END), 0), 4) AS hit, round(coalesce(avg(CASE WHEN NOT ooc THEN CASE WHEN rank <= 10 THEN 1.0::DOUBLE / rank ELSE 0 END END), 0), 4) AS mrr, round(coalesce(avg(ms), 0), 1) AS ms FROM t GROUP BY 1)
+SELECT a.hit AS reference_hit_at_k, a.mrr AS reference_mrr, a.ms AS reference_latency_ms, b.hit AS candidate_hit_at_k, b.mrr AS candidate_mrr, b.ms AS candidate_latency_ms,
+  round(b.hit - a.hit, 4) AS hit_at_k_delta, round(b.mrr - a.mrr, 4) AS mrr_delta, round(b.ms - a.ms, 4) AS latency_ms_delta FROM s a, s b WHERE a.run = 'a' AND b.run = 'b'""")
+def run_deltas(spark, d):
+    return evaluate.deltas(*_two_runs(spark, d), 10)
+
+
+@_query(f"""WITH {_RUNS} SELECT query_id, a.rank AS "before", b.rank AS "after", CASE WHEN b.query_id IS NULL THEN 'only_reference' WHEN coalesce(b.rank, 1e18) < coalesce(a.rank, 1e18) THEN 'progressed' WHEN coalesce(b.rank, 1e18) > coalesce(a.rank, 1e18) THEN 'regressed' ELSE 'stable' END AS move
+FROM (SELECT * FROM run_a WHERE NOT ooc) a LEFT JOIN (SELECT * FROM run_b WHERE NOT ooc) b USING (query_id)""")
+def run_moves(spark, d):
+    out = evaluate.moves(*_two_runs(spark, d))
+    return out.select("query_id", F.col("before").cast("long").alias("before"), F.col("after").cast("long").alias("after"), "move")
+
+
+@_query("""WITH q AS (SELECT count(CASE WHEN item_id % 3 = 0 THEN 1 END) AS drafts, count(CASE WHEN item_id % 2 = 0 THEN 1 END) AS out_of_corpus FROM benchmark)
+SELECT 'hybrid' AS pipeline, 'bge-m3' AS embedding_model, 600 AS chunk_size, 5 AS n_results, 10 AS k, (-1)::DOUBLE AS distance_threshold, 50 AS candidates, 10 AS rrf_k, 1::DOUBLE AS vector_weight, 1::DOUBLE AS lexical_weight,
+  (SELECT count(*) FROM documents) AS chunks, (SELECT count(DISTINCT source) FROM documents) AS sources, drafts, out_of_corpus FROM q""")
+def context_snapshot(spark, d):
+    asked = table(spark, d, "benchmark").select(F.when(F.col("item_id") % 3 == 0, "draft").otherwise("validated").alias("status"), (F.col("item_id") % 2 == 0).alias("out_of_corpus"))
+    return evaluate.context_snapshot(table(spark, d, "documents"), asked, 10)
+
+
 # --- chunks and ingestion ----------------------------------------------------------------------------------------
 
 
@@ -267,35 +310,47 @@ def _doc_pages(spark, d):
     return _spread(table(spark, d, "documents").select(F.col("doc_id").alias("source"), F.lit(1).alias("page"), "text"))
 
 
-@_query()
+_PIECES = r"""lines AS (SELECT doc_id, i - 1 AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), range(1, len(l) + 1) AS r(i)),
+cut AS (
+  SELECT doc_id, line_no, -1 AS piece_no, '' AS piece, line AS rest FROM lines WHERE len(line) > 600
+  UNION ALL
+  SELECT doc_id, line_no, piece_no + 1, substr(rest, 1, n), regexp_replace(substr(rest, n + 1), '^[\s\x0B\x{85}\p{Z}]+', '') FROM (
+    SELECT *, CASE WHEN len(rest) <= 600 THEN len(rest) WHEN strpos(reverse(substr(rest, 1, 601)), ' ') BETWEEN 1 AND 600 THEN 601 - strpos(reverse(substr(rest, 1, 601)), ' ') ELSE 600 END AS n
+    FROM cut WHERE rest <> '')),
+pieces AS (SELECT doc_id, line_no, 0 AS piece_no, line AS piece FROM lines WHERE len(line) <= 600 UNION ALL SELECT doc_id, line_no, piece_no, piece FROM cut WHERE piece_no >= 0)"""
+_PACKED = f"""WITH RECURSIVE {_PIECES}, p AS (SELECT doc_id, list({{'t': piece, 'no': line_no + 1}} ORDER BY line_no, piece_no) AS l FROM pieces GROUP BY doc_id),
+""" + r"""f AS (SELECT doc_id, list_reduce(l, lambda a, x: {
+    'done': CASE WHEN len(a.open) > 0 AND a.n + len(x.t) >= 600 THEN list_append(a.done, {'t': array_to_string(a.open, chr(10)), 'a': a.a, 'b': a.b}) ELSE a.done END,
+    'open': CASE WHEN len(a.open) > 0 AND a.n + len(x.t) >= 600 THEN [x.t] ELSE list_append(a.open, x.t) END,
+    'n': CASE WHEN len(a.open) > 0 AND a.n + len(x.t) >= 600 THEN 0 ELSE a.n END + len(x.t) + 1,
+    'a': CASE WHEN len(a.open) > 0 AND a.n + len(x.t) >= 600 THEN x.no ELSE a.a END, 'b': x.no},
+  {'done': []::STRUCT(t VARCHAR, a BIGINT, b BIGINT)[], 'open': []::VARCHAR[], 'n': 0::BIGINT, 'a': 1::BIGINT, 'b': 1::BIGINT}) AS s FROM p),
+c AS (SELECT doc_id, CASE WHEN regexp_matches(array_to_string(s.open, ''), '\S') THEN list_append(s.done, {'t': array_to_string(s.open, chr(10)), 'a': s.a, 'b': s.b}) ELSE s.done END AS c FROM f),
+k AS (SELECT doc_id, i - 1 AS chunk_no, c[i].a AS line_start, c[i].b AS line_end, regexp_replace(regexp_replace(c[i].t, '^[\s\x0B\x{85}\p{Z}]+', ''), '[\s\x0B\x{85}\p{Z}]+$', '') AS t FROM c, range(1, len(c) + 1) AS r(i))
+"""
+
+
+@_query(f"WITH RECURSIVE {_PIECES} SELECT doc_id, line_no, piece_no, len(piece) AS n_chars, sha256(piece) AS sha256 FROM pieces")
 def line_split(spark, d):
-    """Lines longer than a chunk need a look-ahead, which this SQL lacks; tests hold it against a plain loop."""
     lines = _spread(table(spark, d, "documents")).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    rows = lines.select("doc_id", "line_no", F.posexplode(chunking.split_line(F.col("line"))).alias("piece_no", "piece"))
-    return rows.select("doc_id", "line_no", "piece_no", F.length("piece").alias("n_chars"), F.sha2("piece", 256).alias("sha256"))
+    rows = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.posexplode(chunking.split_line(F.col("line"))).alias("piece_no", "piece"))
+    return rows.select("doc_id", "line_no", "piece_no", F.length("piece").cast("long").alias("n_chars"), F.sha2("piece", 256).alias("sha256"))
 
 
-@_query()
-def chunk_pack(spark, d):
+def _packed(spark, d):
     out = chunking.chunk_pages(_doc_pages(spark, d))
-    return out.select("source", "chunk_no", "line_start", "line_end", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
+    return out.select("source", *[F.col(c).cast("long").alias(c) for c in ("chunk_no", "line_start", "line_end")], F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
 
 
-@_query(r"""
-WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE list_max(list_transform(string_split(text, chr(10)), lambda x: len(x))) <= 600),
-f AS (SELECT doc_id, list_reduce(list_zip(l, range(1, len(l) + 1)), lambda a, x: {
-    'done': CASE WHEN len(a.open) > 0 AND a.n + len(x[1]) >= 600 THEN list_append(a.done, {'t': array_to_string(a.open, chr(10)), 'a': a.a, 'b': a.b}) ELSE a.done END,
-    'open': CASE WHEN len(a.open) > 0 AND a.n + len(x[1]) >= 600 THEN [x[1]] ELSE list_append(a.open, x[1]) END,
-    'n': CASE WHEN len(a.open) > 0 AND a.n + len(x[1]) >= 600 THEN 0 ELSE a.n END + len(x[1]) + 1,
-    'a': CASE WHEN len(a.open) > 0 AND a.n + len(x[1]) >= 600 THEN x[2] ELSE a.a END, 'b': x[2]},
-  {'done': []::STRUCT(t VARCHAR, a BIGINT, b BIGINT)[], 'open': []::VARCHAR[], 'n': 0::BIGINT, 'a': 1::BIGINT, 'b': 1::BIGINT}) AS s FROM p),
-c AS (SELECT doc_id, unnest(CASE WHEN regexp_matches(array_to_string(s.open, ''), '\S') THEN list_append(s.done, {'t': array_to_string(s.open, chr(10)), 'a': s.a, 'b': s.b}) ELSE s.done END) AS c FROM f)
-SELECT doc_id AS source, c.a AS line_start, c.b AS line_end, sha256(trim(c.t, ' ' || chr(10) || chr(9) || chr(13))) AS sha256 FROM c""")
+@_query(_PACKED + "SELECT doc_id AS source, chunk_no, line_start, line_end, len(t) AS n_chars, sha256(t) AS sha256 FROM k")
+def chunk_pack(spark, d):
+    return _packed(spark, d)
+
+
+@_query(_PACKED + "SELECT doc_id AS source, line_start, line_end, sha256(t) AS sha256 FROM k")
 def chunk_pack_short_lines(spark, d):
-    """The packing of documents whose lines all fit in a chunk, which SQL can express."""
-    docs = _doc_pages(spark, d).where(F.array_max(F.transform(F.split("text", "\n", -1), F.length)) <= 600)
-    out = chunking.chunk_pages(docs)
-    return out.select("source", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"), F.sha2("text", 256).alias("sha256"))
+    """The same without numbers and sizes; of all documents, though its name is from when it left long lines out."""
+    return _packed(spark, d).select("source", "line_start", "line_end", "sha256")
 
 
 def _registry(spark, d):
@@ -403,8 +458,6 @@ _TURNS = "turns AS (SELECT conv_id, turn, text AS answer, lag(text) OVER (PARTIT
 
 def _pairs(spark, d):
     """Assistant turns, each with the turn before as its context."""
-    from pyspark.sql import Window
-
     c = table(spark, d, "conversations")
     rows = c.select("conv_id", "turn", "role", F.col("text").alias("answer"), F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("context"))
     return rows.where("role = 'assistant' and context is not null")
@@ -414,12 +467,19 @@ def _pairs(spark, d):
 SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '\p{Nd}+'), lambda n: NOT list_contains(regexp_extract_all(context, '\p{Nd}+'), n)), ' ') AS absent,
   len(list_filter(regexp_extract_all(text, '\p{Nd}+'), lambda n: NOT list_contains(regexp_extract_all(context, '\p{Nd}+'), n))) = 0 AS grounded FROM d WHERE context IS NOT NULL""")
 def number_grounding(spark, d):
-    """Documents with numbers, each against the next such document as its context (found by an id join, no global window)."""
-    docs = table(spark, d, "documents").where(F.col("text").rlike(r"\p{Nd}")).select("doc_id", "text")
-    ids = docs.select("doc_id").sort("doc_id").rdd.map(lambda r: r[0]).zipWithIndex().toDF("doc_id long, i long")
-    nxt = ids.select((F.col("i") - 1).alias("i"), F.col("doc_id").alias("next_id")).join(ids, "i").select("doc_id", "next_id")
-    rows = docs.join(nxt, "doc_id").join(docs.select(F.col("doc_id").alias("next_id"), F.col("text").alias("context")), "next_id")
-    return rows.select("doc_id", F.array_join(text.absent_numbers(F.col("text"), F.col("context")), " ").alias("absent"), text.is_grounded(F.col("text"), F.col("context")).alias("grounded"))
+    """Documents with numbers, each against the next such document as its context.
+
+    Only the numbers travel, not the texts; the last row of each block of ids
+    finds its successor in a table of the blocks' first rows.
+    """
+    docs = table(spark, d, "documents").where(F.col("text").rlike(r"\p{Nd}"))
+    rows = docs.select("doc_id", text.numbers(F.col("text")).alias("own"), F.floor(F.col("doc_id") / 10_000).alias("block"))
+    first = rows.groupBy("block").agg(F.min(F.struct("doc_id", "own")).alias("first"))  # a row for 10,000 ids
+    over = first.select("block", F.lead("first.own").over(Window.orderBy("block")).alias("over"))
+    rows = rows.withColumn("next", F.lead("own").over(Window.partitionBy("block").orderBy("doc_id"))).join(over, "block")
+    rows = rows.withColumn("context", F.coalesce("next", "over")).where("context is not null")
+    absent = F.filter("own", lambda n: ~F.array_contains(F.col("context"), n))
+    return rows.select("doc_id", F.array_join(absent, " ").alias("absent"), (F.size(absent) == 0).alias("grounded"))
 
 
 _WORDS = r"list_filter(regexp_split_to_array(lower({}), '\s+'), lambda w: w <> '')"
@@ -454,11 +514,46 @@ def refusal_detect(spark, d):
     return c.select("conv_id", "turn", text.is_refusal(said, "fr").alias("fr"), text.is_refusal(said, "ar").alias("ar"))
 
 
+@_query(f"""WITH {_TURNS}, c AS (SELECT (conv_id + turn) % 3 = 0 OR regexp_matches(lower(answer), 'aucune information|ne contiennent pas|ne mentionnent pas') AS refused, (conv_id + turn) % 3 = 1 AS cites, contains({_CITE.format('context')}, {_CITE.format("trim(string_split(answer, '.')[1])")}) AS known FROM pairs)
+SELECT count(*) AS answers, count(CASE WHEN refused THEN 1 END) AS refusals, count(CASE WHEN NOT refused AND NOT (cites AND known) THEN 1 END) AS non_verifiable FROM c""")
+def answer_verdicts(spark, d):
+    """Answers of which a third refuse and a third cite their own first sentence."""
+    k = (F.col("conv_id") + F.col("turn")) % 3
+    cited = F.concat("answer", F.lit(" [["), F.trim(F.split("answer", r"\.")[0]), F.lit("]]"))
+    said = F.when(k == 0, F.concat("answer", F.lit(" Il n’y a PAS assez d’informations."))).when(k == 1, cited).otherwise(F.col("answer"))
+    rows = _pairs(spark, d).select("context", said.alias("a"))
+    return evaluate.answer_counts(rows.select(text.is_refusal(F.col("a"), "fr").alias("refused"), text.citations(F.col("a")).alias("citations"), text.fabricated_citations(F.col("a"), F.col("context")).alias("fabricated")))
+
+
+def _sql_text(template: str) -> str:
+    """A template as an SQL expression over ``context`` and ``answer``."""
+    quoted = "'" + template.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return quoted.replace("{context}", "' || context || '").replace("{question}", "' || answer || '")
+
+
+@_query(f"""WITH {_TURNS} SELECT conv_id, turn, sha256({_sql_text(prompts.answer_template("fr"))}) AS fr, sha256({_sql_text(prompts.answer_template("ar", True))}) AS ar_cited,
+  sha256({_sql_text(prompts.choice_template("fr", True, False))}) AS choice, sha256({_sql_text(prompts.choice_template("ar"))}) AS choice_json, CASE WHEN turn % 2 = 0 THEN 3 ELSE 1 END::BIGINT AS messages FROM pairs""")
+def prompt_build(spark, d):
+    q, c = F.col("answer"), F.col("context")
+    asked = prompts.messages(q, c, "fr", F.when(F.col("turn") % 2 == 0, q))
+    return _pairs(spark, d).select(
+        "conv_id", "turn", F.sha2(asked[0]["content"], 256).alias("fr"), F.sha2(prompts.answer_prompt(q, c, "ar", True), 256).alias("ar_cited"),
+        F.sha2(prompts.choice_prompt(q, c, "fr", True, False), 256).alias("choice"), F.sha2(prompts.choice_prompt(q, c), 256).alias("choice_json"), F.size(asked).cast("long").alias("messages"),
+    )
+
+
+@_query("SELECT source, sum(n_chars)::BIGINT AS chars, count(*) AS chunks, round(avg(n_chars) * count(*) / 1000, 6) AS seconds FROM documents GROUP BY 1")
+def embedding_projection(spark, d):
+    """How long each source's documents take to embed at as many milliseconds as they have characters."""
+    rows = table(spark, d, "documents").groupBy("source").agg(F.sum("n_chars").alias("chars"), F.count("*").alias("chunks"), F.avg("n_chars").alias("ms"))
+    return rows.select("source", "chars", "chunks", F.round(models.embedding_seconds(F.col("ms"), F.col("chunks")), 6).alias("seconds"))
+
+
 @_query(r"""WITH l AS (SELECT doc_id, len(regexp_replace(text, '[^\p{Latin}]', '', 'g')) AS lat FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND (lat * 3)::DOUBLE / (lat * 4) >= 0.7 THEN 'ar' WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN NULL WHEN lat > 0 THEN 'fr' END AS detected FROM l WHERE lat > 0""")
+SELECT doc_id, CASE WHEN lat = 0 THEN NULL WHEN doc_id % 4 = 0 AND (lat * 3)::DOUBLE / (lat * 4) >= 0.7 THEN 'ar' WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN NULL WHEN lat > 0 THEN 'fr' END AS detected FROM l""")
 def script_language(spark, d):
     """Texts with Arabic letters added: three for each Latin one, or as many, or none."""
-    docs = _spread(table(spark, d, "documents")).where(text.script_letters(F.col("text"), "LATIN") > 0)
+    docs = _spread(table(spark, d, "documents"))
     n = text.script_letters(F.col("text"), "LATIN")
     k = F.col("doc_id") % 4
     more = F.when(k == 0, F.repeat(F.lit("بـت"), n)).when(k == 1, F.repeat(F.lit("ب"), n)).otherwise("")
@@ -481,11 +576,11 @@ def choice_parse(spark, d):
 
 # --- pages and formatting ----------------------------------------------------------------------------------------
 
-_NUM = "nums AS (SELECT source, (doc_id // 20) % 40 AS page, doc_id FROM documents WHERE n_chars % 3 > 0)"
+_NUM = "nums AS (SELECT source, (doc_id * doc_id // 400) % 97 AS page, doc_id FROM documents)"
 
 
 def _numbers(spark, d):
-    return table(spark, d, "documents").where("n_chars % 3 > 0").select("source", F.expr("(doc_id div 20) % 40").alias("page"), "doc_id")
+    return table(spark, d, "documents").select("source", F.expr("(doc_id * doc_id div 400) % 97").alias("page"), "doc_id")
 
 
 @_query(f"""WITH {_NUM}, u AS (SELECT DISTINCT source, page FROM nums), g AS (SELECT source, page, page - row_number() OVER (PARTITION BY source ORDER BY page) AS island FROM u),
@@ -526,11 +621,22 @@ def citation_format(spark, d):
     return rows.select("doc_id", formatting.format_excerpts(F.array("text"), F.array(s), "fr").alias("excerpt"), formatting.format_sources(F.array(s, s2), "fr").alias("cited"))
 
 
-@_query()
+_ENTITIES = "MAP {" + ", ".join(f"'{k}': chr({v})" for k, v in (name2codepoint | {"apos": 39}).items()) + "}"
+_HTML = rf"""WITH m AS (SELECT {_ENTITIES} AS m),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g'), '[\s\x0B]+', ' ', 'g'),
+  '(?i)</?(?:{"|".join((*BLOCK_TAGS, *BREAK_TAGS))})\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g') AS t FROM pages),
+p AS (SELECT page_id, string_split(t, '&') AS p FROM b),
+e AS (SELECT page_id, i, CASE WHEN i = 1 THEN p[1] WHEN m[regexp_extract(p[i], '^([A-Za-z][A-Za-z0-9]*);', 1)] IS NULL THEN '&' || p[i]
+  ELSE m[regexp_extract(p[i], '^([A-Za-z][A-Za-z0-9]*);', 1)] || substr(p[i], len(regexp_extract(p[i], '^([A-Za-z][A-Za-z0-9]*);', 1)) + 2) END AS x FROM p, m, range(1, len(p) + 1) AS r(i)),
+l AS (SELECT page_id, list_filter(list_transform(string_split(string_agg(x, '' ORDER BY i), chr(10)), lambda x: trim(regexp_replace(x, '[\s\x0B\x{{85}}\p{{Z}}]+', ' ', 'g'))), lambda x: x <> '') AS l FROM e GROUP BY page_id)
+SELECT page_id, i - 1 AS line_no, l[i] AS line FROM l, range(1, len(l) + 1) AS r(i)"""
+
+
+@_query(_HTML)
 def html_lines(spark, d):
-    """Flattened pages; SQL has no such parser, tests hold it against one from the standard library."""
+    """Pages as lines of text."""
     rows = table(spark, d, "pages").select("page_id", F.posexplode(pages.html_lines(F.col("html"))).alias("line_no", "line"))
-    return rows.select("page_id", "line_no", "line")
+    return rows.select("page_id", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
 @_query("""SELECT doc_id, replace(printf('%.1f', n_chars / 7.0::DOUBLE), '.', ',') AS number, CASE WHEN n_chars <= 1 THEN n_chars || ' question' ELSE n_chars || ' questions' END AS counted,

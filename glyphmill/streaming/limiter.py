@@ -1,4 +1,4 @@
-"""The sliding-log limiter over a stream, and streaming ingestion."""
+"""The sliding-log limiter over a stream."""
 
 from __future__ import annotations
 
@@ -43,8 +43,3 @@ def limit_stream(events: DataFrame, most: int, window: float, key_col: str = "us
     rows = events.select(F.col(key_col).alias("key"), F.col(ts_col).cast("double").alias("ts"))
     schema = StructType([rows.schema["key"], *StructType.fromDDL("ts double, accepted boolean, retry_after int").fields])
     return rows.groupBy("key").transformWithStateInPandas(SlidingLog(most, window), schema, "append", "None")
-
-
-def ingest_stream(files: DataFrame, handle_batch, checkpoint: str):
-    """Starts ``handle_batch(df, batch_id)`` on every micro-batch of new documents, once per batch in the checkpoint's sense."""
-    return files.writeStream.foreachBatch(handle_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -4,9 +4,12 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from glyphmill.config import BLOCK_TAGS, BREAK_TAGS
 from glyphmill.functions import formatting
-from glyphmill.operators import ingest, limiter, models, pages
+from glyphmill.functions.selection import choice_from_json
+from glyphmill.operators import evaluate, ingest, limiter, models, pages
 from glyphmill.sources import corpus, golden
+from glyphmill.streaming import ingest as stream
 from glyphmill.streaming.limiter import limit_stream
 
 
@@ -104,11 +107,11 @@ def test_html_lines_match_a_parser(spark, small_dir):
 
         def handle_starttag(self, tag, attrs):
             self.skip += tag in ("script", "style")
-            self.out += ["\n"] * (tag in corpus.BLOCKS | corpus.BREAKS)
+            self.out += ["\n"] * (tag in (*BLOCK_TAGS, *BREAK_TAGS))
 
         def handle_endtag(self, tag):
             self.skip -= tag in ("script", "style")
-            self.out += ["\n"] * (tag in corpus.BLOCKS)
+            self.out += ["\n"] * (tag in BLOCK_TAGS)
 
         def handle_data(self, data):
             if not self.skip:
@@ -183,7 +186,7 @@ class Scripted:
         self.answers = answers
 
     def generate(self, prompts):
-        return [self.answers.get(p.split("\n")[0] + ("#2" if "Réécris" in p else ""), "") for p in prompts]
+        return [self.answers.get(p.split("\n")[0] + ("#2" if "Récris" in p else ""), "") for p in prompts]
 
 
 def test_models(spark):
@@ -212,3 +215,91 @@ def test_formats(spark):
     assert got.x == "📄 Extraits cités :\n1. « " + "x" * 200 + "… » — T — page 2 (lignes 3-4)\n2. « two lines » — g — page 5 (lignes 1-1)"
     n = spark.createDataFrame([(0, 26.5 * 60, ["a"] * 7)], "n int, s double, l array<string>")
     assert tuple(n.select(formatting.counted(F.col("n"), "question"), formatting.duration(F.col("s")), formatting.examples(F.col("l")), formatting.french_percent(F.lit(0.85))).first()) == ("0 question", "26 min", "a, a, a, a, a (+2)", "85,0 %")
+
+
+def test_store_keeps_old_versions_until_compacted(spark, tmp_path):
+    store, schema = ingest.Store(spark, str(tmp_path / "a")), "text string, source string"
+    for fingerprint, words in (("1", ["x", "y"]), ("2", ["z"])):
+        planned = spark.createDataFrame([("s", fingerprint, len(words), "updated")], "source string, fingerprint string, chunks long, status string")
+        store.upsert(planned, spark.createDataFrame([(w, "s") for w in words], schema), "m")
+    assert store.count(schema) == store.count(schema, "s") == 1 and store.registered("s").fingerprint == "2" and store.registered("t") is None
+    assert spark.read.parquet(store.chunks_path).count() == 3
+    other = store.compact(schema, str(tmp_path / "b"))
+    assert [r.text for r in other.chunks(schema).collect()] == ["z"] and spark.read.parquet(other.chunks_path).count() == 1
+    assert other.purge("s", schema) == 1 and other.count(schema) == 0 and other.registry().count() == 0
+
+
+def test_streaming_ingestion(spark, tmp_path):
+    folder = tmp_path / "corpus"
+    folder.mkdir()
+    (folder / "good.epub").write_bytes(epub([("81", "one"), ("81", "two"), ("82", "three")]))
+    (folder / "bad.epub").write_bytes(b"nope")
+    (folder / "blank.epub").write_bytes(epub([("1", "  ")]))
+    store = ingest.Store(spark, str(tmp_path / "store"))
+
+    def run():
+        query = stream.ingest_stream(spark, str(folder), store, str(tmp_path / "checkpoint"), "m")
+        assert query.awaitTermination(300) and query.exception() is None
+        return sorted((r.source, r.page, r.chunk_id, r.text, r.title) for r in store.chunks(stream.CHUNK_SCHEMA).collect())
+
+    first = [("good.epub", 81, "good.epub::chunk_0", "one\ntwo", "The Book"), ("good.epub", 82, "good.epub::chunk_1", "three", "The Book")]
+    assert run() == first and [(r.source, r.chunk_count) for r in store.registry().collect()] == [("good.epub", 2)]
+    assert {r.source for r in spark.read.parquet(store.errors_path).collect()} == {"bad.epub"}
+    (folder / "more.epub").write_bytes(epub([("5", "five")]))
+    assert run() == [*first, ("more.epub", 5, "more.epub::chunk_0", "five", "The Book")]
+    again = spark.createDataFrame([("more.epub", epub([("6", "six")])), ("good.epub", b"nope"), ("x.txt", b"")], "source string, content binary")
+    for _ in range(2):  # a batch done again changes nothing
+        stream.ingest_batch(again, store, "m")
+        assert [r.text for r in store.chunks(stream.CHUNK_SCHEMA).where("source = 'more.epub'").collect()] == ["six"]
+    assert store.count(stream.CHUNK_SCHEMA, "good.epub") == 2  # what can't be read leaves what there is
+
+
+def test_dispatch_and_manifest(spark, tmp_path):
+    files = [("a.EPUB", epub([("1", "x")])), ("b.pdf", b"%PDF nothing"), ("c.txt", b"t")]
+    out = {r.source: (r.text, r.error) for r in corpus.pages_of(spark.createDataFrame(files, "source string, content binary")).collect()}
+    assert out["a.EPUB"] == ("x", None) and "PDF" in out["b.pdf"][1] and "neither" in out["c.txt"][1]
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    (tmp_path / "d" / "e" / "f.bin").write_bytes(b"abc")
+    (tmp_path / "d" / "g").write_bytes(b"")
+    made = corpus.build_manifest(spark, str(tmp_path / "d"))
+    assert [(r.path, r.size, r.sha256[:6]) for r in made.collect()] == [("e/f.bin", 3, "ba7816"), ("g", 0, "e3b0c4")]
+    assert ingest.verify_manifest(made, made).count() == 0
+
+
+def test_retries():
+    seen, slept = [], []
+
+    def task(fail):
+        seen.append(1)
+        if len(seen) <= fail:
+            raise (ValueError if fail < 5 else corpus.EpubError)("x")
+        return "done"
+
+    assert models.with_retries(lambda: task(2), retries=2, sleep=slept.append) == "done" and slept == [3.0, 6.0]
+    seen.clear()
+    with pytest.raises(ValueError):
+        models.with_retries(lambda: task(3), retries=2, sleep=slept.append)
+    assert len(seen) == 3
+    seen.clear()
+    with pytest.raises(corpus.EpubError):
+        models.with_retries(lambda: task(9), retries=5, permanent=(corpus.UnreadableFile,), sleep=slept.append)
+    assert len(seen) == 1
+
+
+def test_selection_answers_and_samples(spark):
+    source = "struct<source:string,title:string,page:int,line_start:int,line_end:int>"
+    s = [("f.pdf", "Book", 3, 1, 2), ("g.pdf", None, 4, 5, 6)]
+    rows = spark.createDataFrame([("q1", ["one", " two "], s), ("q2", ["one"], s[:1]), ("q3", ["one"], s[:1]), ("q4", [], [])], f"question string, passages array<string>, sources array<{source}>")
+
+    class Picks:
+        def generate(self, prompts):
+            return [{"q1": '{"passage": 9, "passage": 2}', "q2": '{"passage": 0}'}.get(next(q for q in ("q1", "q2", "q3") if q in p), "?") for p in prompts]
+
+    out = {r.question: (r.choice, r.answer, r.raw) for r in models.select_answer(rows, Picks(), choice_from_json, "fr").collect()}
+    assert out["q1"][0] == 2 and "two" in out["q1"][1] and "g.pdf — page 4 (lignes 5-6)" in out["q1"][1]
+    assert out["q2"][:2] == (0, "") and out["q3"] == (None, "", "?") and out["q4"] == (None, "", "")
+    texts = models.timing_sample(spark.createDataFrame([(2, "b"), (1, "a")], "chunk_id int, text string"), 4, 50)
+    assert texts[:2] == ["a", "b"] and [len(t) for t in texts[2:]] == [50, 50] and models.embedding_seconds(500, 30) == 15
+    moved = evaluate.moves(*(spark.createDataFrame([(i, False, r) for i, r in x], "query_id int, out_of_corpus boolean, rank int") for x in ([(1, 2), (2, None), (3, 1)], [(1, 1), (2, None), (4, 1)])))
+    assert {r.query_id: r.move for r in moved.collect()} == {1: "progressed", 2: "stable", 3: "only_reference", 4: "only_candidate"}
+    assert len(evaluate.warnings_of({"k": 5, "fingerprint": "a", "chunks": 1}, {"k": 10, "fingerprint": "b", "chunks": 2}, moved)) == 3
