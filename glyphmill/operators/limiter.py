@@ -47,8 +47,9 @@ def limit(events: DataFrame, most: int, window: float, key_col: str = "user_id",
 
     A client's events are cut where none came for a whole window, as the log is
     empty there; the parts are dealt out over all tasks and read as sorted
-    streams, so no task holds a client.  Only a part without such a pause, whose
-    verdicts depend on one another from first to last, stays in one task.
+    streams.  Finding the pauses sorts a client's times, without other columns,
+    in one task; a part without a pause, whose verdicts depend on one another
+    from first to last, is read by one task.
     """
     if most < 1 or window < 1:
         raise ValueError("limit and window must be 1 or more")

@@ -41,7 +41,6 @@ def ranges(values: DataFrame, key: str, value: str) -> DataFrame:
 
 def missing_pages(pages: DataFrame, key: str, number: str) -> DataFrame:
     """``(key, missing)``: numbers lacking between each key's least and greatest."""
-    w = Window.partitionBy(key).orderBy(number)
     rows = pages.where(F.col(number).isNotNull()).select(key, F.col(number).alias("missing_after")).distinct()
     rows = rows.withColumn("next", F.lead("missing_after").over(Window.partitionBy(key).orderBy("missing_after")))
     gaps = rows.where(F.col("next") > F.col("missing_after") + 1)
