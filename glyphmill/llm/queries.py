@@ -7,10 +7,25 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import chat_format, decontaminate, exact_dedup, language_id, language_model, quality, sentencepiece_bpe, simhash, substring_dedup, url_filter
+from glyphmill.llm import (
+    alignment,
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    language_id,
+    language_model,
+    license_scan,
+    quality,
+    ranked_search,
+    sentencepiece_bpe,
+    simhash,
+    substring_dedup,
+    url_filter,
+)
 
 #: Where the public tokenizer files lie; GLYPHMILL_TOKENIZERS overrides the installed package's place.
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 URL_RULES = [
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),
@@ -27,6 +42,32 @@ TOOL_SCHEMAS = {
     "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"], "additionalProperties": False},
 }
 
+#: Phrases that name a license, with their labels.
+LICENSE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+#: Notices by which works are put under a license, as their publishers word them.
+LICENSE_NOTICES = {
+    "agpl-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"],
+    "apache-2.0": [
+        "Licensed under the Apache License, Version 2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "cc-by-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
+    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "gpl-3.0": [
+        "This work is licensed under the GNU General Public License, version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "mit": [
+        "Released under the MIT License",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
+    ],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
+    "unlicense": ["This is free and unencumbered software released into the public domain."],
+}
+
 
 def tokenizer_path(name: str = PIECE_MODEL) -> str:
     """Path of a tokenizer file of the installed ``public_tokenizers`` package, or of the folder GLYPHMILL_TOKENIZERS."""
@@ -125,6 +166,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(spread(spark, table(spark, sf_dir, "documents")), LICENSE_PHRASES, LICENSE_NOTICES)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(spread(spark, table(spark, sf_dir, "documents")))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark"), k=10).withColumnRenamed("id", "doc_id")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(spread(spark, table(spark, sf_dir, "documents")), tokenizer_path(BYTE_MODEL), tokenizer_path())
+
+
 def queries() -> dict:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -137,6 +191,9 @@ def queries() -> dict:
         "op8_simhash": op8_simhash,
         "op9_language_model": op9_language_model,
         "op10_quality": op10_quality,
+        "op11_license_scan": op11_license_scan,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_alignment": op13_alignment,
     }
 
 
@@ -196,5 +253,53 @@ FROM placed
 """
 
 
+def _notices_sql() -> str:
+    rows = []
+    for label, texts in LICENSE_NOTICES.items():
+        for text in texts:
+            words = license_scan.words_of(text)
+            rows.append(f"('{label}', {license_scan.block_words(len(words))}, {sorted(set(words))})")
+    return ", ".join(rows)
+
+
+def _phrase_sql(phrase: str) -> str:
+    words = phrase.split()
+    same = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words, 1))
+    return f"SELECT doc, i, '{LICENSE_PHRASES[phrase]}' AS label FROM d, range(0, len(w) - {len(words) - 1}) AS r(i) WHERE {same}"
+
+
+# Every block of every size against every notice, without filters.
+ORACLE_OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS doc, doc_id, {_WORDS} AS w FROM documents),
+base AS ({" UNION ALL ".join(map(_phrase_sql, LICENSE_PHRASES))}),
+named AS (SELECT doc, count(*) AS n, min(i) AS a, max(i) AS b, list_sort(list_distinct(list(label))) AS labels FROM base GROUP BY doc),
+notice(label, size, own) AS (VALUES {_notices_sql()}),
+block AS (SELECT doc, s.size, w[k * s.size // 2 + 1:k * s.size // 2 + s.size] AS own FROM d, (SELECT DISTINCT size FROM notice) AS s, range(0, CAST(greatest(ceil((len(w) - s.size) / (s.size / 2)), 0) AS BIGINT) + 1) AS r(k)),
+share AS (SELECT doc, label, len(list_intersect(block.own, notice.own)) / len(notice.own) AS share FROM block JOIN notice USING (size)),
+method AS (SELECT doc, list_distinct(list(label)) AS labels, max(share) AS share FROM share WHERE share >= {license_scan.THRESHOLD} GROUP BY doc)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word,
+  array_to_string(coalesce(named.labels, []), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(named.labels, []), coalesce(method.labels, [])))), ',') AS labels,
+  CASE WHEN n > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN named USING (doc) LEFT JOIN method USING (doc)
+"""
+
+_TERMS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLE_OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS doc, doc_id, {_TERMS} AS t FROM documents),
+totals AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS length FROM d),
+wanted AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)),
+tf AS (SELECT doc, doc_id, n, term, count(*) AS tf FROM (SELECT doc, doc_id, len(t) AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, totals GROUP BY term, n_docs),
+score AS (
+  SELECT item_id, doc, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // length)))) AS BIGINT) AS score
+  FROM wanted JOIN tf USING (term) JOIN weight USING (term), totals GROUP BY item_id, doc, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score
+FROM score WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op3_chat_format": ORACLE_OP3, "op4_decontamination": ORACLE_OP4, "op5_exact_dedup": ORACLE_OP5, "op7_url_filter": ORACLE_OP7}
+    return {"op3_chat_format": ORACLE_OP3, "op4_decontamination": ORACLE_OP4, "op5_exact_dedup": ORACLE_OP5, "op7_url_filter": ORACLE_OP7, "op11_license_scan": ORACLE_OP11, "op12_ranked_search": ORACLE_OP12}

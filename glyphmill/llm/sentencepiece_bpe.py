@@ -89,6 +89,13 @@ class Model:
         with open(path, "rb") as f:
             self._read(f.read())
 
+    @classmethod
+    def of(cls, data: bytes) -> Model:
+        """The model of a file's bytes."""
+        model = cls.__new__(cls)
+        model._read(data)
+        return model
+
     def _read(self, data: bytes) -> None:
         self.pieces: list[bytes] = []
         self.kinds: list[int] = []
