@@ -6,8 +6,9 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from glyphmill.llm.sentencepiece_bpe import BYTE, Model
 from glyphmill.llm.shared import materialise, small_batches
 
-#: Chunks that a task remembers, and the longest that it does.
+#: Chunks that a task remembers, twice, and the longest that it does.
 CACHE_CHUNKS, CACHE_LENGTH = 150_000, 48
 #: Characters of text that are aligned at once.
 SLICE = 1_000_000
@@ -56,7 +57,9 @@ class Aligner:
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         # what each id is written as: first of its group or a later one, A then B
         self.written = np.array([f";{i}" for i in range(len(self.a_bytes))] + [f",{i}" for i in range(len(self.a_bytes))] + [f"|{i}" for i in range(len(self.b_bytes))] + [f",{i}" for i in range(len(self.b_bytes))], object)
+        self.a_table, self.b_table = (np.array(t, object) for t in (self.a_bytes, self.b_bytes))
         self.known: dict[str, tuple | None] = {}
+        self.earlier: dict[str, tuple | None] = {}
 
     def chunks(self, text: str) -> list[str]:
         return _CUT.split(text) if self.by_chunk else [text]
@@ -67,14 +70,21 @@ class Aligner:
         None where the tokens' bytes aren't the text with a space before.
         """
         plain = [(" " + c).encode() for c in chunks]
-        a = [e.ids for e in self.a.encode_batch([" " + c for c in chunks], add_special_tokens=False)]
+        a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)]
         b = self.b.encode(chunks, num_threads=1)
-        good = [i for i, p in enumerate(plain) if b"".join([self.a_bytes[x] for x in a[i]]) == p == b"".join([self.b_bytes[x] for x in b[i]])]
+        good: Sequence[int] = range(len(chunks))
+        n_a, n_b, ids_a, ids_b = self._flat(a, b)
+        size = np.fromiter(map(len, plain), np.int64, len(plain))
+        whole = b"".join(plain)
+        # all at once: if every text's tokens end where it ends and all bytes are the same, so are each text's
+        ends = [np.concatenate(([0], np.cumsum(t[i])))[np.cumsum(n)] for t, i, n in ((self.a_size, ids_a, n_a), (self.b_size, ids_b, n_b))]
+        same = all((e == np.cumsum(size)).all() for e in ends) and all(b"".join(t[i].tolist()) == whole for t, i in ((self.a_table, ids_a), (self.b_table, ids_b)))
         out: list = [None] * len(chunks)
-        if not good:
-            return out
-        n_a, n_b = np.array([len(a[i]) for i in good]), np.array([len(b[i]) for i in good])
-        ids_a, ids_b = np.array([x for i in good for x in a[i]], np.int64), np.array([x for i in good for x in b[i]], np.int64)
+        if not same:
+            good = [i for i, p in enumerate(plain) if b"".join([self.a_bytes[x] for x in a[i]]) == p == b"".join([self.b_bytes[x] for x in b[i]])]
+            if not good:
+                return out
+            n_a, n_b, ids_a, ids_b = self._flat([a[i] for i in good], [b[i] for i in good])
         # texts lie one after another, so that no group or link reaches into the next
         end_a, end_b = np.cumsum(self.a_size[ids_a]), np.cumsum(self.b_size[ids_b])
         begin_a, begin_b = end_a - self.a_size[ids_a], end_b - self.b_size[ids_b]
@@ -100,17 +110,27 @@ class Aligner:
         linked = np.concatenate(([0], np.cumsum(per)[last_a])) * links.itemsize
         groups = np.diff(np.concatenate(([-1], group[last_a])))
         packed = links.tobytes()
-        for k, i in enumerate(good):
-            out[i] = (len(a[i]), len(b[i]), int(groups[k]), "".join(written[tokens[k] : tokens[k + 1]])[1:], packed[linked[k] : linked[k + 1]])
+        tokens, linked = tokens.tolist(), linked.tolist()
+        rows = zip(good, n_a.tolist(), n_b.tolist(), groups.tolist(), tokens, tokens[1:], linked, linked[1:])
+        for i, na, nb, n, begin, end, first_link, last_link in rows:
+            out[i] = (na, nb, n, "".join(written[begin:end])[1:], packed[first_link:last_link])
         return out
 
+    @staticmethod
+    def _flat(*many: list[list[int]]) -> list[np.ndarray]:
+        """How many ids each text has, and all of them, for each tokenizer."""
+        counts = [np.fromiter(map(len, ids), np.int64, len(ids)) for ids in many]
+        return counts + [np.fromiter(chain.from_iterable(ids), np.int64, n.sum()) for ids, n in zip(many, counts)]
+
     def align_texts(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray]]:
         """:meth:`align` of whole texts, put together from their chunks, each of which is aligned once."""
         cut = [self.chunks(t) if t else [] for t in texts]
         wanted = set().union(*cut)
-        new = list(wanted - self.known.keys())
+        new = wanted - self.known.keys()
         if len(self.known) + len(new) > CACHE_CHUNKS:
-            self.known, new = {}, list(wanted)
+            self.earlier, self.known, new = self.known, {}, wanted
+        self.known.update((c, self.earlier[c]) for c in new & self.earlier.keys())
+        new = list(new - self.earlier.keys())
         if new:
             self.known.update(zip(new, self.align(new)))
         get = self.known.__getitem__
