@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glyphmill.functions.text import strip, strip_end
+
 # The words of a citation by language.
 PAGE = {"fr": ("page ", " (lignes ", ", "), "ar": ("صفحة ", " (الأسطر ", "، ")}
 SELECTED = {"fr": "Passage sélectionné dans l'ouvrage (à vérifier) :", "ar": "المقطع المختار من الكتاب (يُرجى التحقّق منه):"}
@@ -13,7 +15,7 @@ EXCERPTS = {"fr": "📄 Extraits cités :", "ar": "📄 المقتطفات:"}
 
 def source_label(s: Column) -> Column:
     """A work's title, else its file, else nothing."""
-    return F.coalesce(F.nullif(F.trim(s["title"]), F.lit("")), s["source"], F.lit(""))
+    return F.coalesce(F.nullif(strip(s["title"]), F.lit("")), s["source"], F.lit(""))
 
 
 def _place(s: Column, language: str) -> Column:
@@ -39,8 +41,8 @@ def format_excerpts(passages: Column, sources: Column, language: str = "ar", mos
     """A numbered list of passages, each cut to ``most`` characters with an ellipsis, and its citation."""
 
     def one(p: Column, i: Column) -> Column:
-        text = F.replace(F.trim(p["text"]), F.lit("\n"), F.lit(" "))
-        text = F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, most)), F.lit("…"))).otherwise(text)
+        text = F.replace(strip(p["text"]), F.lit("\n"), F.lit(" "))
+        text = F.when(F.length(text) > most, F.concat(strip_end(F.substring(text, 1, most)), F.lit("…"))).otherwise(text)
         return F.concat((i + 1).cast("string"), F.lit(". « "), text, F.lit(" » — "), format_sources(F.array(p["s"]), language))
 
     rows = F.arrays_zip(passages.alias("text"), sources.alias("s"))
@@ -48,7 +50,7 @@ def format_excerpts(passages: Column, sources: Column, language: str = "ar", mos
 
 
 def format_chosen(passage: Column, source: Column, language: str = "ar") -> Column:
-    return F.concat(F.lit(SELECTED[language] + "\n\n"), F.trim(passage), F.lit("\n\n"), format_sources(F.array(source), language))
+    return F.concat(F.lit(SELECTED[language] + "\n\n"), strip(passage), F.lit("\n\n"), format_sources(F.array(source), language))
 
 
 def examples(items: Column, most: int = 5) -> Column:
@@ -58,8 +60,8 @@ def examples(items: Column, most: int = 5) -> Column:
 
 
 def fixed(value: Column, places: int) -> Column:
-    """A number to some places, halves to even."""
-    return F.bround(value.cast("decimal(38,18)"), places).cast(f"decimal(30,{places})").cast("string")
+    """A number to some places; the double's exact value is rounded, so that 0.35 gives 0.3, and exact halves go to even."""
+    return F.call_function("format_number", value.cast("double"), F.lit("0" + ("." + "0" * places if places else "")))
 
 
 def french_number(value: Column, places: int = 2) -> Column:

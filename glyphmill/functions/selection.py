@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the letters that can label passages.
+from glyphmill.functions.text import ascii_digits
+
+# The letters that can label passages.
 LETTERS = "ABCDEFGH"
 
 
@@ -36,8 +38,8 @@ def _unsigned(answer: Column) -> Column:
 
 
 def choice_from_digits(answer: Column, n: Column) -> Column:
-    """The last number outside of :func:`_unsigned`'s blanks, if within 0..n."""
-    runs = F.filter(F.split(_unsigned(answer), r"\P{Nd}+"), lambda r: r != "")
+    """The last number, in digits of any script, outside of :func:`_unsigned`'s blanks, if within 0..n."""
+    runs = F.filter(F.split(ascii_digits(_unsigned(answer)), "[^0-9]+"), lambda r: r != "")
     return _within(F.try_element_at(runs, F.lit(-1)).try_cast("bigint"), n)
 
 

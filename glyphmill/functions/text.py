@@ -122,6 +122,21 @@ def tokens(text: Column, least: int = DEFAULTS.min_token_length) -> Column:
     return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*STOP_WORDS))
 
 
+def strip(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+
+
+def strip_end(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)[\s\x1C-\x1F]+$", "")
+
+
+def ascii_digits(text: Column) -> Column:
+    """The text with decimal digits of all scripts as ASCII."""
+    found = {c: str(unicodedata.decimal(c)) for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"}
+    return F.translate(text, "".join(found), "".join(found.values()))
+
+
 def squeeze(text: Column) -> Column:
     """White-space runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))

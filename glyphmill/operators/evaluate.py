@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.config import DEFAULTS, EngineConfig
+from glyphmill.operators.statistics import nth
 
 
 def source_matches(retrieved_source: Column, retrieved_page: Column, source: Column, page: Column) -> Column:
@@ -108,32 +109,25 @@ def answer_counts(answers: DataFrame) -> DataFrame:
 def context_snapshot(chunks: DataFrame, questions: DataFrame, k: int, config: EngineConfig = DEFAULTS) -> DataFrame:
     """One row: how and over what is measured, so that a report can be told from another.
 
-    ``chunks(source)`` are counted, and of ``questions(status, out_of_corpus)``
-    the drafts and those without an answer.
+    ``chunks(source, chunk_id)`` are counted and told by the fingerprint of
+    their ids, and of ``questions(status, out_of_corpus)`` the drafts and those
+    without an answer are counted.
     """
     of = {"pipeline": "hybrid" if config.hybrid_enabled else "vector", "embedding_model": config.embedding_model, "chunk_size": config.chunk_size, "n_results": config.n_results, "k": k, "distance_threshold": config.distance_threshold}
     if config.hybrid_enabled:
         of |= {"candidates": config.hybrid_candidates, "rrf_k": config.hybrid_rrf_k, "vector_weight": config.hybrid_vector_weight, "lexical_weight": config.hybrid_lexical_weight}
     held = chunks.agg(F.count("*").alias("chunks"), F.count_distinct("source").alias("sources"))
+    told = fingerprint_lanes(chunks, "chunk_id").select(fingerprint_of("n", *[f"lane{i}" for i in range(8)]).alias("fingerprint"))
     asked = questions.agg(F.count_if(F.col("status") == "draft").alias("drafts"), F.count_if("out_of_corpus").alias("out_of_corpus"))
-    return held.crossJoin(asked).select(*[F.lit(v).alias(c) for c, v in of.items()], "chunks", "sources", "drafts", "out_of_corpus")
+    one = held.crossJoin(asked).crossJoin(told)
+    return one.select(*[F.lit(v).alias(c) for c, v in of.items()], "chunks", "sources", "fingerprint", "drafts", "out_of_corpus")
 
 
 def distance_stats(found: DataFrame) -> DataFrame:
-    """``(out_of_corpus, n, minimum, median, maximum)`` of the nearest distances; the median is the upper one.
-
-    Exact and spill-safe: ranks come from a window over each population's
-    sorted distances, of which only the evaluation's questions have one.
-    """
-    from pyspark.sql import Window
-
-    rows = found.where("min_distance is not null")
-    by = Window.partitionBy("out_of_corpus")
-    rows = rows.select("out_of_corpus", "min_distance", F.row_number().over(by.orderBy("min_distance")).alias("i"), F.count("*").over(by).alias("n"))
-    return rows.groupBy("out_of_corpus").agg(
-        F.max("n").alias("n"), F.round(F.min("min_distance"), 4).alias("minimum"),
-        F.round(F.max(F.when(F.col("i") == F.floor(F.col("n") / 2) + 1, F.col("min_distance"))), 4).alias("median"), F.round(F.max("min_distance"), 4).alias("maximum"),
-    )
+    """``(out_of_corpus, n, minimum, median, maximum)`` of the nearest distances; the median is the upper one, found by counting."""
+    stats = nth(found, "out_of_corpus", "min_distance", F.floor(F.col("n") / 2))
+    rounded = lambda c, name: F.round(c, 4).alias(name)
+    return stats.select("out_of_corpus", "n", rounded("least", "minimum"), rounded("nth", "median"), rounded("most", "maximum"))
 
 
 def distances_overlap(stats: DataFrame) -> DataFrame:
@@ -167,15 +161,24 @@ def fingerprint_lanes(ids: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     return ids.where(F.col(id_col).isNotNull()).agg(F.count("*").alias("n"), *lanes)
 
 
+def fingerprint_of(n, *lanes) -> Column:
+    """Twelve hex digits for a count and its lanes."""
+    whole = F.concat(*[F.lpad(F.hex(x), 8, "0") for x in lanes])
+    return F.substring(F.sha2(F.concat(F.col(n).cast("string"), F.lit(":"), F.lower(whole)), 256), 1, 12)
+
+
+def merge_lanes(parts: DataFrame) -> DataFrame:
+    """The lanes of several sets of ids together, from ``parts(n, lane0 .. lane7)``.
+
+    A set that replaces some of another's ids also comes with those, their ``n``
+    negative: XOR takes them out as it put them in.
+    """
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.coalesce(F.bit_xor(f"lane{i}"), F.lit(0)).alias(f"lane{i}") for i in range(8)])
+
+
 def fingerprint(ids: DataFrame, id_col: str = "chunk_id") -> str:
     """Twelve hex digits that tell a corpus by its ids."""
-    import hashlib
-
-    n, *lanes = fingerprint_lanes(ids, id_col).first()
-    total = 0
-    for lane in lanes:
-        total = total << 32 | lane
-    return hashlib.sha256(f"{n}:{total}".encode()).hexdigest()[:12]
+    return fingerprint_lanes(ids, id_col).select(fingerprint_of("n", *[f"lane{i}" for i in range(8)])).first()[0]
 
 
 def selection_balance(trials: DataFrame) -> DataFrame:

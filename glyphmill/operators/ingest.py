@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.config import DEFAULTS
+from glyphmill.operators.ordered import scan
+from glyphmill.sources.commits import CommitLog, Conflict
 
 REGISTRY_SCHEMA = "source string, fingerprint string, chunk_count long, embedding_model string, updated_at timestamp"
 
@@ -32,10 +34,10 @@ def recipe_state(meta: dict | None, rows: int, force: bool = False, config=DEFAU
     return ("written", meta | recipe) if force or not rows else ("doubtful", meta)
 
 
-def prepare_chunks(chunks: DataFrame, source: str = "source", order: tuple[str, ...] = ("page", "chunk_no"), meta: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``chunk_index`` (0-based in the document), ``chunk_id`` and a map of the columns ``meta``."""
-    place = F.row_number().over(Window.partitionBy(source).orderBy(*order)) - 1
-    rows = chunks.withColumn("chunk_index", place).withColumn("chunk_id", F.concat(F.col(source), F.lit("::chunk_"), F.col("chunk_index").cast("string")))
+def prepare_chunks(chunks: DataFrame, source: str = "source", order: tuple[str, ...] = ("page", "chunk_no"), meta: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """Adds ``chunk_index`` (0-based in the document), ``chunk_id`` and a map of the columns ``meta``; a document of any size is numbered in blocks."""
+    rows = scan(chunks, [source], order, parts=parts).withColumnRenamed("place", "chunk_index")
+    rows = rows.withColumn("chunk_index", F.col("chunk_index").cast("int")).withColumn("chunk_id", F.concat(F.col(source), F.lit("::chunk_"), F.col("chunk_index").cast("string")))
     pairs = [x for m in meta for x in (F.lit(m), F.col(m).cast("string"))]
     return rows.withColumn("extra", F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())) if pairs else rows
 
@@ -95,6 +97,16 @@ def reconcile(disk: DataFrame, registry: DataFrame, index: DataFrame, model: str
     )
 
 
+def other_models(registry: DataFrame, model: str) -> DataFrame:
+    """``(source, embedding_model)`` of what was embedded with another model."""
+    return registry.where(F.col("embedding_model") != model).select("source", "embedding_model")
+
+
+def distinct_sources(chunks: DataFrame, source: str = "source") -> DataFrame:
+    """The sources that chunks come from, without blank ones."""
+    return chunks.where(F.col(source) != "").select(source).distinct()
+
+
 def duplicate_names(files: DataFrame, name: str = "source") -> DataFrame:
     """Names that several files have: ``(source, n)``."""
     return files.groupBy(F.col(name).alias("source")).agg(F.count("*").alias("n")).where("n > 1")
@@ -109,71 +121,105 @@ def verify_manifest(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Chunks and their registry in a folder, both only ever appended to.
-
-    Each upsert writes its chunks under a version of its own and then registers
-    it; readers see the chunks of the version that the registry names for their
-    source.  The registry comes last, so after a crash a document is as it was,
-    and the next run does it again.  Nothing is deleted: what is forgotten or
-    replaced is no longer seen, and :meth:`compact` leaves it behind.
+    """Chunks and their registry in a folder, as parts that versions list.
+
+    Each upsert writes its chunks and its registry rows as a part of its own and
+    then publishes a version with it, at once or not at all: after a crash the
+    store is as it was.  Readers see the chunks that the newest registry row of
+    their source came with.  Two writers of different documents both get
+    through, one after the other; of two that wrote the same document the second
+    gets a :class:`~glyphmill.sources.commits.Conflict`.  Nothing written is
+    changed; :meth:`compact` leaves behind what is no longer seen, and
+    :meth:`clear` removes it.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.chunks_path, self.registry_path, self.errors_path = spark, f"{folder}/chunks", f"{folder}/registry", f"{folder}/errors"
+        self.spark, self.folder, self.log = spark, folder.rstrip("/"), CommitLog(spark, folder)
+        self.chunks_path, self.errors_path = f"{self.folder}/parts/*/chunks", f"{self.folder}/errors"
 
-    def _read(self, path: str, schema: str) -> DataFrame:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        if not hadoop.getFileSystem(conf).exists(hadoop):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+    def _parts(self, version: int | None = None) -> list[str]:
+        return self.log.read(version).get("parts", [])
 
-    def _newest(self) -> DataFrame:
-        """The newest row of each source; a row without fingerprint means it was forgotten."""
-        rows = self._read(self.registry_path, f"{REGISTRY_SCHEMA}, version string")
-        newest = rows.groupBy("source").agg(F.max_by(F.struct("fingerprint", "chunk_count", "embedding_model", "updated_at", "version"), "updated_at").alias("r"))
+    def _read(self, kind: str, schema: str, parts: list[str]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/parts/{p}/{kind}" for p in parts])
+
+    def _rows(self, parts: list[str]) -> DataFrame:
+        return self._read("registry", f"{REGISTRY_SCHEMA}, version string", parts)
+
+    def _newest(self, version: int | None = None) -> DataFrame:
+        """The newest row of each source, by the order in which parts were published; a row without fingerprint means it was forgotten."""
+        parts = self._parts(version)
+        order = F.broadcast(self.spark.createDataFrame([(p, i) for i, p in enumerate(parts)], "version string, turn int"))
+        newest = self._rows(parts).join(order, "version").groupBy("source").agg(
+            F.max_by(F.struct("fingerprint", "chunk_count", "embedding_model", "updated_at", "version"), F.struct("turn", "updated_at")).alias("r")
+        )
         return newest.select("source", "r.*").where("fingerprint is not null")
 
-    def registry(self) -> DataFrame:
-        return self._newest().drop("version").orderBy("source")
+    def registry(self, version: int | None = None) -> DataFrame:
+        return self._newest(version).drop("version").orderBy("source")
 
     def registered(self, source: str):
         """The registry's row of a source, or None."""
         return self._newest().drop("version").where(F.col("source") == source).first()
 
-    def chunks(self, schema: str) -> DataFrame:
-        rows = self._read(self.chunks_path, f"{schema}, version string")
-        return rows.join(self._newest().select("source", "version"), ["source", "version"], "left_semi").drop("version")
+    def chunks(self, schema: str, version: int | None = None) -> DataFrame:
+        rows = self._read("chunks", f"{schema}, version string", self._parts(version))
+        return rows.join(self._newest(version).select("source", "version"), ["source", "version"], "left_semi").drop("version")
 
     def count(self, schema: str, source: str | None = None) -> int:
         """How many chunks there are, or a source has."""
         rows = self.chunks(schema)
         return (rows if source is None else rows.where(F.col("source") == source)).count()
 
-    def _note(self, rows: DataFrame) -> None:
+    def _publish(self, name: str, base: int) -> int:
+        """Lists a written part after all that others published since version ``base``, unless one of them has a document of it too."""
+        while True:
+            version = self.log.latest()
+            parts = self._parts(version)
+            others = [p for p in parts if p not in set(self._parts(base))]
+            if others:
+                both = self._rows([name]).join(self._rows(others).select("source"), "source", "left_semi").first()
+                if both:
+                    raise Conflict(f"{both.source} was written by another writer since version {base}")
+            try:
+                self.log.publish(version + 1, {"parts": [*parts, name]})
+                return version + 1
+            except Conflict:
+                continue
+
+    def _write(self, rows: DataFrame, chunks: DataFrame, name: str) -> None:
+        """A part that no version lists yet."""
+        chunks.withColumn("version", F.lit(name)).write.parquet(f"{self.folder}/parts/{name}/chunks")
         columns = ("source", "fingerprint", "chunk_count", "embedding_model", "updated_at", "version")
-        rows.withColumn("updated_at", F.current_timestamp()).select(*columns).write.mode("append").parquet(self.registry_path)
+        rows.withColumns({"version": F.lit(name), "updated_at": F.current_timestamp()}).select(*columns).write.parquet(f"{self.folder}/parts/{name}/registry")
 
-    def upsert(self, planned: DataFrame, chunks: DataFrame, model: str) -> None:
-        """Writes the chunks of added and updated documents in place of what they had; empty ones lose theirs."""
-        version = uuid.uuid4().hex
+    def upsert(self, planned: DataFrame, chunks: DataFrame, model: str, base: int | None = None) -> int:
+        """Writes the chunks of added and updated documents in place of what they had; empty ones lose theirs.  The new version.
+
+        ``base`` is the version that ``planned`` was made from, by default the newest.
+        """
+        name, base = uuid.uuid4().hex, self.log.latest() if base is None else base
         done = F.col("status").isin("added", "updated")
         write = chunks.join(planned.where(done).select("source"), "source", "left_semi")
-        write.withColumn("version", F.lit(version)).write.mode("append").parquet(self.chunks_path)
         rows = planned.where(done | (F.col("status") == "empty")).select(
-            "source", F.when(done, F.col("fingerprint")).alias("fingerprint"), F.when(done, F.col("chunks")).otherwise(0).cast("long").alias("chunk_count"),
-            F.lit(model).alias("embedding_model"), F.lit(version).alias("version"),
+            "source", F.when(done, F.col("fingerprint")).alias("fingerprint"), F.when(done, F.col("chunks")).otherwise(0).cast("long").alias("chunk_count"), F.lit(model).alias("embedding_model"),
         )
-        self._note(rows)
+        self._write(rows, write, name)
+        return self._publish(name, base)
 
     def note_errors(self, errors: DataFrame) -> None:
         """Appends ``errors(source, error)``; such documents stay unregistered, so that the next run tries them again."""
         errors.select("source", "error", F.current_timestamp().alias("at")).write.mode("append").parquet(self.errors_path)
 
-    def forget(self, sources: DataFrame) -> None:
-        """Chunks of ``sources(source)`` are no longer seen, nor are these registered."""
+    def forget(self, sources: DataFrame) -> int:
+        """Chunks of ``sources(source)`` are no longer seen, nor are these registered.  The new version."""
+        name, base = uuid.uuid4().hex, self.log.latest()
         null = lambda kind: F.lit(None).cast(kind)
-        self._note(sources.select("source", null("string").alias("fingerprint"), F.lit(0).cast("long").alias("chunk_count"), null("string").alias("embedding_model"), null("string").alias("version")))
+        rows = sources.select("source", null("string").alias("fingerprint"), F.lit(0).cast("long").alias("chunk_count"), null("string").alias("embedding_model"))
+        self._write(rows, self.spark.createDataFrame([], "source string"), name)
+        return self._publish(name, base)
 
     def purge(self, source: str, schema: str) -> int:
         """Forgets a document; how many chunks it had."""
@@ -181,9 +227,16 @@ class Store:
         self.forget(self.spark.createDataFrame([(source,)], "source string"))
         return n
 
-    def compact(self, schema: str, folder: str) -> Store:
-        """A store in another, empty folder with what is seen of this one."""
-        other = Store(self.spark, folder)
-        self.chunks(schema).withColumn("version", F.lit("compact")).write.parquet(other.chunks_path)
-        self._newest().withColumn("version", F.lit("compact")).write.parquet(other.registry_path)
+    def compact(self, schema: str, folder: str | None = None) -> Store:
+        """What is seen as one part: of this store, or of one in another, empty folder.  Whoever publishes meanwhile wins."""
+        other = self if folder is None else Store(self.spark, folder)
+        base, name = self.log.latest(), uuid.uuid4().hex
+        path = f"{other.folder}/parts/{name}"
+        self.chunks(schema, base).withColumn("version", F.lit(name)).write.parquet(f"{path}/chunks")
+        self._newest(base).withColumn("version", F.lit(name)).write.parquet(f"{path}/registry")
+        other.log.publish(base + 1 if other is self else 1, {"parts": [name]})
         return other
+
+    def clear(self, keep: int = 1) -> list[str]:
+        """Removes versions but the last ``keep`` and the parts that none of these lists, such as what a crash left; no writer may be at work."""
+        return self.log.clear(keep, "parts", lambda m: m.get("parts", []))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import numpy as np
@@ -30,6 +31,10 @@ class Generator(Protocol):
     def generate(self, prompts: list[str]) -> list[str]: ...
 
 
+class ChatGenerator(Protocol):
+    def chat(self, conversations: list[list[dict[str, str]]]) -> list[str]: ...
+
+
 class HashingEmbedder:
     """A deterministic stand-in: signed hashed words, unit length.  It measures nothing of a real model."""
 
@@ -52,6 +57,9 @@ class EchoGenerator:
     def generate(self, prompts: list[str]) -> list[str]:
         return [p.strip().rsplit("\n", 1)[-1] for p in prompts]
 
+    def chat(self, conversations: list[list[dict[str, str]]]) -> list[str]:
+        return self.generate([c[-1]["content"] for c in conversations])
+
 
 def embed(rows: DataFrame, embedder: Embedder, text_col: str = "text", out_col: str = "embedding", batch: int = DEFAULTS.ingest_batch_size) -> DataFrame:
     """Adds a vector per row, ``batch`` texts a request; a vector of another dimension is an error."""
@@ -81,18 +89,35 @@ def generate(rows: DataFrame, generator: Generator, prompt_col: str = "prompt",
     return rows.withColumn(out_col, run(prompt_col))
 
 
-def answer_in_language(rows: DataFrame, generator: Generator, language: str = "ar", retries: int = DEFAULTS.language_max_retries) -> DataFrame:
+def converse(rows: DataFrame, generator: ChatGenerator, messages_col: str = "messages", out_col: str = "answer") -> DataFrame:
+    """Adds the answer to each conversation, an array of ``(role, content)``; a null one is not sent and has an empty answer."""
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for conversations in parts:
+            asked = [[{"role": m["role"], "content": m["content"]} for m in c] for c in conversations if c is not None]
+            found = iter(generator.chat(asked) if asked else [])
+            yield pd.Series(["" if c is None else next(found) for c in conversations])
+
+    return rows.withColumn(out_col, run(messages_col))
+
+
+def answer_in_language(rows: DataFrame, generator: ChatGenerator, language: str = "ar", retries: int = DEFAULTS.language_max_retries, prompt_col: str = "prompt") -> DataFrame:
     """Answers, and asks again while the answer is in the other language.
 
-    ``retries`` rewrites at most; an answer without a clear language is
-    accepted, and an empty rewrite uses up a retry and changes nothing.
+    What is sent again is the conversation so far: the prompt, the answer as the
+    model's own words, and what to mend.  ``retries`` rewrites at most; an
+    answer without a clear language is accepted, and an empty rewrite uses up a
+    retry and changes nothing.
     """
-    out = generate(rows, generator)
+    said = lambda role, content: F.struct(F.lit(role).alias("role"), F.coalesce(content, F.lit("")).alias("content"))
+    prompt = said("user", F.col(prompt_col))
+    out = converse(rows.withColumn("__sent", F.array(prompt)), generator, "__sent").drop("__sent")
     for _ in range(retries):
         wrong = F.coalesce(detect_language(F.col("answer")) != language, F.lit(False))
-        asked = out.withColumn("__again", F.when(wrong, F.concat_ws("\n\n", F.col("prompt"), F.col("answer"), F.lit(REPAIR[language]))))
-        asked = generate(asked, _Skipping(generator), "__again", "__new")
-        out = asked.withColumn("answer", F.when(F.col("__again").isNotNull() & (F.trim("__new") != ""), F.col("__new")).otherwise(F.col("answer"))).drop("__again", "__new")
+        again = F.when(wrong, F.array(prompt, said("assistant", F.col("answer")), said("user", F.lit(REPAIR[language]))))
+        asked = converse(out.withColumn("__sent", again), generator, "__sent", "__new")
+        out = asked.withColumn("answer", F.when(F.trim("__new") != "", F.col("__new")).otherwise(F.col("answer"))).drop("__sent", "__new")
     return out
 
 
@@ -129,24 +154,55 @@ def select_answer(rows: DataFrame, selector: Generator, read_choice, language: s
     return out.withColumn("answer", F.when(F.col("choice") > 0, chosen).otherwise("")).drop("__ask")
 
 
-def with_retries(task: Callable, retries: int = 1, permanent: tuple[type[Exception], ...] = (), pause: float = 3.0, sleep: Callable[[float], None] = time.sleep):
-    """What ``task()`` returns, tried again ``retries`` times, after ever longer pauses; ``permanent`` errors aren't tried again."""
-    for attempt in range(retries + 1):
+def _attempted(ask: Callable[[object], object], value: object, waits: list[float], permanent: tuple[type[Exception], ...]) -> tuple[object, str | None, int]:
+    """What ``ask(value)`` gives, its last error and how often it was asked."""
+    error = None
+    for used, wait in enumerate(waits, 1):
+        time.sleep(wait)
         try:
-            return task()
-        except permanent:
-            raise
-        except Exception:
-            if attempt == retries:
-                raise
-            sleep(pause * (attempt + 1))
-    raise ValueError("retries must be 0 or more")
-
-
-def timing_sample(chunks: DataFrame, n: int, size: int = DEFAULTS.chunk_size, order: str = "chunk_id") -> list[str]:
-    """``n`` texts to time an embedder on: the first chunks, and where these don't suffice, made-up texts of a chunk's size."""
-    real = [r.text for r in chunks.orderBy(order).select("text").limit(n).collect()]
-    return real + [f"{i} " + "x" * (size - len(str(i)) - 1) for i in range(n - len(real))]
+            return ask(value), None, used
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"
+            if isinstance(e, permanent):
+                return None, error, used
+    return None, error, len(waits)
+
+
+def request(
+    rows: DataFrame, ask: Callable[[str], object], in_col: str, out_col: str, kind: str = "string", tries: int = 3, pause: float = 1.0, permanent: tuple[type[Exception], ...] = (), in_flight: int = 8
+) -> DataFrame:
+    """Adds ``out_col`` of type ``kind``, what ``ask`` gives for ``in_col``, with ``<out_col>_error`` and ``<out_col>_tries``.
+
+    Each task has up to ``in_flight`` requests under way at a time.  A request
+    that fails is tried again, ``tries`` times in all, after pauses that double
+    from ``pause`` seconds; ``permanent`` errors aren't tried again.  A row that
+    fails for good has its error in its column and no value, and no other row is
+    touched by it.  Null isn't asked about.
+    """
+    waits = [0.0, *(pause * 2**i for i in range(tries - 1))]
+    names = (out_col, f"{out_col}_error", f"{out_col}_tries")
+
+    @F.pandas_udf(f"value {kind}, error string, tries int")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(in_flight) as pool:
+            for values in parts:
+                found = pool.map(lambda v: (None, None, 0) if v is None else _attempted(ask, v, waits, permanent), values)
+                yield pd.DataFrame(list(found), columns=["value", "error", "tries"])
+
+    if tries < 1 or in_flight < 1:
+        raise ValueError("tries and requests in flight must be 1 or more")
+    asked = rows.withColumn("__got", run.asNondeterministic()(in_col))  # asked once, whatever is made of the answer
+    return asked.select(*rows.columns, *[F.col(f"__got.{f}").alias(n) for f, n in zip(("value", "error", "tries"), names)])
+
+
+def timing_sample(chunks: DataFrame, n: int, size: int = DEFAULTS.chunk_size, order: str = "chunk_id") -> tuple[list[str], bool]:
+    """``n`` texts at most to time an embedder on, and whether they are real.
+
+    These are the first chunks that have a text, however few; only where there
+    are none at all, texts of a chunk's size are made up.
+    """
+    real = [r.text for r in chunks.where("text <> ''").orderBy(order).select("text").limit(n).collect()]
+    return (real, True) if real else ([f"{i} ".ljust(size, "x") for i in range(n)], False)
 
 
 def embedding_seconds(ms_per_chunk, chunks):

@@ -9,19 +9,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.config import BLOCK_TAGS, BREAK_TAGS
+from glyphmill.functions.text import strip
+from glyphmill.operators.ordered import scan
 
 #: Names to keep that are sent to every task; more are joined by a shuffle.
 BROADCAST_NAMES = 100_000
 
 
-def merge_pages(pages: DataFrame, doc: str = "source", order: str = "ord") -> DataFrame:
+def merge_pages(pages: DataFrame, doc: str = "source", order: str = "ord", parts: int | None = None) -> DataFrame:
     """Joins each labelled page to the kept page before it if the numbers are equal; the result counts as labelled.
 
-    ``pages(source, ord, number, text, labelled)``; the page before may be unlabelled.
+    ``pages(source, ord, number, text, labelled)``; the page before may be
+    unlabelled, and ``ord`` is unique in a source.  Islands are found in blocks
+    of all pages' order, without their texts, so that no task sorts a source.
     """
-    w = Window.partitionBy(doc).orderBy(order)
-    joins = F.col("labelled") & F.coalesce(F.lag("number").over(w) == F.col("number"), F.lit(False))
-    rows = pages.withColumn("island", F.sum((~joins).cast("int")).over(w))
+    opens = lambda before: ~(F.col("labelled") & F.coalesce(before["number"] == F.col("number"), F.lit(False)))
+    islands = scan(pages.select(doc, order, "number", "labelled"), [doc], [order], ["number"], opens, parts).select(F.col(doc).alias("d__"), F.col(order).alias("o__"), "island")
+    rows = pages.join(islands, F.col(doc).eqNullSafe(F.col("d__")) & F.col(order).eqNullSafe(F.col("o__")))
     texts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t")))), lambda x: x["t"])
     return rows.groupBy(doc, "island").agg(
         F.min(order).alias(order), F.min("number").alias("number"), F.array_join(texts, "\n").alias("text"),
@@ -49,13 +53,13 @@ def missing_pages(pages: DataFrame, key: str, number: str) -> DataFrame:
 
 def label(title: Column, source: Column) -> Column:
     """How a work is named: its title, else its file."""
-    return F.coalesce(F.nullif(F.trim(title), F.lit("")), source, F.lit(""))
+    return F.coalesce(F.nullif(strip(title), F.lit("")), source, F.lit(""))
 
 
-def collapse_labels(cited: DataFrame, key: str, order: str, name: str = "name") -> DataFrame:
+def collapse_labels(cited: DataFrame, key: str, order: str, name: str = "name", parts: int | None = None) -> DataFrame:
     """Blanks a name equal to the one right before it."""
-    before = F.lag(name).over(Window.partitionBy(key).orderBy(order))
-    return cited.withColumn("shown", F.when((F.col(name) != "") & ~F.coalesce(before == F.col(name), F.lit(False)), F.col(name)).otherwise(""))
+    same = F.coalesce(F.col("before")[name] == F.col(name), F.lit(False))
+    return scan(cited, [key], [order], [name], parts=parts).select(*cited.columns, F.when((F.col(name) != "") & ~same, F.col(name)).otherwise("").alias("shown"))
 
 
 def latest(names: DataFrame, keep: int, name: str = "name") -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from glyphmill.config import BLOCK_TAGS, BREAK_TAGS
 from glyphmill.functions import chunking, formatting, prompts, selection, text
-from glyphmill.operators import evaluate, fusion, ingest, lexical, limiter, models, pages, retrieve, vector
+from glyphmill.operators import containment, evaluate, fusion, ingest, inverted, lexical, limiter, models, pages, pivots, retrieve, statistics, vector
+from glyphmill.sources import scratch
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -105,6 +106,35 @@ def bm25_repeated_terms(spark, d):
     return _bm25(spark, d, 10, q)
 
 
+def _index(spark, d):
+    """An index in a folder of its own, of all documents."""
+    index = inverted.Index(spark, scratch.new_folder(spark, "index"))
+    index.add(_chunks(spark, d))
+    return index
+
+
+def _ranked(found):
+    return found.withColumns({"score": F.round("score", 5), "rank": F.col("rank").cast("long")})
+
+
+@_query(f"WITH {_bm25_sql('text')} SELECT query_id, chunk_id, rank, round(score, 5) AS score FROM ranked WHERE rank <= 10")
+def index_topk(spark, d):
+    """What the index ranks, of which it reads the blocks that can matter."""
+    return _ranked(_index(spark, d).topk(_questions(spark, d), 10))
+
+
+@_query(f"""WITH documents AS (SELECT * FROM main.documents WHERE doc_id % 7 <> 3), {_bm25_sql('text')} SELECT query_id, chunk_id, rank, round(score, 5) AS score FROM ranked WHERE rank <= 10""")
+def index_after_updates(spark, d):
+    """Documents of which a fifth came with another text, then with their own, and of which a seventh was taken out."""
+    index = inverted.Index(spark, scratch.new_folder(spark, "index"))
+    chunks = _chunks(spark, d)
+    late = F.col("chunk_id") % 5 == 0
+    index.add(chunks.withColumn("text", F.when(late, F.concat(F.reverse("text"), F.lit(" "), "text")).otherwise(F.col("text"))))
+    index.add(chunks.where(late))
+    index.remove(chunks.where("chunk_id % 7 = 3"))
+    return _ranked(index.topk(_questions(spark, d), 10))
+
+
 # --- vectors and fusion ------------------------------------------------------------------------------------------
 
 
@@ -127,6 +157,13 @@ def vector_topk_l2(spark, d):
     return vector.knn(_vector_questions(spark, d), _vectors(spark, d), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
+@_query(f"WITH {_NEAR.format('q.vec_id % 20 = 0')} SELECT query_id, chunk_id, rank, distance FROM placed WHERE rank <= 10")
+def vector_topk_pruned(spark, d):
+    """The same of an index around pivots, of whose blocks those are read that can matter."""
+    index = pivots.VectorIndex.build(_vectors(spark, d))
+    return index.knn(_vector_questions(spark, d), 10).withColumn("rank", F.col("rank").cast("long"))
+
+
 @_query(f"WITH {_NEAR.format('q.vec_id % 20 = 0')} SELECT query_id, chunk_id, rank, distance FROM placed WHERE rank <= 20 AND distance <= 1.1")
 def vector_threshold(spark, d):
     return vector.knn(_vector_questions(spark, d), _vectors(spark, d), 20, threshold=1.1).withColumn("rank", F.col("rank").cast("long"))
@@ -194,7 +231,7 @@ def _expected(spark, d):
     """Golden set: a benchmark item expects the documents that hold its text; each document is a work of one page."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
     docs = _spread(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), "text"))
-    return docs.join(F.broadcast(b), F.contains("text", "needle")).select("query_id", "source", F.lit(None).cast("int").alias("page"))
+    return containment.contained(docs, b).select("query_id", "source", F.lit(None).cast("int").alias("page"))
 
 
 def _results(spark, d):
@@ -262,9 +299,31 @@ def selection_balance(spark, d):
     return evaluate.selection_balance(found.select("query_id", (~F.col("out_of_corpus")).alias("in_corpus"), F.col("rank").alias("expected_rank"), choice.alias("choice")))
 
 
-@_query(f"WITH {_RANKS} SELECT query_id FROM res WHERE NOT ooc AND rank IS NULL")
+@_query(f"WITH {_RANKS} SELECT item_id AS query_id FROM benchmark WHERE item_id IN (SELECT query_id FROM gold) AND (item_id % 3 = 0 OR item_id NOT IN (SELECT query_id FROM first))")
 def missed_questions(spark, d):
-    return evaluate.misses(_results(spark, d))
+    """Questions that were missed, when what was found for every third of them is lost."""
+    found = _results(spark, d)
+    return evaluate.misses(found.withColumn("rank", F.when(F.col("query_id") % 3 != 0, F.col("rank"))))
+
+
+@_query(f"WITH {_GOLD} SELECT query_id, doc_id::VARCHAR AS source FROM gold")
+def golden_sources(spark, d):
+    """The documents that hold an item's text."""
+    return _expected(spark, d).select("query_id", "source")
+
+
+@_query("""WITH p AS (SELECT lang, n_chars::DOUBLE AS v, row_number() OVER (PARTITION BY lang ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)
+SELECT lang, max(n) AS n, min(v) AS least, max(CASE WHEN i = n // 2 THEN v END) AS nth, max(v) AS most FROM p GROUP BY 1""")
+def length_medians(spark, d):
+    """The median length of each language's documents, found by counting."""
+    return statistics.nth(table(spark, d, "documents"), "lang", "n_chars", F.floor(F.col("n") / 2))
+
+
+@_query("""SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chunk_index, source || '::chunk_' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS chunk_id FROM documents""")
+def chunk_ordinals(spark, d):
+    """Documents numbered within their source, in blocks."""
+    rows = ingest.prepare_chunks(table(spark, d, "documents").select("source", "doc_id"), order=("doc_id",))
+    return rows.select("source", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_id")
 
 
 _RUNS = f"""{_RANKS}, run_a AS (SELECT query_id, ooc, rank, len(text)::DOUBLE AS ms FROM res JOIN benchmark ON item_id = query_id),
@@ -296,10 +355,11 @@ def run_moves(spark, d):
 
 @_query("""WITH q AS (SELECT count(CASE WHEN item_id % 3 = 0 THEN 1 END) AS drafts, count(CASE WHEN item_id % 2 = 0 THEN 1 END) AS out_of_corpus FROM benchmark)
 SELECT 'hybrid' AS pipeline, 'bge-m3' AS embedding_model, 600 AS chunk_size, 5 AS n_results, 10 AS k, (-1)::DOUBLE AS distance_threshold, 50 AS candidates, 10 AS rrf_k, 1::DOUBLE AS vector_weight, 1::DOUBLE AS lexical_weight,
-  (SELECT count(*) FROM documents) AS chunks, (SELECT count(DISTINCT source) FROM documents) AS sources, drafts, out_of_corpus FROM q""")
+  (SELECT count(*) FROM documents) AS chunks, (SELECT count(DISTINCT source) FROM documents) AS sources, drafts, out_of_corpus,
+  (SELECT substr(sha256(n || ':' || hex), 1, 12) FROM (SELECT count(*) AS n, """ + " || ".join(f"printf('%08x', bit_xor(('0x' || substr(sha256(doc_id::VARCHAR), {8 * i + 1}, 8))::BIGINT))" for i in range(8)) + """ AS hex FROM documents)) AS fingerprint FROM q""")
 def context_snapshot(spark, d):
     asked = table(spark, d, "benchmark").select(F.when(F.col("item_id") % 3 == 0, "draft").otherwise("validated").alias("status"), (F.col("item_id") % 2 == 0).alias("out_of_corpus"))
-    return evaluate.context_snapshot(table(spark, d, "documents"), asked, 10)
+    return evaluate.context_snapshot(table(spark, d, "documents").withColumnRenamed("doc_id", "chunk_id"), asked, 10)
 
 
 # --- chunks and ingestion ----------------------------------------------------------------------------------------
@@ -398,9 +458,26 @@ def status_reconcile(spark, d):
     return ingest.reconcile(docs.select(F.col("doc_id").cast("string").alias("source")), _registry(spark, d), index, "bge-m3")
 
 
+@_query(_PLAN + """, now AS (SELECT source, fingerprint, chunks FROM plan WHERE status IN ('added', 'updated') UNION ALL SELECT source, rf, reg.chunk_count FROM reg LEFT JOIN plan USING (source) WHERE status IS NULL OR status = 'unchanged')
+SELECT source, fingerprint, chunks AS chunk_count, chunks AS seen FROM now WHERE source NOT LIKE 'gone%'""")
+def store_versions(spark, d):
+    """A store that an earlier run filled, then ingestion brought up to date, and from which what is gone was taken."""
+    store, schema = ingest.Store(spark, scratch.new_folder(spark, "store")), "source string, i int"
+    pieces = lambda rows: rows.select("source", F.explode(F.sequence(F.lit(1), F.col("chunks").cast("int"))).alias("i"))
+    before = _registry(spark, d)
+    for model in ("bge-m3", "other"):
+        rows = before.where(F.col("embedding_model") == model).select("source", "fingerprint", F.col("chunk_count").alias("chunks"), F.lit("added").alias("status"))
+        store.upsert(rows, pieces(rows.where("chunks > 0")), model)
+    planned = ingest.plan(_found(spark, d), store.registry(), "bge-m3")
+    store.upsert(planned, pieces(planned.where("chunks > 0")), "bge-m3")
+    store.forget(store.registry().where(F.startswith("source", F.lit("gone"))).select("source"))
+    seen = store.chunks(schema).groupBy("source").agg(F.count("*").alias("seen"))
+    return store.registry().join(seen, "source", "left").select("source", "fingerprint", "chunk_count", F.coalesce("seen", F.lit(0)).alias("seen"))
+
+
 @_query(_REG + "SELECT source, m AS embedding_model FROM reg WHERE m <> 'bge-m3'")
 def model_divergence(spark, d):
-    return _registry(spark, d).where(F.col("embedding_model") != "bge-m3").select("source", "embedding_model")
+    return ingest.other_models(_registry(spark, d), "bge-m3")
 
 
 @_query("SELECT source, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -410,7 +487,7 @@ def duplicate_names(spark, d):
 
 @_query("SELECT DISTINCT source FROM documents WHERE source <> ''")
 def distinct_sources(spark, d):
-    return table(spark, d, "documents").where("source <> ''").select("source").distinct()
+    return ingest.distinct_sources(table(spark, d, "documents"))
 
 
 @_query("""WITH a AS (SELECT doc_id::VARCHAR AS path, n_chars AS size, sha256(text) AS sha256 FROM documents),
@@ -574,6 +651,15 @@ def choice_parse(spark, d):
     )
 
 
+@_query("""SELECT doc_id, CASE WHEN n_chars % 9 <= 5 THEN (n_chars % 9)::INT END AS arabic, CASE WHEN n_chars % 9 <= 5 THEN (n_chars % 9)::INT END AS devanagari, CASE WHEN n_chars % 10 <= 5 THEN (n_chars % 10)::INT END AS signed FROM documents""")
+def choice_parse_scripts(spark, d):
+    """Choices of five passages in digits of other scripts, and after a number whose sign hides its first digit."""
+    v, n = (F.col("n_chars") % 9).cast("string"), F.lit(5)
+    say = lambda digits: selection.choice_from_digits(F.concat(F.lit("المقطع "), F.translate(v, "0123456789", digits)), n)
+    hidden = selection.choice_from_digits(F.concat(F.lit("\u22127"), (F.col("n_chars") % 10).cast("string")), n)
+    return table(spark, d, "documents").select("doc_id", say("٠١٢٣٤٥٦٧٨٩").alias("arabic"), say("०१२३४५६७८९").alias("devanagari"), hidden.alias("signed"))
+
+
 # --- pages and formatting ----------------------------------------------------------------------------------------
 
 _NUM = "nums AS (SELECT source, (doc_id * doc_id // 400) % 97 AS page, doc_id FROM documents)"
@@ -648,3 +734,27 @@ def french_formats(spark, d):
         "doc_id", formatting.french_number(n / 7, 1).alias("number"), formatting.counted(n, "question").alias("counted"),
         formatting.duration(n.cast("double")).alias("duration"), formatting.batch_verdict(F.lit(32), n.cast("double"), F.lit(120)).alias("verdict"),
     )
+
+
+_BLANK = r"'^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$'"
+
+
+@_query(rf"""WITH t AS (SELECT doc_id, source, regexp_replace(text, {_BLANK}, '', 'g') AS t FROM documents)
+SELECT doc_id, 'Passage sélectionné dans l''ouvrage (à vérifier) :' || chr(10) || chr(10) || t || chr(10) || chr(10) || source || ' — page 1 (lignes 2-3)' AS chosen,
+  '📄 Extraits cités :' || chr(10) || '1. « ' || CASE WHEN len(t) > 200 THEN regexp_replace(substr(replace(t, chr(10), ' '), 1, 200), '[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+$', '') || '…' ELSE replace(t, chr(10), ' ') END || ' » — ' || source || ' — page 1 (lignes 2-3)' AS excerpt FROM t""")
+def blank_margins(spark, d):
+    """Passages and titles with white space of several kinds around them."""
+    blank = F.lit("\n\t\u00a0\u2003\x0b ")
+    s = F.struct("source", blank.alias("title"), F.lit(1).alias("page"), F.lit(2).alias("line_start"), F.lit(3).alias("line_end"))
+    padded = F.concat(blank, "text", blank)
+    rows = table(spark, d, "documents")
+    return rows.select("doc_id", formatting.format_chosen(padded, s, "fr").alias("chosen"), formatting.format_excerpts(F.array(padded), F.array(s), "fr").alias("excerpt"))
+
+
+@_query("""SELECT doc_id, replace(printf('%.1f', (n_chars % 1000) / 20.0::DOUBLE), '.', ',') AS tenths, replace(printf('%.2f', (n_chars % 1000) / 200.0::DOUBLE), '.', ',') AS hundredths,
+  replace(printf('%.1f', (n_chars % 1000) / 4.0::DOUBLE), '.', ',') AS quarters, replace(printf('%.0f', (n_chars % 1000) / 2.0::DOUBLE), '.', ',') AS halves FROM documents""")
+def rounded_numbers(spark, d):
+    """Numbers that lie right between two roundings, or seem to."""
+    n = F.col("n_chars") % 1000
+    each = {"tenths": (n / 20, 1), "hundredths": (n / 200, 2), "quarters": (n / 4, 1), "halves": (n / 2, 0)}
+    return table(spark, d, "documents").select("doc_id", *[formatting.french_number(v, p).alias(c) for c, (v, p) in each.items()])

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glyphmill.operators import evaluate
+from glyphmill.operators.ordered import scan
+
 #: The states of a question.
 STATUSES = ("draft", "validated")
 
@@ -63,33 +69,59 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
     return strict(parse_golden(lines.select((F.col("pos") + 1).alias("number"), "value")))
 
 
+def subset(questions: DataFrame, ids: Sequence[str] = (), out_of_corpus_only: bool = False) -> DataFrame:
+    """Those of ``questions`` with one of ``ids`` (all, if there are none) and, if asked, those that expect nothing; none left is an error."""
+    out = questions.where(F.size("expected") == 0) if out_of_corpus_only else questions
+    wanted = [i.strip() for i in ids]
+    out = out.where(F.col("id").isin(wanted)) if wanted else out
+    if out.isEmpty():
+        raise ValueError("no question fits the selection")
+    return out
+
+
 def append_golden(questions: DataFrame, path: str) -> None:
     """Appends JSON lines, letters unescaped."""
     fields = ("id", "question", "expected", "lang", "status", "notes")
     questions.select(F.to_json(F.struct(*fields)).alias("value")).write.mode("append").text(path)
 
 
-def write_report(results: DataFrame, context: dict[str, str], label: str, k: int, path: str) -> None:
-    """Results as JSON with what they were measured under; summaries are computed again on reading."""
-    pairs = [F.lit(x) for kv in context.items() for x in kv]
-    meta = results.withColumns({"label": F.lit(label), "k": F.lit(k), "created_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")})
-    meta.withColumn("context", F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")).write.mode("overwrite").json(path)
+def write_report(results: DataFrame, context: dict[str, str], label: str, k: int, path: str, ignored: Sequence[str] = ()) -> None:
+    """A report's folder: ``results`` as JSON lines, and ``head``, one JSON object of what they were measured under and their summary.
+
+    The time is in UTC, whatever the session's zone.  The summary is for people;
+    :func:`read_report` doesn't read it, and figures are computed from the results.
+    """
+    results.write.mode("overwrite").json(f"{path}/results")
+    spark = results.sparkSession
+    kept = spark.read.schema(results.schema).json(f"{path}/results")
+    figures = evaluate.summary(kept, k).select(F.col("questions").alias("count"), "answerable", "out_of_corpus", F.lit(len(ignored)).alias("ignored"), "hit_at_k", "mrr")
+    if "latency_ms" in results.columns:
+        figures = figures.crossJoin(evaluate.mean_latency(kept).select(F.col("latency_ms").alias("mean_latency_ms")))  # a row each
+    figures = figures.select(F.struct("*").alias("summary"))
+    head = figures.withColumns({
+        "label": F.lit(label), "k": F.lit(k), "created_at": F.lit(datetime.now(timezone.utc).isoformat(timespec="seconds")),
+        "context": F.map_from_arrays(F.array(*map(F.lit, context)).cast("array<string>"), F.array(*map(F.lit, context.values())).cast("array<string>")),
+        "ignored_ids": F.array(*map(F.lit, ignored)).cast("array<string>"),
+    })
+    head.coalesce(1).write.mode("overwrite").json(f"{path}/head")
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    schema = "query_id string, out_of_corpus boolean, rank int, min_distance double, latency_ms double, label string, k int, created_at string, context map<string,string>"
-    return spark.read.schema(schema).json(path)
+    """A report's results, each with its label, k, time, context and the ids of the questions left out."""
+    results = "query_id string, out_of_corpus boolean, rank int, min_distance double, latency_ms double"
+    head = "label string, k int, created_at string, context map<string,string>, ignored_ids array<string>"
+    return spark.read.schema(results).json(f"{path}/results").crossJoin(F.broadcast(spark.read.schema(head).json(f"{path}/head")))  # one row
 
 
-def seeded_sample(rows: DataFrame, order: str, n: int, seed: int) -> DataFrame:
-    """``n`` rows at the offsets that ``random.Random(seed).sample`` draws from the order of a column.
+def seeded_sample(rows: DataFrame, order: str, n: int, seed: int, parts: int | None = None) -> DataFrame:
+    """``n`` rows with the ``offset`` that ``random.Random(seed).sample`` draws from the order of a column.
 
-    Offsets are found by counts of range-sorted partitions, not in one task.
+    Rows are numbered in blocks of the order, by the counts of those before.
     """
     import random
 
     total = rows.count()
     offsets = sorted(random.Random(seed).sample(range(total), min(n, total)))
-    spark = rows.sparkSession
-    drawn = F.broadcast(spark.createDataFrame([(o,) for o in offsets], "offset long"))
-    return rows.sort(order).rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(rows.schema.add("offset", "long")).join(drawn, "offset", "left_semi")
+    drawn = F.broadcast(rows.sparkSession.createDataFrame([(o,) for o in offsets], "drawn__ long"))
+    numbered = scan(rows.withColumn("all__", F.lit(0)), ["all__"], [order], parts=parts)
+    return numbered.join(drawn, F.col("place") == F.col("drawn__"), "left_semi").select(*rows.columns, F.col("place").cast("long").alias("offset"))

@@ -9,6 +9,7 @@ from glyphmill.functions import formatting
 from glyphmill.functions.selection import choice_from_json
 from glyphmill.operators import evaluate, ingest, limiter, models, pages
 from glyphmill.sources import corpus, golden
+from glyphmill.sources.commits import Conflict
 from glyphmill.streaming import ingest as stream
 from glyphmill.streaming.limiter import limit_stream
 
@@ -186,7 +187,14 @@ class Scripted:
         self.answers = answers
 
     def generate(self, prompts):
-        return [self.answers.get(p.split("\n")[0] + ("#2" if "Récris" in p else ""), "") for p in prompts]
+        return [self.answers.get(p, "") for p in prompts]
+
+    def chat(self, conversations):
+        """A rewrite is asked for with the prompt, the answer before as the model's own, and an instruction."""
+        roles = [[m["role"] for m in c] for c in conversations]
+        assert all(r in (["user"], ["user", "assistant", "user"]) for r in roles)
+        assert all("RÉPONSE" in c[2]["content"].upper() and c[1]["content"] == self.answers[c[0]["content"]] for c in conversations if len(c) > 1)
+        return [self.answers.get(c[0]["content"] + ("#2" if len(c) > 1 else ""), "") for c in conversations]
 
 
 def test_models(spark):
@@ -266,24 +274,96 @@ def test_dispatch_and_manifest(spark, tmp_path):
     assert ingest.verify_manifest(made, made).count() == 0
 
 
-def test_retries():
-    seen, slept = [], []
+def test_requests_of_rows_that_fail(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def ask(word):
+        import os
+
+        if word == "down":
+            raise ConnectionError("no answer")
+        if word == "never":
+            raise KeyError("wrong for good")
+        if word == "late" and not os.path.exists(f"{folder}/{word}"):
+            open(f"{folder}/{word}", "w").close()
+            raise TimeoutError("later")
+        return word.upper()
+
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(["a", "down", "b", None, "never", "late", ""])], "i int, word string")
+    out = models.request(rows, ask, "word", "said", tries=3, pause=0.01, permanent=(KeyError,), in_flight=2).collect()
+    out.sort(key=lambda r: r.i)  # not by Spark, which would ask once more to range them
+    assert [r.said for r in out] == ["A", None, "B", None, None, "LATE", ""]
+    assert [r.said_tries for r in out] == [1, 3, 1, 0, 1, 2, 1]
+    assert [r.said_error for r in out] == [None, "ConnectionError: no answer", None, None, "KeyError: 'wrong for good'", None, None]
+    vectors = models.request(rows.limit(2), lambda w: [0.5, len(w)], "word", "v", "array<double>").collect()
+    assert [list(r.v) for r in vectors] == [[0.5, 1.0], [0.5, 4.0]]
+    with pytest.raises(ValueError):
+        models.request(rows, ask, "word", "said", tries=0)
+
+
+def test_writers_crashes_and_versions(spark, tmp_path):
+    schema, folder = "text string, source string", str(tmp_path)
+    store = ingest.Store(spark, folder)
+    one = lambda s, f, n=1: spark.createDataFrame([(s, f, n, "updated")], "source string, fingerprint string, chunks long, status string")
+    text = lambda s, t: spark.createDataFrame([(t, s)], schema)
+    held = lambda version=None: sorted((r.source, r.text) for r in store.chunks(schema, version).collect())
+    assert store.upsert(one("a", "1"), text("a", "x"), "m") == 1
+
+    # a crash after the chunks: nothing is seen, and what is left can be cleared
+    class Crash(Exception):
+        pass
+
+    def fail(*_):
+        raise Crash
+
+    crashing = ingest.Store(spark, folder)
+    crashing._publish = fail
+    with pytest.raises(Crash):
+        crashing.upsert(one("a", "2"), text("a", "LOST"), "m")
+    assert held() == [("a", "x")] and store.registered("a").fingerprint == "1" and spark.read.parquet(store.chunks_path).count() == 2
+
+    # two writers from the same version: other documents get through, the same one doesn't
+    base = store.log.latest()
+    assert ingest.Store(spark, folder).upsert(one("b", "1"), text("b", "y"), "m", base) == 2
+    assert store.upsert(one("c", "1"), text("c", "z"), "m", base) == 3
+    with pytest.raises(Conflict, match="b was written"):
+        store.upsert(one("b", "9"), text("b", "SECOND"), "m", base)
+    assert held() == [("a", "x"), ("b", "y"), ("c", "z")] and held(1) == [("a", "x")]
+    store.forget(spark.createDataFrame([("a",)], "source string"))
+    assert held() == [("b", "y"), ("c", "z")] and held(3) == [("a", "x"), ("b", "y"), ("c", "z")]
+    store.compact(schema)
+    assert held() == [("b", "y"), ("c", "z")] and len(store.clear()) == 6 and held() == [("b", "y"), ("c", "z")]
+    assert spark.read.parquet(store.chunks_path).count() == 2
+
+
+def test_golden_files(spark, tmp_path):
+    questions = spark.createDataFrame(
+        [("q1", "Où ?", [("s é", 2)], "fr", "draft", "n"), ("q2", "لماذا؟", [], "ar", "validated", "")], "id string, question string, expected array<struct<source:string,page:int>>, lang string, status string, notes string"
+    )
+    for part in ("id = 'q1'", "id = 'q2'"):
+        golden.append_golden(questions.where(part), str(tmp_path / "gold"))
+    lines = spark.read.text(str(tmp_path / "gold")).collect()
+    assert len(lines) == 2 and any("لماذا" in r.value for r in lines)
+    back = golden.strict(golden.parse_golden(spark.createDataFrame([(i, r.value) for i, r in enumerate(lines)], "number int, value string")))
+    assert sorted((r.id, r.question, [tuple(e) for e in r.expected], r.lang, r.status, r.notes) for r in back.collect()) == [("q1", "Où ?", [("s é", 2)], "fr", "draft", "n"), ("q2", "لماذا؟", [], "ar", "validated", "")]
+    assert [r.id for r in golden.subset(questions, [" q1 ", "zz"]).collect()] == ["q1"] and [r.id for r in golden.subset(questions, out_of_corpus_only=True).collect()] == ["q2"]
+    assert golden.subset(questions).count() == 2
+    with pytest.raises(ValueError):
+        golden.subset(questions, ["q1"], out_of_corpus_only=True)
 
-    def task(fail):
-        seen.append(1)
-        if len(seen) <= fail:
-            raise (ValueError if fail < 5 else corpus.EpubError)("x")
-        return "done"
 
-    assert models.with_retries(lambda: task(2), retries=2, sleep=slept.append) == "done" and slept == [3.0, 6.0]
-    seen.clear()
-    with pytest.raises(ValueError):
-        models.with_retries(lambda: task(3), retries=2, sleep=slept.append)
-    assert len(seen) == 3
-    seen.clear()
-    with pytest.raises(corpus.EpubError):
-        models.with_retries(lambda: task(9), retries=5, permanent=(corpus.UnreadableFile,), sleep=slept.append)
-    assert len(seen) == 1
+def test_report_head(spark, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        rows = spark.createDataFrame([("a", False, 1, 0.5, 10.0), ("b", False, None, 0.6, 20.0), ("c", True, None, 0.7, 30.0)], "query_id string, out_of_corpus boolean, rank int, min_distance double, latency_ms double")
+        golden.write_report(rows, {}, "run", 5, str(tmp_path), ["x"])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    head = spark.read.json(f"{tmp_path}/head").first()
+    assert head.created_at.endswith("+00:00") and head.ignored_ids == ["x"]
+    assert head.summary.asDict() == {"count": 3, "answerable": 2, "out_of_corpus": 1, "ignored": 1, "hit_at_k": 0.5, "mrr": 0.5, "mean_latency_ms": 20.0}
+    back = golden.read_report(spark, str(tmp_path)).collect()
+    assert len(back) == 3 and {(r.label, r.k, tuple(r.ignored_ids)) for r in back} == {("run", 5, ("x",))}
 
 
 def test_selection_answers_and_samples(spark):
@@ -298,8 +378,10 @@ def test_selection_answers_and_samples(spark):
     out = {r.question: (r.choice, r.answer, r.raw) for r in models.select_answer(rows, Picks(), choice_from_json, "fr").collect()}
     assert out["q1"][0] == 2 and "two" in out["q1"][1] and "g.pdf — page 4 (lignes 5-6)" in out["q1"][1]
     assert out["q2"][:2] == (0, "") and out["q3"] == (None, "", "?") and out["q4"] == (None, "", "")
-    texts = models.timing_sample(spark.createDataFrame([(2, "b"), (1, "a")], "chunk_id int, text string"), 4, 50)
-    assert texts[:2] == ["a", "b"] and [len(t) for t in texts[2:]] == [50, 50] and models.embedding_seconds(500, 30) == 15
+    few = spark.createDataFrame([(2, "b"), (1, "a"), (0, ""), (3, None)], "chunk_id int, text string")
+    assert models.timing_sample(few, 4, 50) == (["a", "b"], True) and models.timing_sample(few, 1, 50) == (["a"], True)
+    texts, real = models.timing_sample(few.where("chunk_id = 0"), 3, 50)
+    assert [len(t) for t in texts] == [50] * 3 and not real and models.embedding_seconds(500, 30) == 15
     moved = evaluate.moves(*(spark.createDataFrame([(i, False, r) for i, r in x], "query_id int, out_of_corpus boolean, rank int") for x in ([(1, 2), (2, None), (3, 1)], [(1, 1), (2, None), (4, 1)])))
     assert {r.query_id: r.move for r in moved.collect()} == {1: "progressed", 2: "stable", 3: "only_reference", 4: "only_candidate"}
     assert len(evaluate.warnings_of({"k": 5, "fingerprint": "a", "chunks": 1}, {"k": 10, "fingerprint": "b", "chunks": 2}, moved)) == 3
