@@ -67,14 +67,20 @@ def _class(points) -> str:
     return "[" + "".join(rf"\x{{{a:X}}}" if a == b else rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
+def _gaps(ranges: list[list[int]], most: int = 12) -> list[list[int]]:
+    """The first range and the widest between the given ones, of alphabets (below U+3000): characters in them needn't be looked up."""
+    between = [[a[1] + 1, b[0] - 1] for a, b in zip([[0, -1], *ranges], [*ranges, [sys.maxunicode + 1, 0]]) if a[1] + 1 < b[0] and a[1] < 0x3000]
+    return sorted(sorted(between, key=lambda r: r[0] - r[1] if r[0] else -sys.maxunicode)[:most])
+
+
 def _points(test):
     return (p for p in range(sys.maxunicode + 1) if not 0xD800 <= p <= 0xDFFF and test(chr(p)))
 
 
 @cache
 def combining_class() -> str:
-    """Characters of a nonzero canonical combining class (not the same as the category Mn)."""
-    return _class(_points(unicodedata.combining))
+    """Characters of a nonzero canonical combining class (not the same as the category Mn), tested only where a mark may be."""
+    return r"(?=[\p{M}\p{Cn}])" + _class(_points(unicodedata.combining))
 
 
 @cache
@@ -85,7 +91,8 @@ def compatibility_class() -> str:
         d = unicodedata.decomposition(chr(p))
         if d and not d.startswith("<") and len(parts := d.split()) == 2 and not unicodedata.combining(chr(int(parts[1], 16))):
             joins.add(int(parts[1], 16))
-    return _class(_points(lambda c: ord(c) in joins or 0x1100 <= ord(c) <= 0x11FF or unicodedata.normalize("NFKC", c) != c))
+    ranges = _ranges(_points(lambda c: ord(c) in joins or 0x1100 <= ord(c) <= 0x11FF or unicodedata.normalize("NFKC", c) != c))
+    return f"(?!{_class(_gaps(ranges))}){_class(ranges)}"
 
 
 @cache
@@ -118,7 +125,7 @@ def normalise(text: Column) -> Column:
 
 def tokens(text: Column, least: int = DEFAULTS.min_token_length) -> Column:
     """The words of the normalised text, in order, without short ones and stop words; null text has none."""
-    words = F.regexp_extract_all(F.coalesce(normalise(text), F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), 0)
+    words = F.split(F.coalesce(normalise(text), F.lit("")), r"[^\p{L}\p{N}_]+")
     return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*STOP_WORDS))
 
 
@@ -153,7 +160,7 @@ def refusal_form(text: Column) -> Column:
 
 def numbers(text: Column) -> Column:
     """All digit runs in order, U+0660 to U+0669 as ASCII."""
-    return F.regexp_extract_all(F.translate(text, DIGITS_FROM, DIGITS_TO), F.lit(r"\p{Nd}+"), 0)
+    return F.filter(F.split(F.translate(text, DIGITS_FROM, DIGITS_TO), r"\P{Nd}+"), lambda n: n != "")
 
 
 def _split(text: Column) -> Column:
@@ -226,7 +233,8 @@ def script_letters(text: Column, script: str) -> Column:
     ranges = letter_ranges(script)
     low, high = [[a, min(b, 0xFF)] for a, b in ranges if a <= 0xFF], [[max(a, 0x100), b] for a, b in ranges if b > 0xFF]
     most = max(high, key=lambda r: r[1] - r[0])  # tested apart, as a class of many ranges is slow
-    others = "[^" + _class([r for r in high if r is not most])[1:]
+    rest_of = [r for r in high if r is not most]
+    others = f"{_class(_gaps(rest_of))}+|[^{_class(rest_of)[1:]}"
     without = lambda c, pattern: F.regexp_replace(c, pattern, "")
 
     def count(parts: Column) -> Column:

@@ -9,6 +9,10 @@ from glyphmill.config import DEFAULTS, EngineConfig
 from glyphmill.operators.statistics import nth
 
 
+#: The parts of a fingerprint.
+LANES = tuple(f"lane{i}" for i in range(8))
+
+
 def source_matches(retrieved_source: Column, retrieved_page: Column, source: Column, page: Column) -> Column:
     """Same source, and the expected page null or equal; a null retrieved page doesn't match an expected one."""
     return (retrieved_source == source) & (page.isNull() | F.coalesce(retrieved_page == page, F.lit(False)))
@@ -117,7 +121,7 @@ def context_snapshot(chunks: DataFrame, questions: DataFrame, k: int, config: En
     if config.hybrid_enabled:
         of |= {"candidates": config.hybrid_candidates, "rrf_k": config.hybrid_rrf_k, "vector_weight": config.hybrid_vector_weight, "lexical_weight": config.hybrid_lexical_weight}
     held = chunks.agg(F.count("*").alias("chunks"), F.count_distinct("source").alias("sources"))
-    told = fingerprint_lanes(chunks, "chunk_id").select(fingerprint_of("n", *[f"lane{i}" for i in range(8)]).alias("fingerprint"))
+    told = fingerprint_lanes(chunks, "chunk_id").select(fingerprint_of("n", *LANES).alias("fingerprint"))
     asked = questions.agg(F.count_if(F.col("status") == "draft").alias("drafts"), F.count_if("out_of_corpus").alias("out_of_corpus"))
     one = held.crossJoin(asked).crossJoin(told)
     return one.select(*[F.lit(v).alias(c) for c, v in of.items()], "chunks", "sources", "fingerprint", "drafts", "out_of_corpus")
@@ -173,12 +177,12 @@ def merge_lanes(parts: DataFrame) -> DataFrame:
     A set that replaces some of another's ids also comes with those, their ``n``
     negative: XOR takes them out as it put them in.
     """
-    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.coalesce(F.bit_xor(f"lane{i}"), F.lit(0)).alias(f"lane{i}") for i in range(8)])
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.coalesce(F.bit_xor(c), F.lit(0)).alias(c) for c in LANES])
 
 
 def fingerprint(ids: DataFrame, id_col: str = "chunk_id") -> str:
     """Twelve hex digits that tell a corpus by its ids."""
-    return fingerprint_lanes(ids, id_col).select(fingerprint_of("n", *[f"lane{i}" for i in range(8)])).first()[0]
+    return fingerprint_lanes(ids, id_col).select(fingerprint_of("n", *LANES)).first()[0]
 
 
 def selection_balance(trials: DataFrame) -> DataFrame:

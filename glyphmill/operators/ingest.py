@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.config import DEFAULTS
+from glyphmill.operators.evaluate import LANES, fingerprint_lanes, fingerprint_of, merge_lanes
 from glyphmill.operators.ordered import scan
 from glyphmill.sources.commits import CommitLog, Conflict
 
@@ -173,8 +174,28 @@ class Store:
         rows = self.chunks(schema)
         return (rows if source is None else rows.where(F.col("source") == source)).count()
 
+    def _lanes(self, name: str, base: int) -> list[int] | None:
+        """By how much a written part changes the count and the lanes of all chunk ids; None where chunks have no ids."""
+        ids = "source string, chunk_id string, version string"
+        columns = self.spark.read.parquet(f"{self.folder}/parts/{name}/chunks").columns
+        if "chunk_id" not in columns and columns != ["source", "version"]:
+            return None
+        written = self._rows([name]).select("source")
+        replaced = self._read("chunks", ids, self._parts(base)).join(self._newest(base).select("source", "version"), ["source", "version"], "left_semi").join(written, "source", "left_semi")
+        lost = fingerprint_lanes(replaced).withColumn("n", -F.col("n"))
+        return list(merge_lanes(fingerprint_lanes(self._read("chunks", ids, [name])).unionByName(lost)).first())
+
+    def fingerprint(self, version: int | None = None) -> str | None:
+        """What tells the chunks of a version by their ids, from its manifest alone; None where chunks have none."""
+        lanes = self.log.read(version).get("lanes", [0] * 9)
+        if lanes is None:
+            return None
+        row = self.spark.createDataFrame([tuple(lanes)], ", ".join(f"{c} long" for c in ("n", *LANES)))
+        return row.select(fingerprint_of("n", *LANES)).first()[0]
+
     def _publish(self, name: str, base: int) -> int:
         """Lists a written part after all that others published since version ``base``, unless one of them has a document of it too."""
+        change = self._lanes(name, base)
         while True:
             version = self.log.latest()
             parts = self._parts(version)
@@ -183,8 +204,10 @@ class Store:
                 both = self._rows([name]).join(self._rows(others).select("source"), "source", "left_semi").first()
                 if both:
                     raise Conflict(f"{both.source} was written by another writer since version {base}")
+            lanes = self.log.read(version).get("lanes", [0] * 9)
+            lanes = None if lanes is None or change is None else [lanes[0] + change[0], *[a ^ b for a, b in zip(lanes[1:], change[1:])]]
             try:
-                self.log.publish(version + 1, {"parts": [*parts, name]})
+                self.log.publish(version + 1, {"parts": [*parts, name], "lanes": lanes})
                 return version + 1
             except Conflict:
                 continue
@@ -218,7 +241,7 @@ class Store:
         name, base = uuid.uuid4().hex, self.log.latest()
         null = lambda kind: F.lit(None).cast(kind)
         rows = sources.select("source", null("string").alias("fingerprint"), F.lit(0).cast("long").alias("chunk_count"), null("string").alias("embedding_model"))
-        self._write(rows, self.spark.createDataFrame([], "source string"), name)
+        self._write(rows, self.spark.createDataFrame([], "source string"), name)  # no chunks, so neither ids
         return self._publish(name, base)
 
     def purge(self, source: str, schema: str) -> int:
@@ -234,7 +257,7 @@ class Store:
         path = f"{other.folder}/parts/{name}"
         self.chunks(schema, base).withColumn("version", F.lit(name)).write.parquet(f"{path}/chunks")
         self._newest(base).withColumn("version", F.lit(name)).write.parquet(f"{path}/registry")
-        other.log.publish(base + 1 if other is self else 1, {"parts": [name]})
+        other.log.publish(base + 1 if other is self else 1, {"parts": [name], "lanes": self.log.read(base).get("lanes", [0] * 9)})
         return other
 
     def clear(self, keep: int = 1) -> list[str]:

@@ -462,8 +462,9 @@ def status_reconcile(spark, d):
 SELECT source, fingerprint, chunks AS chunk_count, chunks AS seen FROM now WHERE source NOT LIKE 'gone%'""")
 def store_versions(spark, d):
     """A store that an earlier run filled, then ingestion brought up to date, and from which what is gone was taken."""
-    store, schema = ingest.Store(spark, scratch.new_folder(spark, "store")), "source string, i int"
-    pieces = lambda rows: rows.select("source", F.explode(F.sequence(F.lit(1), F.col("chunks").cast("int"))).alias("i"))
+    store, schema = ingest.Store(spark, scratch.new_folder(spark, "store")), "source string, chunk_id string"
+    number = F.explode(F.sequence(F.lit(1), F.col("chunks").cast("int")))
+    pieces = lambda rows: rows.select("source", number.alias("i")).select("source", F.concat_ws("::", "source", "i").alias("chunk_id"))
     before = _registry(spark, d)
     for model in ("bge-m3", "other"):
         rows = before.where(F.col("embedding_model") == model).select("source", "fingerprint", F.col("chunk_count").alias("chunks"), F.lit("added").alias("status"))
@@ -537,7 +538,7 @@ def _pairs(spark, d):
     """Assistant turns, each with the turn before as its context."""
     c = table(spark, d, "conversations")
     rows = c.select("conv_id", "turn", "role", F.col("text").alias("answer"), F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("context"))
-    return rows.where("role = 'assistant' and context is not null")
+    return _spread(rows.where("role = 'assistant' and context is not null"))
 
 
 @_query(r"""WITH d AS (SELECT doc_id, lang, text, lead(text) OVER (ORDER BY doc_id) AS context FROM documents WHERE regexp_matches(text, '\p{Nd}'))
@@ -585,7 +586,7 @@ def citation_check(spark, d):
   (conv_id + turn) % 3 = 1 AS ar FROM conversations WHERE role = 'assistant'""")
 def refusal_detect(spark, d):
     """Assistant turns, two thirds of them with a refusal put into them."""
-    c = table(spark, d, "conversations").where("role = 'assistant'")
+    c = _spread(table(spark, d, "conversations").where("role = 'assistant'"))
     k = (F.col("conv_id") + F.col("turn")) % 3
     said = F.when(k == 0, F.concat("text", F.lit(" Il n’y a PAS assez d’informations."))).when(k == 1, F.concat(F.lit("لا يُوجد في "), "text", F.lit(" السياقِ"))).otherwise(F.col("text"))
     return c.select("conv_id", "turn", text.is_refusal(said, "fr").alias("fr"), text.is_refusal(said, "ar").alias("ar"))

@@ -336,6 +336,31 @@ def test_writers_crashes_and_versions(spark, tmp_path):
     assert spark.read.parquet(store.chunks_path).count() == 2
 
 
+def test_fingerprint_of_versions(spark, tmp_path):
+    """Kept up by what each version adds and takes away, it is that of all chunks."""
+    schema = "source string, chunk_id string"
+    store = ingest.Store(spark, str(tmp_path))
+    full = lambda: evaluate.fingerprint(store.chunks(schema))
+
+    def put(*docs):
+        planned = spark.createDataFrame([(s, f, len(c), "updated" if c else "empty") for s, f, c in docs], "source string, fingerprint string, chunks long, status string")
+        store.upsert(planned, spark.createDataFrame([(s, c) for s, _, cs in docs for c in cs], schema), "m")
+
+    seen = [store.fingerprint()]
+    assert seen == [full()]
+    for docs in ([("a", "1", ["a0", "a1"]), ("b", "1", ["b0"])], [("a", "2", ["a0", "a7"])], [("b", "2", [])], [("c", "1", ["c0"]), ("b", "3", ["b0", "b1"])]):
+        put(*docs)
+        assert store.fingerprint() == full()
+        seen.append(full())
+    store.forget(spark.createDataFrame([("a",), ("none",)], "source string"))
+    assert store.fingerprint() == full() and store.fingerprint(2) == seen[2] and len(set(seen)) == 5
+    store.compact(schema)
+    assert store.fingerprint() == full()
+    plain = ingest.Store(spark, str(tmp_path / "plain"))
+    plain.upsert(spark.createDataFrame([("a", "1", 1, "added")], "source string, fingerprint string, chunks long, status string"), spark.createDataFrame([("x", "a")], "text string, source string"), "m")
+    assert plain.fingerprint() is None
+
+
 def test_golden_files(spark, tmp_path):
     questions = spark.createDataFrame(
         [("q1", "Où ?", [("s é", 2)], "fr", "draft", "n"), ("q2", "لماذا؟", [], "ar", "validated", "")], "id string, question string, expected array<struct<source:string,page:int>>, lang string, status string, notes string"
