@@ -165,10 +165,28 @@ def fingerprint_lanes(ids: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     return ids.where(F.col(id_col).isNotNull()).agg(F.count("*").alias("n"), *lanes)
 
 
+def _decimal(lanes: Column) -> Column:
+    """The number that 32-bit ``lanes`` make, highest first, in decimal digits: as long as 256 bits need."""
+    base = 10**9
+
+    def take(limbs: Column, lane: Column) -> Column:
+        """``limbs``, nine digits each and lowest first, shifted by a lane."""
+
+        def step(state: Column, limb: Column) -> Column:
+            value = limb * (1 << 32) + state["carry"]
+            return F.struct(F.call_function("div", value, F.lit(base)).alias("carry"), F.concat(state["out"], F.array(value % base)).alias("out"))
+
+        return F.aggregate(limbs, F.struct(lane.alias("carry"), F.array().cast("array<bigint>").alias("out")), step)["out"]
+
+    limbs = F.aggregate(lanes, F.array_repeat(F.lit(0).cast("long"), 9), take)
+    digits = F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
+    return F.coalesce(F.nullif(F.regexp_replace(digits, "^0+", ""), F.lit("")), F.lit("0"))
+
+
 def fingerprint_of(n, *lanes) -> Column:
     """Twelve hex digits for a count and its lanes."""
-    whole = F.concat(*[F.lpad(F.hex(x), 8, "0") for x in lanes])
-    return F.substring(F.sha2(F.concat(F.col(n).cast("string"), F.lit(":"), F.lower(whole)), 256), 1, 12)
+    whole = _decimal(F.array(*[F.col(x).cast("long") for x in lanes]))
+    return F.substring(F.sha2(F.concat(F.col(n).cast("string"), F.lit(":"), whole), 256), 1, 12)
 
 
 def merge_lanes(parts: DataFrame) -> DataFrame:

@@ -356,7 +356,9 @@ def run_moves(spark, d):
 @_query("""WITH q AS (SELECT count(CASE WHEN item_id % 3 = 0 THEN 1 END) AS drafts, count(CASE WHEN item_id % 2 = 0 THEN 1 END) AS out_of_corpus FROM benchmark)
 SELECT 'hybrid' AS pipeline, 'bge-m3' AS embedding_model, 600 AS chunk_size, 5 AS n_results, 10 AS k, (-1)::DOUBLE AS distance_threshold, 50 AS candidates, 10 AS rrf_k, 1::DOUBLE AS vector_weight, 1::DOUBLE AS lexical_weight,
   (SELECT count(*) FROM documents) AS chunks, (SELECT count(DISTINCT source) FROM documents) AS sources, drafts, out_of_corpus,
-  (SELECT substr(sha256(n || ':' || hex), 1, 12) FROM (SELECT count(*) AS n, """ + " || ".join(f"printf('%08x', bit_xor(('0x' || substr(sha256(doc_id::VARCHAR), {8 * i + 1}, 8))::BIGINT))" for i in range(8)) + """ AS hex FROM documents)) AS fingerprint FROM q""")
+  (SELECT substr(sha256(n || ':' || coalesce(nullif(ltrim(array_to_string(list_transform(list_reverse(limbs), lambda x: lpad(x::VARCHAR, 9, '0')), ''), '0'), ''), '0')), 1, 12) FROM (
+    SELECT n, list_reduce(lanes, lambda l, lane: list_reduce(l, lambda s, x: {'c': (x * 4294967296 + s.c) // 1000000000, 'o': list_append(s.o, (x * 4294967296 + s.c) % 1000000000)}, {'c': lane[1], 'o': []::HUGEINT[]}).o, [0, 0, 0, 0, 0, 0, 0, 0, 0]::HUGEINT[]) AS limbs
+    FROM (SELECT count(*) AS n, [""" + ", ".join(f"[bit_xor(('0x' || substr(sha256(doc_id::VARCHAR), {8 * i + 1}, 8))::BIGINT)::HUGEINT]" for i in range(8)) + """] AS lanes FROM documents))) AS fingerprint FROM q""")
 def context_snapshot(spark, d):
     asked = table(spark, d, "benchmark").select(F.when(F.col("item_id") % 3 == 0, "draft").otherwise("validated").alias("status"), (F.col("item_id") % 2 == 0).alias("out_of_corpus"))
     return evaluate.context_snapshot(table(spark, d, "documents").withColumnRenamed("doc_id", "chunk_id"), asked, 10)
