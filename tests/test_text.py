@@ -5,7 +5,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.functions import text
+from glyphmill.functions import formatting, selection, text
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +83,31 @@ def test_letters_follow_unicode_names(apply):
 def test_stop_words_are_whole():
     assert len(text.STOP_WORDS) == 67 and sum(len(w) < 3 for w in text.STOP_WORDS) == 22
     assert all(re.fullmatch(r"\w+", w) for w in text.STOP_WORDS)
+
+
+def test_choices_in_digits_and_letters(spark):
+    digits = {"3": 3, "  2  ": 2, "الجواب هو 4": 4, "1\n": 1, "1, 2, 3: 2": 2, "0": 0, "9": None, "-2": None, "": None, "none": None, "٣": 3, "المقطع ٥": 5, "३": 3, "２": 2, "−3": None, "−33": 3, "6 or ٤": 4, None: None}
+    rows = spark.createDataFrame(list(digits.items()), "a string, want int")
+    for r in rows.select("a", "want", selection.choice_from_digits(F.col("a"), F.lit(5)).alias("got")).collect():
+        assert r.got == r.want, r.a
+    letters = {"C": 3, "  b  ": 2, "[B]": 2, "A\n": 1, "B then C, so D": 4, "0": 0, "370": None, "6": None, "Z": None, "": None}
+    rows = spark.createDataFrame(list(letters.items()), "a string, want int")
+    for r in rows.select("a", "want", selection.choice_from_letters(F.col("a"), F.lit(5)).alias("got")).collect():
+        assert r.got == r.want, r.a
+
+
+def test_numbers_round_as_the_double_is(spark):
+    values = [0.35, 0.45, 2.675, 0.125, 0.375, 2.5, 3.5, -0.25, 1e21, 123456789.995, 0.0, 1 / 3]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for places in (0, 1, 2):
+        got = [r[0] for r in rows.select(formatting.french_number(F.col("v"), places)).collect()]
+        assert got == [f"{v:.{places}f}".replace(".", ",") for v in values]
+
+
+def test_white_space_of_all_kinds(spark):
+    blanks = [" ", "\n", "\t\r", " ", " ", "\x1c", "\x85", "\x0b\x0c", "　"]
+    rows = spark.createDataFrame([(b, f"{b}x {b}y{b}") for b in blanks], "b string, t string")
+    source = F.struct(F.lit("file").alias("source"), F.col("b").alias("title"), F.lit(1).alias("page"), F.lit(2).alias("line_start"), F.lit(3).alias("line_end"))
+    got = rows.select("b", "t", formatting.source_label(source).alias("label"), text.strip(F.col("t")).alias("s"), formatting.format_chosen(F.col("t"), source, "fr").alias("chosen"))
+    for r in got.collect():
+        assert r.label == "file" and r.s == r.t.strip() and f"\n\n{r.t.strip()}\n\nfile — " in r.chosen
