@@ -12,7 +12,9 @@ BLOCK_TAGS = (
 )
 # Tags that break a line.
 BREAK_TAGS = ("br", "hr")
+# What a switch that is on may say.
 _TRUE = {"1", "true", "yes", "on"}
+# The modes that a setting may name.
 _CHOICES = {
     "answer_mode": ("texte", "selection", "refus_puis_selection"),
     "selection_labels": ("chiffres", "lettres"),
