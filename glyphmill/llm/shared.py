@@ -59,23 +59,35 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A node with more than this share of all edges is joined by a broadcast: there are at most two for each share.
+HEAVY_NODE = 0.001
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u, v)`` as ``(node, component)``.
 
     Alternating large-star and small-star contraction: every round joins each
-    node's edges with that node's least neighbour, so no task ever holds a
-    component or a node's adjacency list.  ``component`` is the least node of
-    the component; only nodes with an edge to another node are returned.
-    Null ends and self-loops are ignored.
+    node's edges with that node's least neighbour.  Nodes with more than
+    ``HEAVY_NODE`` of the edges, of which there are at most ``2 / HEAVY_NODE``,
+    get it by a broadcast and their edges stay where they are; so no task ever
+    holds a component or the edges of a frequent node.  ``component`` is the
+    least node of the component; only nodes with an edge to another node are
+    returned.  Null ends and self-loops are ignored.
     """
 
-    def stars(e: DataFrame) -> DataFrame:
+    def with_least(e: DataFrame, least: DataFrame, heavy: float) -> DataFrame:
+        some = least.where(F.col("n") > heavy).select("u", "m")
+        light = e.join(F.broadcast(some.select("u")), "u", "left_anti")
+        return e.join(F.broadcast(some), "u").unionByName(light.join(least.select("u", "m"), "u"))
+
+    def stars(e: DataFrame, n: int) -> DataFrame:
+        heavy = HEAVY_NODE * n
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        large = with_least(both.where(F.col("v") > F.col("u")), least, heavy).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = with_least(large, least, heavy)
         return (
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v")))
@@ -92,7 +104,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not now[0]:
             break
-        e = materialise(stars(e), "components")
+        e = materialise(stars(e, now[0]), "components")
         before, now = now, state(e)
         if now[:2] == before[:2]:
             break
