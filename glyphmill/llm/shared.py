@@ -59,29 +59,33 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: A node with more than this share of all edges is joined by a broadcast: there are at most two for each share.
-HEAVY_NODE = 0.001
+#: A node with more edges than a task may join, and more than this share of all, gets a broadcast: at most two nodes for each share.
+NODE_EDGES, HEAVY_NODE = 500_000, 0.001
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, node_edges: int = NODE_EDGES) -> DataFrame:
     """Connected components of ``edges(u, v)`` as ``(node, component)``.
 
     Alternating large-star and small-star contraction: every round joins each
     node's edges with that node's least neighbour.  Nodes with more than
-    ``HEAVY_NODE`` of the edges, of which there are at most ``2 / HEAVY_NODE``,
-    get it by a broadcast and their edges stay where they are; so no task ever
-    holds a component or the edges of a frequent node.  ``component`` is the
+    ``node_edges`` edges and more than ``HEAVY_NODE`` of all, of which there
+    are at most ``2 / HEAVY_NODE``, get it by a broadcast and their edges stay
+    where they are; so no task ever holds a component or the edges of a
+    frequent node.  A round with no more edges than one node may have has no
+    such node, and its plan leaves the broadcasts out.  ``component`` is the
     least node of the component; only nodes with an edge to another node are
     returned.  Null ends and self-loops are ignored.
     """
 
-    def with_least(e: DataFrame, least: DataFrame, heavy: float) -> DataFrame:
+    def with_least(e: DataFrame, least: DataFrame, heavy: float | None) -> DataFrame:
+        if heavy is None:
+            return e.join(least.select("u", "m"), "u")
         some = least.where(F.col("n") > heavy).select("u", "m")
         light = e.join(F.broadcast(some.select("u")), "u", "left_anti")
         return e.join(F.broadcast(some), "u").unionByName(light.join(least.select("u", "m"), "u"))
 
     def stars(e: DataFrame, n: int) -> DataFrame:
-        heavy = HEAVY_NODE * n
+        heavy = max(node_edges, HEAVY_NODE * n) if n > node_edges else None
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
         large = with_least(both.where(F.col("v") > F.col("u")), least, heavy).select(F.col("v").alias("u"), F.col("m").alias("v"))

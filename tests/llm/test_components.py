@@ -35,7 +35,7 @@ def cases():
 @pytest.mark.parametrize("name,edges", cases())
 def test_components_equal_union_find(spark, name, edges):
     frame = spark.createDataFrame(edges, "u long, v long").repartition(7)
-    got = connected_components(frame).collect()
+    got = connected_components(frame, node_edges=500).collect()
     assert {r.node: r.component for r in got} == union_find(edges)
     assert len(got) == len({r.node for r in got})
 
@@ -48,5 +48,5 @@ def test_frequent_nodes_lie_in_no_shuffled_join(spark):
         ends[u], ends[v] = ends.get(u, 0) + 1, ends.get(v, 0) + 1
     heavy = [u for u, n in ends.items() if n > HEAVY_NODE * len(edges)]
     assert heavy == [0] and len(heavy) <= 2 / HEAVY_NODE
-    got = connected_components(spark.createDataFrame(edges, "u long, v long"))
+    got = connected_components(spark.createDataFrame(edges, "u long, v long"), node_edges=1_000)
     assert got.groupBy("component").count().where("count > 2").collect() == [(0, 2_001)]
