@@ -1,8 +1,9 @@
-"""Near copies by the verified similarity of their five-word shingles, found by deletion-variant signatures.
+"""Near copies: SimHash links, and the verified similarity of five-word shingles, both found by deletion-variant signatures.
 
-A SimHash bit differs in 15 % of texts that are 0.8 alike, so segments of its
-bits would be too short to tell texts apart.  The signatures here are cut from
-min-hashes instead, each of which is equal with the probability that is the
+SimHash (:mod:`glyphmill.llm.simhash`) links texts whose fingerprints differ in
+two bits or fewer.  A bit differs in 15 % of texts that are 0.8 alike, so
+segments of bits would be too short to find those.  Their signatures are cut from
+min-hashes, each of which is equal with the probability that is the
 similarity: of :data:`COARSE` segments one differs by at most one min-hash in
 0.9999 of such pairs, variants with one wildcard are joined by equality, and
 what they find is verified.
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphmill.llm import simhash
 from glyphmill.llm.shared import connected_components, materialise, small_batches, spread
 
 #: Words of a shingle; texts of which four fifths of all shingles (of both) are common are near copies.
@@ -70,10 +72,10 @@ def min_hashes(own: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _sketched(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with a number ``__rid`` and the min-hashes ``__h`` of each text."""
+def _sketched(docs: DataFrame, text_col: str, fingerprints: bool) -> DataFrame:
+    """``docs`` with a number ``__rid``, the min-hashes ``__h`` and, if asked, the SimHash ``__fp`` of each text."""
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("__rid long, __h array<int>").fields])
+    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("__rid long, __h array<int>" + ", __fp long" * fingerprints).fields])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
@@ -81,7 +83,11 @@ def _sketched(docs: DataFrame, text_col: str) -> DataFrame:
             hashes = [min_hashes(shingles(text.as_py())) for text in batch.column(at)]
             rids = pa.array(np.arange(number, number + batch.num_rows), pa.int64())
             number += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, rids, pa.array(hashes, pa.list_(pa.int32()))], names=schema.names)
+            columns = [*batch.columns, rids, pa.array(hashes, pa.list_(pa.int32()))]
+            if fingerprints:
+                bits = np.array([simhash.fingerprint(text.as_py()) for text in batch.column(at)], np.uint64)
+                columns.append(pa.array(bits.view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(apply, schema)
 
@@ -246,10 +252,10 @@ def _compared(asked: DataFrame, placed: DataFrame, sets: DataFrame) -> DataFrame
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(joining, "u long, v long")
 
 
-def links(rows: DataFrame, text_col: str) -> DataFrame:
+def links(rows: DataFrame, text_col: str, fingerprints: bool = False) -> DataFrame:
     """Edges ``(u, v)`` whose components are those of the links between similar texts of ``rows`` that share a bucket.
 
-    In a crowd, the text of the largest degree is compared with all others
+    With ``fingerprints``, SimHash's links come first and join as well.  In a crowd, the text of the largest degree is compared with all others
     first, and then all texts that are still outside of the crowd's largest
     component are.  So every two texts of a crowd have been compared unless they
     are joined, whatever the order of the rows.  What is joined is handed on as
@@ -264,7 +270,10 @@ def links(rows: DataFrame, text_col: str) -> DataFrame:
     asked = pairs.select(F.col("u").alias("rid")).unionByName(pairs.select(F.col("v").alias("rid"))).unionByName(members.select("rid")).distinct()
     texts = rows.select(F.col("__rid").alias("rid"), F.col(text_col).alias("text"))
     texts = materialise(texts.join(asked.hint("merge"), "rid", "left_semi"), "near-texts")  # all texts are dealt out once, here
-    edges = materialise(_verified(pairs, texts), "near-links")
+    edges = _verified(pairs, texts)
+    if fingerprints:
+        edges = edges.unionByName(simhash.row_links(rows.select(F.col("__rid").alias("rid"), F.col("__fp").alias("fp"))))
+    edges = materialise(edges, "near-links")
     if members.isEmpty():
         return edges
 
@@ -292,20 +301,21 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("rid", "text").mapInArrow(apply, "rid long, s array<long>")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprints: bool = False) -> DataFrame:
     """The rows of ``docs`` that stand for their group of near copies: the smallest id of each.
 
     Texts are near copies when the Jaccard similarity of their shingles
-    (:func:`shingles`) is 0.8 or more, and a group is what such links join.
-    No link is made that isn't verified; of those there are, 0.9998 or more are
+    (:func:`shingles`) is 0.8 or more, with ``fingerprints`` also when their
+    SimHash fingerprints differ in two bits or fewer; a group is what such links
+    join.  SimHash's links are all found.  No other is made that isn't verified; of those there are, 0.9998 or more are
     found in themselves, and more of the groups, as most are joined by several.
     The result doesn't depend on the order or the partitions of the rows.  Rows
     with a null id stay, as nothing says which of them is which; rows of a group
     that repeat the kept id stay with it.
     """
     small_batches(docs.sparkSession)
-    rows = materialise(_sketched(docs, text_col), "near-rows")
-    of = connected_components(links(rows, text_col))
+    rows = materialise(_sketched(docs, text_col, fingerprints), "near-rows")
+    of = connected_components(links(rows, text_col, fingerprints))
     of = materialise(of.join(rows.select(F.col("__rid").alias("node"), F.col(id_col).alias("id")), "node"), "near-named")
     least = of.groupBy("component").agg(F.min("id").alias("least"))
     dropped = of.join(least, "component").where("least < id").select(F.col("node").alias("__rid"))

@@ -98,6 +98,15 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return out.unionByName(stars).distinct()
 
 
+def row_links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Edges ``(u, v)`` that join all rows of ``fps(rid, fp)`` whose fingerprints are two or fewer bits apart."""
+    named = materialise(fps.groupBy("fp").agg(F.min("rid").alias("least")), "simhash-distinct")
+    same = fps.join(named.hint("merge"), "fp").where("rid <> least").select(F.col("least").alias("u"), F.col("rid").alias("v"))
+    of = lambda end: named.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_rid"))
+    between = links(named.select("fp"), bucket).join(of("u"), "u").join(of("v"), "v")
+    return same.unionByName(between.select(F.col("u_rid").alias("u"), F.col("v_rid").alias("v")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bucket: int = BUCKET) -> DataFrame:
     """``(id, fingerprint, component_id)`` for each row of ``docs``.
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -7,7 +8,7 @@ from test_decontaminate import brute as brute_hits
 from test_near_copies import brute as brute_near
 
 import corpus_pipeline
-from glyphmill.llm import language_id, queries
+from glyphmill.llm import language_id, queries, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -82,3 +83,30 @@ def test_odd_and_empty_tables(spark, docs_of, small_dir, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             docs = spark.createDataFrame((out := stage(spark, docs, small_dir)).collect(), out.schema)
         assert {r.doc_id for r in docs.collect()} <= {3, None}
+
+
+def by_fingerprints(rows):
+    """Ids that stay when fingerprints two or fewer bits apart are linked."""
+    prints = [simhash.fingerprint(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(prints):
+        for j in range(i):
+            if (a ^ prints[j]).bit_count() <= 2:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    least = {g: min(d for (d, _), h in zip(rows, group) if h == g) for g in set(group)}
+    return sorted(d for (d, _), g in zip(rows, group) if least[g] == d)
+
+
+def test_near_copies_by_fingerprints(spark, docs_of, small_dir):
+    """SimHash links texts that a line said again and again makes alike, though they share few distinct shingles."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefghijk", k=6))
+    rows = [(i, " ".join(word() for _ in range(60))) for i in range(40)]
+    for _ in range(4):
+        line = " ".join(word() for _ in range(11))
+        rows += [(len(rows) + k, " ".join([*[line] * 60, *(word() for _ in range(12))])) for k in range(3)]
+    rng.shuffle(rows)
+    kept = by_fingerprints(rows)
+    assert len(kept) < len(rows) == len(brute_near(rows)[0])
+    assert ids(corpus_pipeline.drop_near_copies(spark, docs_of(rows), small_dir).collect()) == kept
