@@ -6,6 +6,7 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -254,7 +255,10 @@ class Model:
         grid = np.full((len(words), width + 1), -1, np.int32)
         sizes = np.array([len(w) for w in words])
         grid[np.arange(width + 1) < sizes[:, None]] = [self.symbol[c] for c in "".join(words)]
-        rows, columns = np.arange(len(words)), np.arange(width + 1)
+        rows = np.arange(len(words))
+        # symbols stay where their first character was; what stands beside each is kept instead
+        following = np.tile(np.arange(1, width + 2, dtype=np.int8), (len(words), 1))
+        before = np.tile(np.arange(-1, width, dtype=np.int8), (len(words), 1))
         gain, into = self._gains(grid[:, :-1], grid[:, 1:])
         while True:
             place = gain[rows].argmax(axis=1)
@@ -262,19 +266,14 @@ class Model:
             rows, place = rows[live], place[live]
             if not len(rows):
                 break
-            merged = into[rows, place]
-            from_next = np.minimum(columns + (columns > place[:, None]), width)
-            at = rows[:, None]
-            grid[rows] = grid[at, from_next]
-            grid[rows, width] = -1
-            pairs = from_next[:, :-1].clip(max=width - 1)
-            gain[rows], into[rows] = gain[at, pairs], into[at, pairs]
-            gain[rows, width - 1] = -np.inf
-            grid[rows, place] = merged
-            gain[rows, place], into[rows, place] = self._gains(merged, grid[rows, place + 1])
-            before = place > 0
-            r, c = rows[before], place[before] - 1
-            gain[r, c], into[r, c] = self._gains(grid[r, c], grid[r, c + 1])
+            merged, gone = into[rows, place], following[rows, place]
+            right, left = following[rows, gone], before[rows, place]
+            grid[rows, place], grid[rows, gone], gain[rows, gone] = merged, -1, -np.inf
+            following[rows, place], before[rows, right] = right, place
+            gain[rows, place], into[rows, place] = self._gains(merged, grid[rows, right])
+            inner = left >= 0
+            r, c = rows[inner], left[inner]
+            gain[r, c], into[r, c] = self._gains(grid[r, c], merged[inner])
         ids = grid[grid >= 0]
         return (grid >= 0).sum(axis=1), ids, self.width[ids]
 
@@ -334,43 +333,63 @@ class Model:
         return data.decode("utf-8", "replace")
 
 
+class Pool:
+    """The pieces of numbered words: ids, the UTF-8 length each covers, and the length in a text whose spaces are still one byte."""
+
+    def __init__(self):
+        self.ends = np.zeros(1, np.int64)
+        self.columns = [np.zeros(0, np.int32)] * 3
+
+    def add(self, counts: np.ndarray, columns: list[np.ndarray]) -> None:
+        """Words with so many pieces each follow the last one."""
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(counts)))
+        self.columns = [np.concatenate(x) for x in zip(self.columns, columns)]
+
+    def places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many pieces each of the words has, and where all of these lie in the columns."""
+        first = self.ends[words]
+        counts = self.ends[words + 1] - first
+        ends = np.cumsum(counts)
+        return counts, np.repeat(first - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Encoder:
     """Encodes with a memory of words, as most words come again.
 
-    A word's entry holds its ids, the UTF-8 length each covers, and the length
-    each has in a text whose spaces are still one byte, all as packed integers.
-    It is kept under the word where one space comes before, else under a line
-    break and the word.  Words that weren't met for ``CACHE_WORDS`` new ones are forgotten.
+    A word's pieces lie in a pool under its number, which is kept under the word
+    where one space comes before, else under a line break and the word.  Words
+    that weren't met for ``CACHE_WORDS`` new ones are forgotten.
     """
 
     def __init__(self, model: Model):
         self.model = model
-        self.known: dict[str, tuple[bytes, bytes, bytes]] = {}
-        self.earlier: dict[str, tuple[bytes, bytes, bytes]] = {}
+        self.known: dict[str, int] = {}
+        self.earlier: dict[str, int] = {}
+        self.pool, self.older = Pool(), Pool()
         words = rf"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+" if model.by_line else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
         self.split = re.compile(words if model.by_word else r"(?s).+")
 
+    def _add(self, keys: list[str], counts: np.ndarray, columns: list[np.ndarray]) -> None:
+        at = len(self.pool.ends) - 1
+        self.pool.add(counts, columns)
+        self.known.update(zip(keys, range(at, at + len(keys))))
+
     def _learn(self, keys: set[str]) -> None:
         if len(self.known) + len(keys) > CACHE_WORDS:
             self.earlier, self.known = self.known, {}
-        new = []
-        for k in keys:
-            found = self.earlier.get(k)
-            if found is None:
-                new.append(k)
-            else:
-                self.known[k] = found
-        by_word = {k[1:] if k[:1] == "\n" else SPACE + k: k for k in new if k[:1] == "\n"}
-        plain = [SPACE + k for k in new if k[:1] != "\n"]
+            self.older, self.pool = self.pool, Pool()
+        if old := list(self.earlier.keys() & keys):
+            counts, at = self.older.places(np.array(list(map(self.earlier.__getitem__, old)), np.int64))
+            self._add(old, counts, [c[at] for c in self.older.columns])
+            keys = keys.difference(old)
+        by_word = {k[1:] if k[:1] == "\n" else SPACE + k: k for k in keys if k[:1] == "\n"}
+        plain = [SPACE + k for k in keys if k[:1] != "\n"]
         for words, key in ((plain, lambda w: w[1:]), (list(by_word), by_word.__getitem__)):
             if not words:
                 continue
             words, counts, ids, sizes = self.model.merge_many(words)
             narrow = np.where(sizes > 0, sizes - self.model.marks[ids], 0).astype(np.int32)
-            x, y, z = ids.tobytes(), sizes.tobytes(), narrow.tobytes()
-            ends = (4 * np.cumsum(counts)).tolist()
-            for w, a, b in zip(words, [0, *ends], ends):
-                self.known[key(w)] = x[a:b], y[a:b], z[a:b]
+            self._add(list(map(key, words)), counts, [ids, sizes, narrow])
 
     def _words(self, text: str) -> tuple[list[str], np.ndarray | None]:
         """The keys of a text's words, and the source of each normalised byte unless nothing but spaces changes its length."""
@@ -407,19 +426,23 @@ class Encoder:
             if len(self.known) + len(new) > CACHE_WORDS:  # begin anew with all words of these texts
                 new = wanted
             self._learn(new)
-        get, out = self.known.__getitem__, []
-        for keys, source in cut:
-            found = list(map(get, keys))
-            ids = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
-            sizes = np.frombuffer(b"".join([f[2 if source is None else 1] for f in found]), np.int32)
+        words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(keys for keys, _ in cut)), np.int64, sum(len(keys) for keys, _ in cut))
+        counts, at = self.pool.places(words)
+        all_ids, all_sizes, all_narrow = (c[at] for c in self.pool.columns)
+        pieces = np.concatenate(([0], np.cumsum(counts)))
+        stops = pieces[np.cumsum([0, *(len(keys) for keys, _ in cut)])].tolist()
+        out = []
+        for (_, source), a, b in zip(cut, stops, stops[1:]):
             if source is None:
+                sizes = all_narrow[a:b]
                 ends = np.cumsum(sizes, dtype=np.int32) - np.int32(1)  # the put-before space has no byte in the text
                 begins = ends - sizes
                 begins[:1] = 0
             else:
+                sizes = all_sizes[a:b]
                 ends = np.cumsum(sizes, dtype=np.int64)
                 begins, ends = source[ends - sizes].astype(np.int32), source[ends].astype(np.int32)
-            out.append((ids, begins, ends))
+            out.append((all_ids[a:b], begins, ends))
         return out
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import pyarrow.parquet as pq
 import pytest
@@ -111,3 +112,29 @@ def test_odd_tables(docs_of):
     assert sentencepiece_bpe.encode(docs_of([]), queries.tokenizer_path()).count() == 0
     back = sentencepiece_bpe.decode(out.select("ids"), queries.tokenizer_path()).collect()
     assert sorted(r.decoded for r in back) == ["", "", "x", "x"]
+
+
+def test_forgotten_words_match_the_library(model, library, monkeypatch):
+    """Words that are met again after others, with room for few, also in texts of more words than there is room for."""
+    monkeypatch.setattr(sentencepiece_bpe, "CACHE_WORDS", 50)
+    rng, encoder = random.Random(4), Encoder(model)
+    words = ["".join(rng.choices("abcdeé\n", k=rng.randint(1, 40))) for _ in range(200)]
+    for _ in range(60):
+        texts = [rng.choice([" ", "  "]).join(rng.choices(words[at : at + 40], k=rng.choice([3, 30, 90]))) for at in rng.choices(range(160), k=3)]
+        for text, (ids, begins, ends) in zip(texts, encoder.encode_many(texts)):
+            assert ids.tolist() == library.encode(text)
+            check_tiles(text, ids, begins, ends, model)
+
+
+def test_a_known_word_is_no_heap_of_objects(model):
+    """Tens of thousands of words come and go with a task: each costs its text and a place in shared arrays."""
+    rng = random.Random(6)
+    words = list({"".join(rng.choices("abcdefgh", k=8)) for _ in range(40_000)})
+    encoder = Encoder(model)
+    encoder.encode(" ".join(words[:10]))
+    tracemalloc.start()
+    for at in range(0, len(words), 4_000):
+        encoder.encode(" ".join(words[at : at + 4_000]))
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert used / len(words) < 220
