@@ -51,8 +51,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids with byte offsets, and digests of them and of the decoded text, which must be the text again."""
-    out = sentencepiece_bpe.encode(docs, tokenizer_path(), decode=True, carry=["doc_id", "lang", "source"])
+    """Token ids, and digests of them and of the decoded text, which must be the text again."""
+    out = sentencepiece_bpe.encode(docs, tokenizer_path(), spans=False, decode=True, carry=["doc_id", "lang", "source"])
     return out.select(
         "doc_id",
         "lang",

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.shared import small_batches
+from glyphmill.llm.shared import returning, small_batches
 
 #: Words of benchmark text that one broadcast may hold; larger benchmarks are taken in blocks, one scan each.
 BLOCK_WORDS = 2_000_000
@@ -135,7 +135,7 @@ def scan(
                 cols |= {"__n": pa.array(n_words, pa.int64()), "__spans": pa.array(spans, batch.schema.field("__spans").type), "__items": pa.array(items, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
 
-        frame = frame.mapInArrow(apply, frame.schema)
+        frame = frame.mapInArrow(lambda batches, run=apply: returning(run(batches)), frame.schema)
     n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
     return frame.select(
         *[F.col(k).alias(c) for c, k in zip(carry, keep)],

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import small_batches
+from glyphmill.llm.shared import returning, small_batches
 
 #: Bounds of the labelled sample: documents and UTF-8 bytes per language, and languages.
 SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGUAGES = 64, 48_000, 400
@@ -204,8 +204,7 @@ def identify(docs: DataFrame, parser: CrossParser, text_col: str = "text", carry
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
-    @F.pandas_udf("lang_pred string, score double, phrase_bytes double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         p = shared.value
         for batch in batches:
             lang, score, mean = [], [], []
@@ -228,6 +227,10 @@ def identify(docs: DataFrame, parser: CrossParser, text_col: str = "text", carry
                     mean.append(len(d) / counts[i, k])
             yield pd.DataFrame({"lang_pred": lang, "score": score, "phrase_bytes": mean})
 
+    @F.pandas_udf("lang_pred string, score double, phrase_bytes double")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from returning(found(batches))
+
     names = ("lang_pred", "score", "phrase_bytes")
     carried = [c for c in (docs.columns if carry is None else carry) if c not in names]
     out = docs.select(*carried, predict(text_col).alias("__p"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.llm import simhash
-from glyphmill.llm.shared import connected_components, materialise, small_batches, spread
+from glyphmill.llm.shared import connected_components, materialise, returning, small_batches, spread
 
 #: Words of a shingle; texts of which four fifths of all shingles (of both) are common are near copies.
 SHINGLE = 5
@@ -89,7 +89,7 @@ def _sketched(docs: DataFrame, text_col: str, fingerprints: bool) -> DataFrame:
                 columns.append(pa.array(bits.view(np.int64)))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(apply, schema)
+    return docs.mapInArrow(lambda batches: returning(apply(batches)), schema)
 
 
 def _signatures(hashes: Column, segments: int, size: int) -> Column:
@@ -148,7 +148,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(c, keep) if k], pa.int64()) for c in (us, vs)], names=["u", "v"])
 
     text = lambda rid, name: texts.select(F.col("rid").alias(rid), F.col("text").alias(name)).hint("merge")
-    return pairs.join(text("v", "b"), "v").join(text("u", "a"), "u").select("u", "v", "a", "b").mapInArrow(apply, "u long, v long")
+    return pairs.join(text("v", "b"), "v").join(text("u", "a"), "u").select("u", "v", "a", "b").mapInArrow(lambda batches: returning(apply(batches)), "u long, v long")
 
 
 def _crowds(members: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def _sets(texts: DataFrame) -> DataFrame:
             found = [shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["rid", "s"])
 
-    return texts.select("rid", "text").mapInArrow(apply, "rid long, s array<long>")
+    return texts.select("rid", "text").mapInArrow(lambda batches: returning(apply(batches)), "rid long, s array<long>")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprints: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import small_batches
+from glyphmill.llm.shared import returning, small_batches
 
 SPACE = "▁"
 SPACE_UTF8 = SPACE.encode()
@@ -486,7 +486,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
                 first, size = k + 1, 0
 
-    return frame.mapInArrow(apply, schema).withColumnsRenamed({k: c for c, k in keep.items()})
+    return frame.mapInArrow(lambda batches: returning(apply(batches)), schema).withColumnsRenamed({k: c for c, k in keep.items()})
 
 
 def decode(tokens: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
