@@ -6,7 +6,8 @@ segments of bits would be too short to find those.  Their signatures are cut fro
 min-hashes, each of which is equal with the probability that is the
 similarity: of :data:`COARSE` segments one differs by at most one min-hash in
 0.9999 of such pairs, variants with one wildcard are joined by equality, and
-what they find is verified.
+what they find is verified.  Members of full buckets that can be similar to
+another member take :data:`FINE` segments, of which one is equal in 0.9998.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from glyphmill.llm.shared import connected_components, materialise, returning, s
 
 #: Words of a shingle; texts of which four fifths of all shingles (of both) are common are near copies.
 SHINGLE = 5
-#: Segments and min-hashes of each.  Members of fuller buckets take the fine ones: 0.9998 of pairs, and fewer chance ones.
-COARSE, FINE = (7, 5), (12, 8)
+#: Segments and min-hashes of each.  Members of fuller buckets take the fine ones, whole: 0.9998 of pairs, and fewer chance ones.
+COARSE, FINE = (7, 5), (28, 6)
 #: Buckets up to this many texts are compared pair by pair; larger coarse ones take fine signatures, texts of larger fine ones are crowds.
 BUCKET = 16
 #: Texts of a crowd that a task compares with as many others at a time, shingles that it does at once, and shingles of texts that it lays out for that.
@@ -63,10 +64,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * common >= 4 * (least + most - common)
 
 
-def min_hashes(own: np.ndarray) -> np.ndarray:
-    """For each of some permutations of all numbers, the top half of the least that a shingle takes."""
-    xor, odd = _SEEDS[0][:, None], _SEEDS[1][:, None] | np.uint64(1)
-    least = np.full(_SEEDS.shape[1], np.uint64(2**64 - 1))
+def min_hashes(own: np.ndarray, shape: tuple[int, int] = COARSE) -> np.ndarray:
+    """For each of as many permutations of all numbers as ``shape`` has min-hashes, the top half of the least that a shingle takes."""
+    count = shape[0] * shape[1]
+    xor, odd = _SEEDS[0][:count, None], _SEEDS[1][:count, None] | np.uint64(1)
+    least = np.full(count, np.uint64(2**64 - 1))
     for at in range(0, len(own), STEP):
         least = np.minimum(least, ((own[at : at + STEP] ^ xor) * odd).min(axis=1))
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -102,9 +104,14 @@ def _signatures(hashes: Column, segments: int, size: int) -> Column:
     return F.transform(variants, lambda i: F.xxhash64(i, left(i), right(i)))
 
 
-def _pairs(texts: DataFrame, shape: tuple[int, int], label: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``(u, v)`` of ``texts(rid, h)`` that share a bucket of up to BUCKET, and the members ``(rid, sig, n)`` of larger ones."""
-    keyed = spread(texts, texts.count(), SIGNED).select("rid", F.explode(_signatures(F.col("h"), *shape)).alias("sig"))
+def _segments(hashes: Column, segments: int, size: int) -> Column:
+    """Each segment as a hash tagged by its place."""
+    return F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda i: F.xxhash64(i, F.slice(hashes, (i * size + 1).cast("int"), F.lit(size))))
+
+
+def _pairs(texts: DataFrame, signatures: Column, label: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(u, v)`` of ``texts(rid, ...)`` whose ``signatures`` share a bucket of up to BUCKET, and the members ``(rid, sig, n)`` of larger ones."""
+    keyed = spread(texts, texts.count(), SIGNED).select("rid", F.explode(signatures).alias("sig"))
     sizes = keyed.groupBy("sig").agg(F.count("*").alias("n"), F.min("rid").alias("u"), F.max("rid").alias("v")).where("n > 1")
     sizes = materialise(sizes, f"near-{label}-buckets")
     members = materialise(keyed.join(sizes.where("n > 2").select("sig", "n").hint("merge"), "sig"), f"near-{label}-members")
@@ -114,8 +121,17 @@ def _pairs(texts: DataFrame, shape: tuple[int, int], label: str) -> tuple[DataFr
     return pairs.distinct(), members.where(F.col("n") > BUCKET).select("rid", "sig", "n")
 
 
-def _coarse(column: str) -> Column:
-    return F.slice(column, 1, COARSE[0] * COARSE[1])
+def _linkable(sets: DataFrame) -> DataFrame:
+    """The rows of ``sets(rid, s, ...)`` that can be similar to another one.
+
+    Shingles that no other text of them has are common to none, so a text of
+    which these are over a fifth is similar to none.
+    """
+    held = sets.select("rid", F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("n"), F.min("rid").alias("rid"))
+    alone = held.where("n = 1").groupBy("rid").agg(F.count("*").alias("own"))
+    size = F.size("s").cast("long")
+    kept = 5 * (size - F.coalesce("own", F.lit(0))) >= 4 * size
+    return sets.join(alone.hint("merge"), "rid", "left").where(kept).select(*sets.columns)
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -124,8 +140,8 @@ def _alike(a: Column, b: Column) -> Column:
 
 
 def _plausible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs ``(u, v)`` of numbers whose min-hashes don't rule them out."""
-    coarse = lambda rid, name: rows.select(F.col("__rid").alias(rid), _coarse("__h").alias(name)).hint("merge")
+    """The pairs ``(u, v)`` of numbers whose coarse min-hashes in ``rows(rid, h)`` don't rule them out."""
+    coarse = lambda rid, name: rows.select(F.col("rid").alias(rid), F.col("h").alias(name)).hint("merge")
     return pairs.join(coarse("v", "b"), "v").join(coarse("u", "a"), "u").where(_alike(F.col("a"), F.col("b"))).select("u", "v")
 
 
@@ -151,18 +167,18 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(text("v", "b"), "v").join(text("u", "a"), "u").select("u", "v", "a", "b").mapInArrow(lambda batches: returning(apply(batches)), "u long, v long")
 
 
-def _crowds(members: DataFrame, hashes: DataFrame) -> DataFrame:
+def _crowds(members: DataFrame, sets: DataFrame) -> DataFrame:
     """``(rid, crowd, degree, key)`` of the ``members(rid, sig, n)`` of full buckets.
 
     A crowd is what full buckets join.  ``degree`` adds up the sizes of a text's
     full buckets: the text at the middle of a crowd shares most.  ``key`` tells
-    texts by their min-hashes, so that no choice depends on row numbers.
+    texts by their shingles, so that no choice depends on row numbers.
     """
     least = members.groupBy("sig").agg(F.min("rid").alias("least"))
     stars = members.join(least, "sig").select(F.col("rid").alias("u"), F.col("least").alias("v"))
     of = connected_components(stars).select(F.col("node").alias("rid"), F.col("component").alias("crowd"))
     degree = members.groupBy("rid").agg(F.sum("n").alias("degree"))
-    return of.join(degree, "rid").join(hashes.select("rid", F.xxhash64("h").alias("key")).hint("merge"), "rid")
+    return of.join(degree, "rid").join(sets.select("rid", F.xxhash64("s").alias("key")).hint("merge"), "rid")
 
 
 def _placed(crowds: DataFrame, of: DataFrame) -> DataFrame:
@@ -262,14 +278,17 @@ def links(rows: DataFrame, text_col: str, fingerprints: bool = False) -> DataFra
     stars.
     """
     hashes = rows.select(F.col("__rid").alias("rid"), F.col("__h").alias("h"))
-    pairs, full = _pairs(hashes, COARSE, "coarse")
-    full = materialise(hashes.join(full.select("rid").distinct().hint("merge"), "rid", "left_semi"), "near-full")
-    more, members = _pairs(full, FINE, "fine")
-    members = materialise(members, "near-full-buckets")
-    pairs = materialise(_plausible(pairs.unionByName(more).distinct(), rows), "near-pairs")
-    asked = pairs.select(F.col("u").alias("rid")).unionByName(pairs.select(F.col("v").alias("rid"))).unionByName(members.select("rid")).distinct()
-    texts = rows.select(F.col("__rid").alias("rid"), F.col(text_col).alias("text"))
+    pairs, full = _pairs(hashes, _signatures(F.col("h"), *COARSE), "coarse")
+    pairs = materialise(_plausible(pairs, hashes), "near-pairs")
+    full = materialise(full.select("rid").distinct(), "near-full")
+    asked = pairs.select(F.col("u").alias("rid")).unionByName(pairs.select(F.col("v").alias("rid"))).unionByName(full).distinct()
+    texts = rows.select(F.col("__rid").alias("rid"), F.col("__h").alias("h"), F.col(text_col).alias("text"))
     texts = materialise(texts.join(asked.hint("merge"), "rid", "left_semi"), "near-texts")  # all texts are dealt out once, here
+    sets = materialise(_sets(texts.join(full.hint("merge"), "rid", "left_semi")), "near-full-sets")
+    sets = materialise(_linkable(sets), "near-linkable")
+    more, members = _pairs(sets.select("rid", "fine"), _segments(F.col("fine"), *FINE), "fine")
+    members = materialise(members, "near-full-buckets")
+    pairs = materialise(pairs.unionByName(_plausible(more, texts)).distinct(), "near-pairs")
     edges = _verified(pairs, texts)
     if fingerprints:
         edges = edges.unionByName(simhash.row_links(rows.select(F.col("__rid").alias("rid"), F.col("__fp").alias("fp"))))
@@ -277,8 +296,8 @@ def links(rows: DataFrame, text_col: str, fingerprints: bool = False) -> DataFra
     if members.isEmpty():
         return edges
 
-    crowds = materialise(_crowds(members, full), "near-crowds")
-    sets = materialise(_sets(texts.join(crowds.select("rid").hint("merge"), "rid", "left_semi")), "near-sets")
+    crowds = materialise(_crowds(members, sets), "near-crowds")
+    sets = materialise(sets.select("rid", "s").join(crowds.select("rid").hint("merge"), "rid", "left_semi"), "near-sets")
     stars = lambda of: of.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     of = materialise(connected_components(edges), "near-joined")
     placed = _placed(crowds, of)
@@ -291,14 +310,16 @@ def links(rows: DataFrame, text_col: str, fingerprints: bool = False) -> DataFra
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """``(rid, s)``: the shingles of each of ``texts(rid, text)``."""
+    """``(rid, s, fine)``: the shingles of each of ``texts(rid, text)`` and their fine min-hashes."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["rid", "s"])
+            found = [shingles(t.as_py()) for t in batch.column(1)]
+            fine = [min_hashes(x, FINE) for x in found]
+            columns = [batch.column(0), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), pa.array(fine, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "s", "fine"])
 
-    return texts.select("rid", "text").mapInArrow(lambda batches: returning(apply(batches)), "rid long, s array<long>")
+    return texts.select("rid", "text").mapInArrow(lambda batches: returning(apply(batches)), "rid long, s array<long>, fine array<int>")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprints: bool = False) -> DataFrame:

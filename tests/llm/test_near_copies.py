@@ -88,6 +88,30 @@ def test_crowd_around_a_text(spark, docs_of, centre):
         assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == kept
 
 
+def test_texts_like_no_other_take_no_fine_signatures(docs_of, monkeypatch):
+    """Of full buckets, texts of which over a fifth of the shingles are theirs alone are left out; those that are similar are all found."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijk", k=6))
+    passage, base = [word() for _ in range(60)], [word() for _ in range(120)]
+    texts = [" ".join([*passage, *(word() for _ in range(20))]) for _ in range(300)]
+    for _ in range(40):
+        words = list(base)
+        words[rng.randrange(120)] = word()
+        texts.append(" ".join(words))
+    signed, pairs = {}, near_copies._pairs
+
+    def counted(rows, how, label):
+        signed[label] = rows.count()
+        return pairs(rows, how, label)
+
+    monkeypatch.setattr(near_copies, "_pairs", counted)
+    rows = list(enumerate(texts))
+    kept, similar = brute(rows)
+    assert similar == 780 and kept == list(range(301))
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs_of(rows)).collect()) == kept
+    assert signed == {"coarse": 340, "fine": 40}
+
+
 def test_blocks_of_long_texts(monkeypatch):
     """However the shingles of two blocks are laid out, the same homes are joined."""
     rng = np.random.default_rng(1)
