@@ -117,3 +117,18 @@ def test_matches_brute_force(docs_of, monkeypatch, shard, hot, windows):
 
 def test_empty_table(docs_of):
     assert substring_dedup.remove_repeats(docs_of([])).count() == 0
+
+
+def test_passages_of_over_50_words(spark, docs_of, tmp_path):
+    """By the contract bytes decide: a repeated passage goes from 400 bytes on, however many words it has."""
+    rng, rows, gone = random.Random(6), [], {}
+    for n in (300, 399, 400, 401):
+        passage = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(59))[: n - 1].ljust(n, "q")
+        assert len(passage.split()) > 50 and len(passage.encode()) == n
+        for before, after in (("", "1 more"), ("some 2", "3 more"), ("some 4", "")):
+            rows.append((len(rows), before + passage + after))
+            gone[len(rows) - 1] = n if n >= 400 else 0
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op6_substring_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.n_removed for r in out} == gone
+    assert {r.doc_id: r.n_bytes for r in out} == {d: len(t) for d, t in rows}
