@@ -87,8 +87,8 @@ def duration(seconds: Column) -> Column:
 
 
 def batch_verdict(batch: Column, ms_per_chunk: Column, timeout: Column, margin: float = 5.0) -> Column:
-    """``ok`` with the margin asked for, ``thin`` from twice the time, else ``too_slow``."""
-    room = timeout / (ms_per_chunk * batch / 1000)
+    """``ok`` with the margin asked for, ``thin`` from twice the time, else ``too_slow``; what takes no time is ``ok``."""
+    room = F.try_divide(timeout, ms_per_chunk * batch / 1000)  # computed once for both tests, also where the first holds without it
     return F.when((batch * ms_per_chunk <= 0) | (room >= margin), "ok").when(room >= 2, "thin").otherwise("too_slow")
 
 
