@@ -6,6 +6,7 @@ import random
 import pytest
 
 from glyphmill.operators import vector
+from glyphmill.plans import registry
 
 
 def plain(queries, vectors, k, threshold=-1.0):
@@ -67,3 +68,17 @@ def test_no_pair_is_a_row(spark, small_dir):
     found = vector.knn(e.selectExpr("vec_id as query_id", "embedding"), e.selectExpr("vec_id as chunk_id", "embedding"), 3)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan and found.count() == 1500
+
+
+@pytest.mark.parametrize("name", ["vector_threshold", "vector_min_distance"])
+def test_ties_and_none_near_as_in_sql(spark, duck, tmp_path, name):
+    """A place of many vectors, one of which no vector but itself is near, and vectors on a grid, against SQL."""
+    con = duck(tmp_path)
+    con.execute(f"""copy (select i as vec_id, (case when i % 3 = 0 then [0.5, 0.5, 0.5] when i = 40 then [50, 50, 50] else [i % 7, i % 5, i % 4] end)::FLOAT[] as embedding, 0 as label
+      from range(1200) t(i)) to '{tmp_path}/embeddings.parquet'""")
+    out = registry.queries()[name](spark, str(tmp_path))
+    found = duck(tmp_path).execute(registry.oracle_sql()[name])
+    names = [c[0] for c in found.description]
+    want = sorted(map(repr, found.fetchall()))
+    assert want and sorted(repr(tuple(r)) for r in out.select(*names).collect()) == want
+    assert "NestedLoopJoin" not in out._jdf.queryExecution().executedPlan().toString()
