@@ -119,8 +119,9 @@ def compatible(text: Column) -> Column:
 def normalise(text: Column) -> Column:
     """Comparable form: no combining marks, no tatweel, NFKC, letters and digits folded, lower case."""
     marks = F.replace(F.regexp_replace(text, combining_class(), ""), F.lit(TATWEEL), F.lit(""))
-    bare = F.when(text.rlike(_BEYOND), marks).otherwise(text)
-    return F.lower(F.translate(compatible(bare), FOLD_FROM, FOLD_TO))
+    beyond = text.rlike(_BEYOND)
+    bare = F.when(beyond, marks).otherwise(text)
+    return F.lower(F.when(beyond, F.translate(compatible(bare), FOLD_FROM, FOLD_TO)).otherwise(text))
 
 
 def tokens(text: Column, least: int = DEFAULTS.min_token_length) -> Column:

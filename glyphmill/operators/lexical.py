@@ -60,7 +60,7 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame, query_id: str = "query_id
     stats = sized.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
     hits = sized.select("chunk_id", "dl", F.explode("w").alias("token")).join(vocabulary, "token", "left_semi")
     postings = hits.groupBy("token", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    known = postings.groupBy("token").agg(F.count("*").alias("df"))
+    known = postings.groupBy("token").agg(F.expr("count(tf, dl)").alias("df"))  # of all columns, so that one shuffle serves this and the scores
     weighed = terms.join(known, "token").crossJoin(F.broadcast(stats))
     weighed = weighed.select("query_id", "token", "first_pos", "avgdl", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("weight"))
     weighed = F.broadcast(weighed) if few else weighed  # else words that many texts have would gather in one task

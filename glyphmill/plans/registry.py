@@ -234,14 +234,19 @@ def _expected(spark, d):
     return containment.contained(docs, b).select("query_id", "source", F.lit(None).cast("int").alias("page"))
 
 
-def _results(spark, d):
+def _results(spark, d, distances=True):
     expected = _expected(spark, d)
     found = lexical.bm25_topk(_questions(spark, d), _chunks(spark, d), 10)
     retrieved = found.select("query_id", F.col("chunk_id").cast("string").alias("source"), F.lit(1).alias("page"), "rank")
-    near = vector.min_distance(_hybrid_questions(spark, d), _vectors(spark, d))
+    near = vector.min_distance(_hybrid_questions(spark, d), _vectors(spark, d)) if distances else None
     return evaluate.results(_questions(spark, d), expected, evaluate.first_match_rank(expected, retrieved), near)
 
 
+def _run(spark, d):
+    """A row per question, written, as comparing runs reads it several times; without distances, which no run is compared by."""
+    return scratch.written(_results(spark, d, distances=False), "run")
+
+
 @_query(f"""WITH {_RANKS} SELECT count(*) AS questions, count(CASE WHEN NOT ooc THEN 1 END) AS answerable, count(CASE WHEN ooc THEN 1 END) AS out_of_corpus, count(CASE WHEN rank <= 10 AND NOT ooc THEN 1 END) AS hits,
   round(coalesce(avg(CASE WHEN NOT ooc THEN (rank IS NOT NULL)::INT::DOUBLE END), 0), 4) AS hit_at_k, round(coalesce(avg(CASE WHEN NOT ooc THEN coalesce(1.0::DOUBLE / rank, 0) END), 0), 4) AS mrr,
   count(CASE WHEN NOT ooc AND rank IS NULL THEN 1 END) AS misses, count(CASE WHEN NOT ooc AND rank = 1 THEN 1 END) AS rank_1, count(CASE WHEN NOT ooc AND rank > 1 THEN 1 END) AS rank_2_to_k FROM res""")
@@ -273,7 +278,7 @@ def distance_overlap(spark, d):
 run_b AS (SELECT query_id, coalesce((CASE WHEN query_id % 3 = 0 THEN rank - 1 WHEN query_id % 3 = 1 THEN rank + 1 ELSE rank END)::DOUBLE, 1e18) AS b FROM res WHERE NOT ooc AND query_id % 7 <> 0)
 SELECT count(CASE WHEN b < a THEN 1 END) AS progressed, count(CASE WHEN b > a THEN 1 END) AS regressed, count(CASE WHEN a = b THEN 1 END) AS stable, count(CASE WHEN b IS NULL THEN 1 END) AS only_reference, count(CASE WHEN a IS NULL THEN 1 END) AS only_candidate FROM run_a FULL JOIN run_b USING (query_id)""")
 def compare_runs(spark, d):
-    found = _results(spark, d)
+    found = _run(spark, d)
     moved = F.when(F.col("query_id") % 3 == 0, F.col("rank") - 1).when(F.col("query_id") % 3 == 1, F.col("rank") + 1).otherwise(F.col("rank"))
     return evaluate.compare(found, found.where("query_id % 7 <> 0").withColumn("rank", moved))
 
@@ -333,7 +338,7 @@ run_b AS (SELECT query_id, ooc, CASE WHEN query_id % 3 = 0 THEN rank + 2 ELSE ra
 def _two_runs(spark, d):
     """Two runs whose latency stands for the question's length, the second with some ranks moved and questions left out."""
     ms = _questions(spark, d).select("query_id", F.length("text").cast("double").alias("latency_ms"))
-    a = _results(spark, d).join(ms, "query_id")
+    a = _run(spark, d).join(ms, "query_id")
     moved = F.when(F.col("query_id") % 3 == 0, F.col("rank") + 2).otherwise(F.col("rank"))
     return a, a.where("query_id % 7 <> 0").withColumns({"rank": moved, "latency_ms": F.col("latency_ms") * 2})
 
