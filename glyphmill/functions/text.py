@@ -7,10 +7,12 @@ import sys
 import unicodedata
 from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from glyphmill.config import DEFAULTS
 
@@ -229,27 +231,67 @@ def _plain(words) -> list[str]:
     return [" ".join(unicodedata.normalize("NFKC", w).translate(table).lower().split()) for w in bare]
 
 
-def script_letters(text: Column, script: str) -> Column:
-    """How many letters of a script (``ARABIC``, ``LATIN``) the text has."""
-    ranges = letter_ranges(script)
-    low, high = [[a, min(b, 0xFF)] for a, b in ranges if a <= 0xFF], [[max(a, 0x100), b] for a, b in ranges if b > 0xFF]
-    most = max(high, key=lambda r: r[1] - r[0])  # tested apart, as a class of many ranges is slow
-    rest_of = [r for r in high if r is not most]
-    others = f"{_class(_gaps(rest_of))}+|[^{_class(rest_of)[1:]}"
-    without = lambda c, pattern: F.regexp_replace(c, pattern, "")
+#: Bytes of texts whose characters are looked up at once, unless one text has more.
+_COUNTED = 1 << 17
+
+
+def _counts(column: pa.Array, table: np.ndarray) -> np.ndarray:
+    """For each text the sum of what ``table`` has at its characters' code points; 0 for null texts."""
+    texts = column.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    held = texts.buffers()[2]
+    out = np.zeros(len(texts), np.int64)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + _COUNTED, "right")) - 1)
+        at = offsets[first : last + 1] - offsets[first]
+        raw = bytes(held[int(offsets[first]) : int(offsets[last])]) if held is not None else b""
+        codes = np.frombuffer(raw, np.uint8)
+        if not raw.isascii():
+            try:
+                text = raw.decode()
+                at = np.concatenate([[0], np.cumsum((codes & 0xC0) != 0x80)])[at]  # places of characters, not of bytes
+            except UnicodeDecodeError:
+                parts = [raw[a:b].decode(errors="replace") for a, b in zip(at, at[1:])]
+                text, at = "".join(parts), np.cumsum([0, *map(len, parts)])
+            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        sums = np.concatenate([[0], np.cumsum(table.take(codes))])
+        out[first:last] = sums[at[1:]] - sums[at[:-1]]
+        first = last
+    return out
+
+
+def _table(scripts: list[list[list[int]]]) -> np.ndarray:
+    """One at the first script's letters, 2**32 at the second one's: sums of both don't mix."""
+    table = np.zeros(sys.maxunicode + 1, np.int64)
+    for k, ranges in enumerate(scripts):
+        for a, b in ranges:
+            table[a : b + 1] |= 1 << 32 * k
+    return table
+
+
+def _letters(*scripts: str):
+    """A function of a text that counts the letters of one script or two, in one reading."""
+    ranges = [letter_ranges(s) for s in scripts]
+    made: list = []
+
+    def count(texts: pa.Array) -> pa.Array:
+        if not made:
+            made.append(_table(ranges))
+        sums = _counts(texts, made[0])
+        return pa.StructArray.from_arrays([pa.array((sums >> 32 * k & 0xFFFFFFFF).astype(np.int32)) for k in range(len(scripts))], list(scripts))
+
+    return F.arrow_udf(count, StructType([StructField(s, IntegerType()) for s in scripts]))
 
-    def count(parts: Column) -> Column:
-        rest = without(parts["beyond"], _class([most]) + "+")
-        return F.length(parts["low"]) + F.length(parts["beyond"]) - F.length(rest) + F.length(without(rest, others))
 
-    text = F.coalesce(text, F.lit(""))
-    few = without(text, "[^" + _class(low)[1:]) if low else F.lit("")
-    parts = F.struct(few.alias("low"), without(text, r"[\x00-\xFF]+").alias("beyond"))
-    return F.get(F.transform(F.array(parts), count), F.lit(0))
+def script_letters(text: Column, script: str) -> Column:
+    """How many letters of a script (``ARABIC``, ``LATIN``) the text has."""
+    return _letters(script)(text)[script]
 
 
 def detect_language(text: Column, threshold: float = DEFAULTS.language_dominance) -> Column:
     """``ar`` or ``fr`` by the share of Arabic or Latin letters; null where neither dominates or there are none."""
-    arabic, latin = script_letters(text, "ARABIC"), script_letters(text, "LATIN")
-    total = arabic + latin
-    return F.when(total == 0, None).when(arabic / total >= threshold, "ar").when(latin / total >= threshold, "fr")
+    found = _letters("ARABIC", "LATIN")(text)
+    arabic, latin = found["ARABIC"], found["LATIN"]
+    total = F.nullif(arabic + latin, F.lit(0))
+    return F.when(arabic / total >= threshold, "ar").when(latin / total >= threshold, "fr")

@@ -111,3 +111,12 @@ def test_white_space_of_all_kinds(spark):
     got = rows.select("b", "t", formatting.source_label(source).alias("label"), text.strip(F.col("t")).alias("s"), formatting.format_chosen(F.col("t"), source, "fr").alias("chosen"))
     for r in got.collect():
         assert r.label == "file" and r.s == r.t.strip() and f"\n\n{r.t.strip()}\n\nfile — " in r.chosen
+
+
+def test_letters_are_counted_in_one_reading(spark, apply):
+    """A text goes once through one function for both scripts, whatever the number of tests on the counts."""
+    rows = ["", None, "abc", "ابـ", "é" * 70 + "ا" * 30, "漢字 12", "a" * 69 + "ا" * 31, "𝒜Ω"] * 3
+    assert apply(rows, text.detect_language(F.concat(A, F.lit("")))) == [None, None, "fr", "ar", "fr", None, None, None] * 3
+    frame = spark.createDataFrame([("a",)], "a string").select(text.detect_language(F.concat(F.col("a"), F.lit("b"))))
+    shown = frame._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("ArrowEvalPython") == 1 and "regexp_replace" not in shown
